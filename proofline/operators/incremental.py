@@ -24,9 +24,8 @@ def high_water_filter(src: DataFrame, target: DataFrame, column: str, strict: bo
     mark = F.max(column)
     if default is not None:
         mark = F.coalesce(mark, F.lit(default).cast(src.schema[column].dataType))
-    high = target.agg(mark.alias("_mark"))
-    past = F.col(column) > F.col("_mark") if strict else F.col(column) >= F.col("_mark")
-    return src.join(F.broadcast(high), past).select(*src.columns)
+    high = target.agg(mark.alias("mark")).scalar()
+    return src.filter(F.col(column) > high if strict else F.col(column) >= high)
 
 
 def _without(target: DataFrame, src: DataFrame, keys: Sequence[str]) -> DataFrame:

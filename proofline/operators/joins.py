@@ -40,10 +40,11 @@ def not_in(left: DataFrame, column: str, right: DataFrame, field: str) -> DataFr
     The NULL rule is a one-row fact about the right side, so that the join itself is an ordinary distributed
     anti join rather than the broadcast-only null-aware one.
     """
-    facts = right.agg(F.count(F.lit(1)).alias("_rows"), F.count_if(F.col(field).isNull()).alias("_nulls"))
-    kept = anti_join(left, right.select(field).distinct(), [(column, field)])
-    keep = (F.col("_rows") == 0) | ((F.col("_nulls") == 0) & F.col(column).isNotNull())
-    return kept.join(F.broadcast(facts)).filter(keep).select(*left.columns)
+    facts = right.agg(F.struct(F.count(F.lit(1)).alias("all"), F.count_if(F.col(field).isNull()).alias("nulls")).alias(
+        "facts")).scalar()
+    kept = anti_join(left, right.select(field).distinct(), [(column, field)]).withColumn("_f", facts)
+    keep = (F.col("_f.all") == 0) | ((F.col("_f.nulls") == 0) & F.col(column).isNotNull())
+    return kept.filter(keep).select(*left.columns)
 
 
 def _types(df: DataFrame) -> dict:

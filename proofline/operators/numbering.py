@@ -81,9 +81,9 @@ def capped_preview(df: DataFrame, order: Sequence[Column | str], cap: int = 500)
 
 def top_n_with_overflow(df: DataFrame, order: Sequence[Column | str], n: int = 10) -> DataFrame:
     """First ``n`` rows; ``total`` and ``overflowed`` on each say what was left out."""
-    meta = df.agg(F.count(F.lit(1)).alias("total"))
-    top = df.orderBy(*order).limit(n)
-    return top.join(F.broadcast(meta)).withColumn("overflowed", F.greatest(F.col("total") - n, F.lit(0)))
+    total = df.agg(F.count(F.lit(1)).alias("total")).scalar()
+    return df.orderBy(*order).limit(n).withColumn("total", total).withColumn(
+        "overflowed", F.greatest(F.col("total") - n, F.lit(0)))
 
 
 def dense_grid(left: DataFrame, right: DataFrame, facts: DataFrame | None = None, fill: Mapping[str, object] = {}):
