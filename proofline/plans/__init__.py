@@ -1,0 +1,15 @@
+"""Bundled model pipelines and the registry of checked queries."""
+
+from importlib import import_module
+
+from .base import ORACLES, QUERIES
+
+MODULES = ("q_shop",)
+
+
+def load() -> None:
+    for name in MODULES:
+        import_module(f".{name}", __name__)
+
+
+__all__ = ["ORACLES", "QUERIES", "load"]

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.data_tests import DataTest
-from ..operators.incremental import merge_upsert
 from ..session import scratch_path
 
 
@@ -26,50 +25,51 @@ def keep_latest(batch: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     return latest.select("_row.*")
 
 
-class VersionedTable:
-    """A parquet table whose state is the newest complete version folder.
+class UpsertLog:
+    """Newest row per key, kept as one parquet folder per batch.
 
-    A version is named after the batch that wrote it and is read only once its writer has committed it, so a batch that is
-    replayed writes the same version from the same prior state.
+    A batch writes only its own rows under its own id, so a replay overwrites itself and the cost of a batch does not
+    grow with the table. Reading takes the newest row per key over the last compacted state and the batches after it.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema):
+    def __init__(self, spark: SparkSession, path: str, schema, keys: Sequence[str], order: Sequence[str]):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+        self.keys, self.order = list(keys), list(order)
 
-    def _versions(self) -> list[int]:
+    def _complete(self, prefix: str) -> list[int]:
         hadoop = self.spark._jvm.org.apache.hadoop.fs
         root = hadoop.Path(self.path)
         fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not fs.exists(root):
             return []
-        names = [(s.getPath().getName(), s.getPath()) for s in fs.listStatus(root)]
-        done = [int(n[1:]) for n, p in names if n.startswith("v") and n[1:].isdigit() and fs.exists(
-            hadoop.Path(p, "_SUCCESS"))]
-        return sorted(done)
-
-    def read(self, before: int | None = None) -> DataFrame:
-        versions = [v for v in self._versions() if before is None or v < before]
-        if not versions:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{versions[-1]}")
+        found = [s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith(prefix + "=")]
+        return sorted(int(p.getName().split("=")[1]) for p in found if fs.exists(hadoop.Path(p, "_SUCCESS")))
 
-    def write(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/v{version}")
+    def write(self, batch: DataFrame, batch_id: int) -> None:
+        keep_latest(batch, self.keys, self.order).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
 
+    def _live(self) -> tuple[list[int], list[int]]:
+        states = self._complete("state")[-1:]
+        return states, [b for b in self._complete("batch") if not states or b > states[0]]
 
-def upsert_batches(table: VersionedTable, keys: Sequence[str], order: Sequence[str]) -> Callable[[DataFrame, int], None]:
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        prior = table.read(before=batch_id)
-        merged = keep_latest(prior.unionByName(keep_latest(batch, keys, order)), keys, order)
-        table.write(merged, batch_id)
-    return apply
+    def read(self) -> DataFrame:
+        states, batches = self._live()
+        paths = [f"{self.path}/state={s}" for s in states] + [f"{self.path}/batch={b}" for b in batches]
+        if not paths:
+            return self.spark.createDataFrame([], self.schema)
+        return keep_latest(self.spark.read.schema(self.schema).parquet(*paths), self.keys, self.order)
+
+    def compact(self) -> None:
+        """Fold the batches written so far into one state."""
+        _, batches = self._live()
+        if batches:
+            self.read().write.mode("overwrite").parquet(f"{self.path}/state={batches[-1]}")
 
 
-def stream_upsert(stream: DataFrame, table: VersionedTable, keys: Sequence[str], order: Sequence[str],
-                  checkpoint: str | None = None, **trigger) -> StreamingQuery:
-    """Keep the newest row per key in ``table``; a replayed batch leaves the same state."""
-    checkpoint = checkpoint or scratch_path(table.spark, "upsert")
-    return (stream.writeStream.foreachBatch(upsert_batches(table, keys, order)).option("checkpointLocation", checkpoint)
+def stream_upsert(stream: DataFrame, log: UpsertLog, checkpoint: str | None = None, **trigger) -> StreamingQuery:
+    """Keep the newest row per key; a replayed batch leaves the same state."""
+    checkpoint = checkpoint or scratch_path(log.spark, "upsert")
+    return (stream.writeStream.foreachBatch(log.write).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
