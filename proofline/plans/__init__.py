@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .base import ORACLES, QUERIES
 
-MODULES = ("q_shop",)
+MODULES = ("q_shop", "q_care")
 
 
 def load() -> None:
