@@ -115,3 +115,18 @@ def diff_schemas(old: DataFrame, new: DataFrame, table: str = "table") -> DataFr
               .when(~same_type(F.col("old_type"), F.col("new_type")), "type_changed").otherwise("unchanged"))
     return both.select("id", "name", "old_type", "new_type", change.alias("change"),
                        change.isin("removed", "type_changed").alias("breaking"))
+
+
+def value_counts(df: DataFrame) -> DataFrame:
+    """(name, n_values): non-NULL values per column, in one pass."""
+    names = df.columns
+    counted = df.agg(*[F.count(F.col(c)).alias(f"_n{i}") for i, c in enumerate(names)])
+    rows = F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"_n{i}").alias("n_values")) for i, c in enumerate(names)])
+    return counted.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def schema_impact(old: DataFrame, new: DataFrame, table: str = "table") -> DataFrame:
+    """Column changes with the number of stored values each of them affects."""
+    return diff_schemas(old, new, table).join(value_counts(old), "name", "left").select(
+        "id", "name", "old_type", "new_type", "change", "breaking", F.coalesce("n_values", F.lit(0).cast("long")).alias(
+            "affected_values"))

@@ -7,7 +7,6 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.scalars import canonical_type  # noqa: F401  (kept for callers that type-check constraints)
 from .contracts import constraint_support
 from .diff import TableDiff, diff_counts, diff_tables
 from .joins import anti_join
@@ -15,7 +14,7 @@ from .joins import anti_join
 SEVERITIES = ("error", "warn")
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class DataTest:
     """One declared test: ``failing`` for row predicates, ``keys`` for uniqueness, ``to`` for references."""
 
