@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .base import ORACLES, QUERIES
 
-MODULES = ("q_shop", "q_care", "q_keys", "q_diff", "q_tests", "q_audits")
+MODULES = ("q_shop", "q_care", "q_keys", "q_diff", "q_tests", "q_audits", "q_catalog", "q_graph", "q_changes", "q_streams")
 
 
 def load() -> None:
