@@ -148,14 +148,24 @@ def degradations(severity: Column, where: Column, limit: Column) -> Column:
 
 
 def _backing(tests: DataFrame, keys: DataFrame) -> DataFrame:
-    """Per (table, key_id): enabled backing tests, how many of them are degraded, and disabled ones."""
-    claims = _uniqueness(tests)
-    hits = covers(claims, keys).join(claims.drop("columns"), ["table", "test"])
+    """Per (table, key_id): enabled backing tests, how many of them are degraded, and disabled ones.
+
+    Tests and keys that name the same columns are folded together first, so that containment is decided between column
+    sets and not between every test and every key of a table.
+    """
+    signature = F.array_sort(F.array_distinct(F.transform("columns", lambda c: F.lower(c))))
     weak = degradations(F.col("severity"), F.col("where"), F.col("limit")) != ""
     live = F.coalesce("enabled", F.lit(True))
-    return hits.groupBy("table", "key_id").agg(
+    claims = _uniqueness(tests).withColumn("columns", signature).groupBy("table", "columns").agg(
         F.count_if(live).alias("backing"), F.count_if(live & weak).alias("degraded"),
-        F.count_if(~live).alias("disabled"), F.min(F.when(live, F.col("test"))).alias("by"))
+        F.count_if(~live).alias("disabled"), F.min(F.when(live, F.col("test"))).alias("by")).withColumn(
+        "test", F.to_json("columns"))
+    signed = keys.withColumn("columns", signature)
+    sets = signed.select("table", "columns").distinct().withColumn("key_id", F.to_json("columns"))
+    per_set = covers(claims, sets).join(claims.drop("columns"), ["table", "test"]).groupBy("table", "key_id").agg(
+        *[F.sum(n).alias(n) for n in ("backing", "degraded", "disabled")], F.min("by").alias("by"))
+    return signed.select("table", "key_id", F.to_json("columns").alias("_set")).join(
+        per_set.withColumnRenamed("key_id", "_set"), ["table", "_set"]).drop("_set")
 
 
 def audit_unique_key(models: DataFrame, tests: DataFrame, singular: DataFrame) -> DataFrame:

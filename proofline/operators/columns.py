@@ -85,8 +85,8 @@ def trace_to_source(col_edges: DataFrame, starts: DataFrame, origins: DataFrame,
                  .select("start_node", "start_column", F.col("start_node").alias("node"),
                          F.col("start_column").alias("column"))
                  .withColumn("hops", F.array(hop("node", "column"))))
-    ends = origins.select("node").distinct().withColumn("_origin", F.lit(True))
-    thin = thin.select("node").distinct().withColumn("_thin", F.lit(True))
+    ends = cut(origins.select("node").distinct()).withColumn("_origin", F.lit(True))
+    thin = cut(thin.select("node").distinct()).withColumn("_thin", F.lit(True))
     done = []
     while True:
         step = active.join(ends, "node", "left").join(thin, "node", "left").join(back, ["node", "column"], "left")

@@ -47,35 +47,32 @@ def contract_reasons(old_nodes: DataFrame, new_nodes: DataFrame, old_columns: Da
     with a NULL column for the table's own constraints.
     """
     pair = _pairs(old_nodes, new_nodes)
-    dropped = pair.filter("old_enforced AND NOT new_enforced").select(
-        "id", F.lit("contract_enforcement_dropped").alias("reason"), F.lit(None).cast("string").alias("detail"))
-    open_ids = pair.filter("open").select("id", "old_enforces", "new_enforces")
-    scope = lambda df: df.join(open_ids.select("id"), "id", "left_semi")
-    was = scope(old_columns).select("id", "name", F.col("type").alias("_old"))
+    none = F.lit(None).cast("string")
+    was = old_columns.select("id", "name", F.col("type").alias("_old"))
     now = new_columns.select("id", "name", F.col("type").alias("_new"), F.lit(True).alias("_here"))
-    cols = was.join(now, ["id", "name"], "left")
-    removed = cols.filter(F.col("_here").isNull()).select("id", F.lit("column_removed").alias("reason"),
-                                                          F.col("name").alias("detail"))
-    retyped = cols.filter(F.col("_here") & ~same_type(F.col("_old"), F.col("_new"))).select(
-        "id", F.lit("column_type_changed").alias("reason"),
-        F.concat(F.col("name"), F.lit(": "), F.coalesce("_old", F.lit("unknown")), F.lit(" -> "),
-                 F.coalesce("_new", F.lit("unknown"))).alias("detail"))
-    strict = open_ids.filter("old_enforces")
-    held = old_constraints.join(strict.select("id"), "id", "left_semi")
+    retyped = F.concat(F.col("name"), F.lit(": "), F.coalesce("_old", F.lit("unknown")), F.lit(" -> "),
+                       F.coalesce("_new", F.lit("unknown")))
+    columns = was.join(now, ["id", "name"], "left").select("id", F.when(
+        F.col("_here").isNull(), F.struct(F.lit("column_removed").alias("reason"), F.col("name").alias("detail"))).when(
+        ~same_type(F.col("_old"), F.col("_new")),
+        F.struct(F.lit("column_type_changed").alias("reason"), retyped.alias("detail"))).alias("r")).select(
+        "id", "r.reason", "r.detail")
+    structural = old_constraints.filter("column IS NULL OR kind <> 'custom'")
     there = new_constraints.select(*[F.col(c).alias(f"_{c}") for c in ("id", "column", "kind", "expression")]).distinct()
-    lost = held.join(there, (F.col("id") == F.col("_id")) & same(F.col("column"), F.col("_column")) & same(
+    lost = structural.join(there, (F.col("id") == F.col("_id")) & same(F.col("column"), F.col("_column")) & same(
         F.col("kind"), F.col("_kind")) & same(F.col("expression"), F.col("_expression")), "left_anti")
-    lost_column = lost.filter("column IS NOT NULL AND kind <> 'custom'")
-    lost_model = lost.filter("column IS NULL")
-    mark = lambda df, reason: df.select("id").distinct().select(
-        "id", F.lit(reason).alias("reason"), F.lit(None).cast("string").alias("detail"))
-    had = old_constraints.filter("column IS NULL OR kind <> 'custom'").select("id").distinct()
-    moved = strict.filter(~F.col("new_enforces")).join(had, "id", "left_semi")
-    out = dropped
-    for part in (removed, retyped, mark(lost_column, "column_constraint_removed"),
-                 mark(lost_model, "model_constraint_removed"), mark(moved, "materialization_changed")):
-        out = out.unionByName(part)
-    return out
+    level = F.when(F.col("column").isNull(), "model_constraint_removed").otherwise("column_constraint_removed")
+    constraints = lost.select("id", level.alias("reason")).distinct().select("id", "reason", none.alias("detail"))
+    had = structural.select("id").distinct().select("id", F.lit("materialization_changed").alias("reason"), none.alias("detail"))
+    found = columns.filter("reason IS NOT NULL").unionByName(constraints).unionByName(had)
+    # each reason counts only where the pair of nodes lets it
+    counts = (F.when(F.col("reason").startswith("column_") & ~F.col("reason").contains("constraint"), F.lit(True))
+              .when(F.col("reason") == "materialization_changed", F.col("old_enforces") & ~F.col("new_enforces"))
+              .otherwise(F.col("old_enforces")))
+    kept = found.join(pair.filter("open"), "id").filter(counts).select("id", "reason", "detail")
+    dropped = pair.filter("old_enforced AND NOT new_enforced").select(
+        "id", F.lit("contract_enforcement_dropped").alias("reason"), none.alias("detail"))
+    return dropped.unionByName(kept)
 
 
 def _pairs(old_nodes: DataFrame, new_nodes: DataFrame) -> DataFrame:

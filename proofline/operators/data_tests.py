@@ -7,6 +7,7 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import cut
 from .contracts import constraint_support
 from .diff import TableDiff, diff_counts, diff_tables
 from .joins import anti_join
@@ -30,6 +31,7 @@ class DataTest:
     severity: str = "error"
     enabled: bool = True
     name: str = ""
+    wide: bool = False  # the key is long text: compare hashes first and move only the rows whose hash repeats
 
     def label(self) -> str:
         return self.name or "_".join([self.kind, *self.columns])
@@ -140,6 +142,13 @@ def _duplicates(df: DataFrame, test: DataTest) -> DataFrame:
     repeated = F.col("n_rows") > 1
     if test.kind == "primary_key":
         repeated = repeated | any_null
+    if test.wide:
+        hashed = grouped.withColumn("_h", F.xxhash64(*test.columns))
+        suspects = cut(hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_h"))
+        keep = hashed.join(suspects, "_h", "left_semi")
+        if test.kind == "primary_key":
+            keep = keep.unionByName(hashed.filter(any_null).join(suspects, "_h", "left_anti"))
+        grouped = keep.drop("_h")
     return grouped.groupBy(*test.columns).agg(F.count(F.lit(1)).alias("n_rows")).filter(repeated)
 
 

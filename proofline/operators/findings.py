@@ -32,8 +32,8 @@ def apply_policy(findings: DataFrame, displayed: Sequence[str] | None, suppress:
     names = shown.select("check", "table").distinct().select(
         "check", "table", F.explode(F.array_distinct(F.array(
             F.col("table"), leaf_name(F.col("table")), bare_name(F.col("table"))))).alias("model"))
-    first = names.join(suppress, ["check", "model"]).groupBy("check", "table").agg(
-        F.min_by(F.struct("source", "reason"), "rank").alias("_rule"))
+    rules = suppress.groupBy("check", "model").agg(F.min(F.struct("rank", "source", "reason")).alias("_rule"))
+    first = names.join(rules, ["check", "model"]).groupBy("check", "table").agg(F.min("_rule").alias("_rule"))
     return shown.join(first, ["check", "table"], "left").select(
         *findings.columns, F.col("_rule").isNotNull().alias("suppressed"), F.col("_rule.source").alias("source"),
         F.col("_rule.reason").alias("reason"))

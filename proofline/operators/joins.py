@@ -14,20 +14,31 @@ SALTS = 16
 
 
 def join_on(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]], how: str = "inner") -> DataFrame:
-    """Equality join on differently named keys; a full join returns the coalesced key under the left name."""
+    """Equality join on differently named keys; the key comes out under the left name, coalesced where it may be missing.
+
+    Outer joins are the inner join and the rows one side has alone. Adaptive execution splits a hot key on either side of
+    an inner join but not on the optional side of an outer one, and the lone rows only need the other side's distinct keys.
+    """
     renamed = right
     for i, (_, r) in enumerate(pairs):
         renamed = renamed.withColumnRenamed(r, f"_r{i}")
-    out = left.join(renamed, all_of([F.col(l) == F.col(f"_r{i}") for i, (l, _) in enumerate(pairs)]), how)
+    keys = [f"_r{i}" for i in range(len(pairs))]
+    out = left.join(renamed, all_of([F.col(l) == F.col(k) for (l, _), k in zip(pairs, keys)])).drop(*keys)
+    nulls = lambda df, names: [F.lit(None).cast(df.schema[n].dataType).alias(n) for n in names]
+    if how in ("left", "full"):
+        lone = anti_join(left, right, pairs)
+        out = out.unionByName(lone.select("*", *nulls(renamed, [c for c in renamed.columns if c not in keys])))
     if how in ("right", "full"):
-        for i, (l, _) in enumerate(pairs):
-            out = out.withColumn(l, F.coalesce(l, f"_r{i}"))
-    return out.drop(*[f"_r{i}" for i in range(len(pairs))])
+        lone = anti_join(right, left, [(r, l) for l, r in pairs])
+        names = {r: l for l, r in pairs}
+        kept = [F.col(c).alias(names.get(c, c)) for c in right.columns]
+        out = out.unionByName(lone.select(*kept, *nulls(left, [c for c in left.columns if c not in names.values()])))
+    return out
 
 
 def anti_join(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Left rows without a match; NULL keys match nothing and stay."""
-    keys = right.select(*[F.col(r).alias(f"_r{i}") for i, (_, r) in enumerate(pairs)])
+    """Left rows without a match; NULL keys match nothing and stay. Right keys are made distinct before they travel."""
+    keys = right.select(*[F.col(r).alias(f"_r{i}") for i, (_, r) in enumerate(pairs)]).distinct()
     return left.join(keys, all_of([F.col(l) == F.col(f"_r{i}") for i, (l, _) in enumerate(pairs)]), "left_anti")
 
 
@@ -42,7 +53,7 @@ def not_in(left: DataFrame, column: str, right: DataFrame, field: str) -> DataFr
     """
     facts = right.agg(F.struct(F.count(F.lit(1)).alias("all"), F.count_if(F.col(field).isNull()).alias("nulls")).alias(
         "facts")).scalar()
-    kept = anti_join(left, right.select(field).distinct(), [(column, field)]).withColumn("_f", facts)
+    kept = anti_join(left, right, [(column, field)]).withColumn("_f", facts)
     keep = (F.col("_f.all") == 0) | ((F.col("_f.nulls") == 0) & F.col(column).isNotNull())
     return kept.filter(keep).select(*left.columns)
 

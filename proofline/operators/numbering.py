@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..session import cut, partitions
+from ..session import cut
 
 SLOT_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
 
@@ -30,7 +30,7 @@ def number_rows(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), nam
     rows are written out first because both halves must see one and the same partitioning.
     """
     ranged = (
-        df.repartitionByRange(partitions(df), *by, *order)
+        df.repartitionByRange(*by, *order)
         .sortWithinPartitions(*by, *order)
         .withColumn("_slot", F.monotonically_increasing_id())
     )

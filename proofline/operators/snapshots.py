@@ -52,7 +52,7 @@ def diff_snapshots(cur: DataFrame, base: DataFrame, axes: Sequence[str] = ()) ->
 
 
 def only_in(left: DataFrame, right: DataFrame, key: str = "id") -> DataFrame:
-    return left.select(key).distinct().join(right.select(key), key, "left_anti")
+    return left.select(key).distinct().join(right.select(key).distinct(), key, "left_anti")
 
 
 def changed_definitions(cur: DataFrame, base: DataFrame, key: str = "id") -> DataFrame:
@@ -118,28 +118,38 @@ def setting_impact(old: DataFrame, new: DataFrame, changed_keys: DataFrame | Non
 
 def masked_packages(edits: DataFrame, packages: DataFrame, old: tuple[DataFrame, DataFrame],
                     new: tuple[DataFrame, DataFrame]) -> DataFrame:
-    """(name, package, masked) per shared edit and package: masked when the package resolves to the same value.
+    """(name, package) where a shared edit changes nothing, because the package resolves to the same value.
 
-    old and new are each (scoped settings, shared settings).
+    old and new are each (scoped settings, shared settings). Only a package with a setting of its own can mask an edit, so
+    only those are looked at.
     """
-    wanted = edits.filter("scope IS NULL").select("name").distinct().join(F.broadcast(packages.select("package").distinct()))
+    shared = edits.filter("scope IS NULL").select("name").distinct()
+    pinned = old[0].select("package", "name").unionByName(new[0].select("package", "name")).distinct()
+    wanted = pinned.join(shared, "name", "left_semi").join(packages.select("package").distinct(), "package", "left_semi")
     before = priority_lookup(wanted, *old, packages).select("package", "name", F.col("value").alias("_old"))
     after = priority_lookup(wanted, *new, packages).select("package", "name", F.col("value").alias("_new"))
-    return before.join(after, ["package", "name"]).select("name", "package", same(F.col("_old"), F.col("_new")).alias("masked"))
+    return before.join(after, ["package", "name"]).filter(same(F.col("_old"), F.col("_new"))).select("name", "package")
 
 
-def variable_impact(edits: DataFrame, reach: DataFrame, refs: DataFrame) -> DataFrame:
-    """Models an edit reaches, by tier.
+def variable_impact(edits: DataFrame, masked: DataFrame, refs: DataFrame, packages: DataFrame) -> DataFrame:
+    """(name, id, tier): models an edit reaches.
 
-    edits (scope, name); reach (name, package) from unmasked packages, plus (name, scope) of scoped edits; refs (id,
-    package, tier, name, dynamic) with tier direct, config or macro. A call without a literal name may mean any
-    variable and is reported as ``dynamic`` unless the model also names the variable itself.
+    edits (scope, name); masked (name, package); refs (id, package, tier, name, dynamic) with tier direct, config or
+    macro. A name that is a package is a scope and no variable. A call without a literal name may mean any variable and
+    is reported as ``dynamic`` unless the model also names the variable itself.
     """
-    named = refs.filter(~F.col("dynamic")).join(reach, ["name", "package"]).select("name", "id", "tier").distinct()
-    open_calls = refs.filter("dynamic").select("id", "package").distinct().join(reach, "package").select(
-        "name", "id", F.lit("dynamic").alias("tier")).distinct()
-    residual = open_calls.join(named.select("name", "id").distinct(), ["name", "id"], "left_anti")
-    return named.unionByName(residual)
+    scopes = packages.select(F.col("package").alias("name")).distinct()
+    shared = edits.filter("scope IS NULL").select("name").distinct().join(scopes, "name", "left_anti")
+    scoped = edits.filter("scope IS NOT NULL").select("name", F.col("scope").alias("package")).distinct()
+    literal = refs.filter(~F.col("dynamic")).select("name", "package", "id", "tier").distinct()
+    named = literal.join(shared, "name").join(masked, ["name", "package"], "left_anti").unionByName(
+        literal.join(scoped, ["name", "package"])).select("name", "id", "tier").distinct()
+    opened = refs.filter("dynamic").select("id", "package").distinct()
+    # every (edit, package with an open call) pair is part of the result, so pairing them is no detour
+    spread = opened.select("package").distinct().crossJoin(shared).join(masked, ["name", "package"], "left_anti")
+    reach = spread.select("name", "package").unionByName(scoped).distinct()
+    guesses = opened.join(reach, "package").select("name", "id", F.lit("dynamic").alias("tier"))
+    return named.unionByName(guesses.join(named.select("name", "id").distinct(), ["name", "id"], "left_anti"))
 
 
 def insulated_tests(edits: DataFrame, overrides: DataFrame) -> DataFrame:

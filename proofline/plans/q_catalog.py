@@ -280,9 +280,7 @@ def _(spark, sf):
     load = lambda d: d(spark, sf)
     edits = sn.diff_settings(settings(OLD_SCOPED, OLD_SHARED, spark, sf), settings(NEW_SCOPED, NEW_SHARED, spark, sf))
     masked = sn.masked_packages(edits, load(PACKAGES), (load(OLD_SCOPED), load(OLD_SHARED)), (load(NEW_SCOPED), load(NEW_SHARED)))
-    reach = masked.filter("NOT masked").select("name", "package").unionByName(
-        edits.filter("scope IS NOT NULL").select("name", F.col("scope").alias("package"))).distinct()
-    return sn.variable_impact(edits, reach, load(VAR_REFS))
+    return sn.variable_impact(edits, masked, load(VAR_REFS), load(PACKAGES))
 
 
 @query("d15_insulated_tests", f"""

@@ -13,7 +13,7 @@ MINUTE = "cast(extract(day from ts) as bigint) * 1440 + cast(extract(hour from t
 HUNKS = Derived(f"""
     select 'user/' || cast(user_id as string) as path, {MINUTE} as new_start, cast(floor(value / 4) as bigint) as new_len,
            cast(floor(value / 3) as bigint) as removed_len, cast(floor(value / 4) as bigint) as added_len
-    from {{events}} where event_type = 'error' and user_id < 100000""")
+    from {{events}} where event_type = 'error'""")
 BLOCKS = Derived(f"""
     select event_id as id, 'user/' || cast(user_id as string) as path, {MINUTE} as block_start, {MINUTE} + cast(floor(value) as bigint) as block_end
     from {{events}} where event_type in ('purchase', 'view')""")

@@ -21,7 +21,7 @@ MODEL_REFS = Derived("""
     select distinct up as src, p_partkey as dst from (
       select p_partkey, cast(floor(p_partkey / 2) as bigint) as up from {part} union all
       select p_partkey, cast(floor(p_partkey / 3) as bigint) from {part}) where up <> p_partkey""")
-CHANGED = Derived("select p_partkey as node from {part} where p_size = 7 and p_partkey > 1")
+CHANGED = Derived("select p_partkey as node from {part} where p_size = 7")
 REF = dict(edges=REFERENCES)
 MODEL = dict(edges=MODEL_REFS, seeds=CHANGED)
 
@@ -93,7 +93,7 @@ MACRO_EDGES = Derived("select p_partkey as src, cast(floor(p_partkey / 2) as big
 MACRO_USERS = Derived("""
     select o_orderkey as id, o_custkey as macro, case o_orderstatus when 'F' then 'test' else 'model' end as kind,
            case o_orderpriority when '1-URGENT' then 'vendor' when '2-HIGH' then null else 'shop' end as package from {orders}""")
-CHANGED_MACROS = Derived("select p_partkey as macro from {part} where p_size between 10 and 12 and p_partkey > 3")
+CHANGED_MACROS = Derived("select p_partkey as macro from {part} where p_size between 12 and 14")
 MACRO = dict(calls=MACRO_EDGES, users=MACRO_USERS, changed=CHANGED_MACROS)
 MACRO_SQL = """
     with recursive walk as (select macro as node, macro as changed from changed union select c.src, w.changed from walk w join calls c on c.dst = w.node),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.catalog_facts import pivot_sum
 from ..operators.incremental import high_water_filter
-from ..operators.joins import anti_join, not_in
+from ..operators.joins import anti_join, join_on, not_in
 from ..functions.scalars import guarded_ratio
 
 # Payment methods of the shop.
@@ -82,20 +82,20 @@ def paid_orders(stg_orders: DataFrame, stg_payments: DataFrame) -> DataFrame:
 
 
 def customer_orders(stg_customers: DataFrame, paid: DataFrame) -> DataFrame:
-    return stg_customers.join(paid, "customer_id", "left").select(
+    return join_on(stg_customers, paid, [("customer_id", "customer_id")], "left").select(
         "customer_id", "first_name", "last_name", "order_id", "order_date", "status", "amount")
 
 
 def order_payment_match(stg_orders: DataFrame, stg_payments: DataFrame) -> DataFrame:
-    return stg_payments.join(stg_orders, "order_id", "right").select("order_id", "status", "payment_method", "amount")
+    return join_on(stg_payments.select("order_id", "payment_method", "amount"), stg_orders.select("order_id", "status"),
+                   [("order_id", "order_id")], "right").select("order_id", "status", "payment_method", "amount")
 
 
 def enriched(customer_orders: DataFrame, match: DataFrame) -> DataFrame:
-    c, m = customer_orders.alias("c"), match.alias("m")
-    return c.join(m, F.col("c.order_id") == F.col("m.order_id"), "full").select(
-        "c.customer_id", "c.first_name", "c.last_name", F.coalesce("c.order_id", "m.order_id").alias("order_id"),
-        "c.order_date", F.coalesce("c.status", "m.status").alias("status"), "m.payment_method",
-        F.coalesce("c.amount", "m.amount").alias("amount"))
+    other = match.withColumnsRenamed({"status": "_status", "amount": "_amount"})
+    return join_on(customer_orders, other, [("order_id", "order_id")], "full").select(
+        "customer_id", "first_name", "last_name", "order_id", "order_date",
+        F.coalesce("status", "_status").alias("status"), "payment_method", F.coalesce("amount", "_amount").alias("amount"))
 
 
 def with_total(rows: DataFrame, paid: DataFrame, name: str = "all_orders_amount") -> DataFrame:
