@@ -42,7 +42,7 @@ def closure(edges: DataFrame, seeds: DataFrame, direction: str = "down", max_dep
     Each round joins only the nodes found in the round before. ``carry`` columns travel with the node, so that many
     sources are followed in one pass.
     """
-    steps = cut(_directed(edges, direction).distinct())
+    steps = cut(_directed(edges, direction))
     key = ["node", *carry]
     frontier = cut(seeds.select(*key).distinct().withColumn("depth", F.lit(0)))
     seen, rounds, depth = frontier, [frontier], 0
@@ -65,7 +65,7 @@ def seed_extremes(edges: DataFrame, seeds: DataFrame, direction: str = "down") -
     Two numbers per node decide whether some seed other than a given one reaches it, so the (node, seed) pairs
     are never listed.
     """
-    steps = cut(_directed(edges, direction).distinct())
+    steps = cut(_directed(edges, direction))
     state = cut(seeds.select("node").distinct().select("node", F.col("node").alias("lo"), F.col("node").alias("hi")))
     changed = state
     while not changed.isEmpty():

@@ -93,7 +93,7 @@ def order_payment_match(stg_orders: DataFrame, stg_payments: DataFrame) -> DataF
 
 def enriched(customer_orders: DataFrame, match: DataFrame) -> DataFrame:
     other = match.withColumnsRenamed({"status": "_status", "amount": "_amount"})
-    return join_on(customer_orders, other, [("order_id", "order_id")], "full").select(
+    return customer_orders.join(other, "order_id", "full").select(
         "customer_id", "first_name", "last_name", "order_id", "order_date",
         F.coalesce("status", "_status").alias("status"), "payment_method", F.coalesce("amount", "_amount").alias("amount"))
 
@@ -104,15 +104,16 @@ def with_total(rows: DataFrame, paid: DataFrame, name: str = "all_orders_amount"
 
 
 def order_metrics(stg_orders: DataFrame, stg_payments: DataFrame, stg_customers: DataFrame, stg_refunds: DataFrame,
-                  completed: str = "completed", refunded: str = "refunded") -> DataFrame:
+                  refunded: str = "refunded") -> DataFrame:
+    """Completed rows, then all others, then refunds; the first two together are every row that has a status."""
     paid = paid_orders(stg_orders, stg_payments)
     joined = enriched(customer_orders(stg_customers, paid), order_payment_match(stg_orders, stg_payments))
     per_total = with_total(joined, paid).select("order_id", "status", "amount", "all_orders_amount")
-    done, other = per_total.filter(F.col("status") == completed), per_total.filter(F.col("status") != completed)
+    settled = per_total.filter("status IS NOT NULL")
     refunds = stg_refunds.select("order_id", F.lit(refunded).alias("status"), "amount",
                                  F.lit(None).cast("double").alias("all_orders_amount"))
-    statuses = done.select("status").union(other.select("status")).distinct()
-    rows = done.unionByName(other).unionByName(refunds)
+    statuses = settled.select("status").distinct()
+    rows = settled.unionByName(refunds)
     amount, total = F.col("amount").cast("double"), F.col("all_orders_amount").cast("double")
     return rows.select("order_id", "status", "amount", "all_orders_amount",
                        guarded_ratio(amount, total, 4).alias("amount_share"),
