@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .contracts import support_column
 from .joins import covers, match_keys
-from .numbering import all_of
+from .numbering import all_of, number_rows
 
 FINDING = ["check", "table", "construct", "verdict", "tier", "evidence"]
 
@@ -227,8 +227,8 @@ def audit_incremental_branches(models: DataFrame, unit_tests: DataFrame) -> Data
     return finding(joined, "incremental_branch", F.col("table"), F.lit("config.materialized"), verdict, "total", label)
 
 
-def grain_signals(models: DataFrame, tests: DataFrame) -> DataFrame:
-    """Every claim about a table's grain, strongest first: (table, rank, kind, columns, origin)."""
+def grain_claims(models: DataFrame, tests: DataFrame) -> DataFrame:
+    """Every claim about a table's grain: (table, strength, kind, columns, origin), 1 being the strongest."""
     authored = models.filter(F.trim("meta_grain") != "").select(
         "table", F.lit(1).alias("strength"), F.lit("authored").alias("kind"), F.col("meta_grain").alias("columns"),
         F.lit("meta").alias("origin"))
@@ -241,13 +241,17 @@ def grain_signals(models: DataFrame, tests: DataFrame) -> DataFrame:
     kind = F.when(strength == 2, "primary_key").when(strength == 3, "compound_unique").otherwise("unique")
     claimed = claims.select("table", strength.alias("strength"), kind.alias("kind"),
                             F.concat_ws(", ", "columns").alias("columns"), F.col("test").alias("origin"))
-    ladder = W.partitionBy("table").orderBy("strength", "origin")  # the claims about one table, not its rows
-    return authored.unionByName(claimed).withColumn("rank", F.row_number().over(ladder))
+    return authored.unionByName(claimed)
+
+
+def grain_signals(models: DataFrame, tests: DataFrame) -> DataFrame:
+    """The claims of each table, ranked strongest first."""
+    return number_rows(grain_claims(models, tests), ["strength", "origin"], by=["table"], name="rank")
 
 
 def detect_grain(models: DataFrame, tests: DataFrame) -> DataFrame:
     """Strongest signal per table; tables without one are ``unknown``."""
-    best = grain_signals(models, tests).groupBy("table").agg(
+    best = grain_claims(models, tests).groupBy("table").agg(
         F.min(F.struct("strength", "origin", "kind", "columns")).alias("s"), F.count(F.lit(1)).alias("signals"))
     return models.select("table").join(best, "table", "left").select(
         "table", F.coalesce("s.kind", F.lit("unknown")).alias("kind"), F.col("s.columns").alias("columns"),

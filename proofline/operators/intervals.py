@@ -4,39 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .numbering import all_of
-
-BUCKET = 4096
+from .numbering import all_of, running_max
 
 
 def touches(rows: DataFrame, intervals: DataFrame, by: Sequence[str], lo: str, hi: str,
-            start: str = "start", end: str = "end", name: str = "touched", width: int = BUCKET) -> DataFrame:
+            start: str = "start", end: str = "end", name: str = "touched") -> DataFrame:
     """Flag rows whose [lo, hi] meets any [start, end] of the same key.
 
     ``max(end) over intervals starting at or before hi`` is at least ``lo`` exactly when one of them meets the
-    row. Both sides are first reduced to one row per position, so that a bucket of positions holds at most
-    ``2 * width`` rows whatever the skew; bucket maxima are then carried over per key.
+    row. Both sides are first reduced to one row per position, and the maximum runs over ranges that split a
+    key with many positions.
     """
-    spots = rows.filter(F.col(hi).isNotNull()).select(
-        *by, F.col(hi).cast("long").alias("_pos"), F.lit(None).cast("long").alias("_end"),
-        F.lit(1).alias("_ask")).distinct()
+    spots = rows.filter(F.col(hi).isNotNull()).select(*by, F.col(hi).cast("long").alias("_pos")).distinct().select(
+        *by, "_pos", F.lit(None).cast("long").alias("_end"), F.lit(1).alias("_ask"))
     spans = intervals.groupBy(*by, F.col(start).cast("long").alias("_pos")).agg(
         F.max(F.col(end).cast("long")).alias("_end")).withColumn("_ask", F.lit(0))
-    line = spots.unionByName(spans).withColumn("_bucket", F.floor(F.col("_pos") / width))
-    inside = W.partitionBy(*by, "_bucket").orderBy("_pos", "_ask").rowsBetween(W.unboundedPreceding, 0)
-    local = line.withColumn("_near", F.max("_end").over(inside)).filter("_ask = 1")
-    tops = spans.groupBy(*by, F.floor(F.col("_pos") / width).alias("_bucket")).agg(F.max("_end").alias("_end"))
-    earlier = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    asked = local.select(*by, "_bucket").distinct().withColumn("_end", F.lit(None).cast("long"))
-    carried = (
-        tops.unionByName(asked).groupBy(*by, "_bucket").agg(F.max("_end").alias("_end"))
-        .withColumn("_far", F.max("_end").over(earlier)).select(*by, "_bucket", "_far")
-    )
-    reach = local.join(carried, [*by, "_bucket"], "left").select(
-        *[F.col(c).alias(f"_r{i}") for i, c in enumerate(by)], F.col("_pos").alias("_rp"),
-        F.greatest("_near", "_far").alias("_reach"))
+    reached = running_max(spots.unionByName(spans), "_end", ["_pos", "_ask"], by, "_reach").filter("_ask = 1")
+    reach = reached.select(*[F.col(c).alias(f"_r{i}") for i, c in enumerate(by)], F.col("_pos").alias("_rp"), "_reach")
     match = all_of([F.col(c) == F.col(f"_r{i}") for i, c in enumerate(by)]) & (
         F.col(hi).cast("long") == F.col("_rp"))
     joined = rows.join(reach, match, "left")

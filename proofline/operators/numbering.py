@@ -22,38 +22,55 @@ def all_of(conditions: Sequence[Column]) -> Column:
     return out
 
 
-def number_rows(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), name: str = "row_no") -> DataFrame:
-    """Add 1, 2, 3... in ``order`` within each ``by`` group.
+def _ranged(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows in (by, order), cut into ranges that also split a single large group; ``_part`` names the range.
 
-    Rows are range-partitioned on (by, order), so that a group larger than a task is spread over many; each
-    partition numbers its own rows and a table of at most one row per partition carries the offsets. The ranged
-    rows are written out first because both halves must see one and the same partitioning.
+    The result is written out, because everything that follows must see one and the same ranges.
+    """
+    sorted_rows = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    return cut(sorted_rows.withColumn("_slot", F.monotonically_increasing_id())).withColumn(
+        "_part", F.shiftright("_slot", SLOT_BITS))
+
+
+def _carry(runs: DataFrame, by: Sequence[str], total: Column) -> DataFrame:
+    """What earlier ranges of the same group hand on to each range.
+
+    Only the first group of a range can have begun in an earlier one, so there is at most one row per range.
     """
-    ranged = (
-        df.repartitionByRange(*by, *order)
-        .sortWithinPartitions(*by, *order)
-        .withColumn("_slot", F.monotonically_increasing_id())
-    )
-    ranged = cut(ranged).withColumn("_part", F.shiftright("_slot", SLOT_BITS))
-    runs = ranged.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    carry = (
-        runs.select(*by, "_part", F.sum("_n").over(before).alias("_carry"))
-        .filter("_carry > 0")
-        .select(*[F.col(c).alias(f"_b{i}") for i, c in enumerate(by)], F.col("_part").alias("_p"), "_carry")
-    )
+    return runs.select(*by, "_part", total.over(before).alias("_carry")).filter("_carry IS NOT NULL").select(
+        *[F.col(c).alias(f"_b{i}") for i, c in enumerate(by)], F.col("_part").alias("_p"), "_carry")
+
+
+def _with_carry(local: DataFrame, carry: DataFrame, by: Sequence[str]) -> DataFrame:
+    match = all_of([same(F.col(c), F.col(f"_b{i}")) for i, c in enumerate(by)]) & (F.col("_part") == F.col("_p"))
+    return local.join(F.broadcast(carry), match, "left")  # bounded by the number of ranges
+
+
+def number_rows(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), name: str = "row_no") -> DataFrame:
+    """Add 1, 2, 3... in ``order`` within each ``by`` group; every range counts its own rows and adds what came before."""
+    ranged = _ranged(df, by, order)
+    runs = ranged.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"))
     if by:
         start = F.min("_slot").over(W.partitionBy(*by, "_part"))
         local = ranged.withColumn("_local", F.col("_slot") - start + 1)
     else:
         local = ranged.withColumn("_local", F.col("_slot").bitwiseAND((1 << SLOT_BITS) - 1) + 1)
-    # at most one carried run begins in each partition, so the broadcast side is bounded by their number
-    match = all_of([same(F.col(c), F.col(f"_b{i}")) for i, c in enumerate(by)]) & (F.col("_part") == F.col("_p"))
-    joined = local.join(F.broadcast(carry), match, "left")
+    joined = _with_carry(local, _carry(runs, by, F.sum("_n")), by)
     number = (F.col("_local") + F.coalesce("_carry", F.lit(0))).cast("long")
     return joined.select(*df.columns, number.alias(name))
 
 
+def running_max(df: DataFrame, value: str, order: Sequence[str], by: Sequence[str], name: str = "running") -> DataFrame:
+    """Largest ``value`` so far in ``order`` within each ``by`` group."""
+    ranged = _ranged(df, by, order)
+    runs = ranged.groupBy(*by, "_part").agg(F.max(value).alias("_m"))
+    so_far = W.partitionBy(*by, "_part").orderBy("_slot").rowsBetween(W.unboundedPreceding, 0)
+    local = ranged.withColumn("_local", F.max(value).over(so_far))
+    joined = _with_carry(local, _carry(runs, by, F.max("_m")), by)
+    return joined.select(*df.columns, F.greatest("_local", "_carry").alias(name))
+
+
 def sequence_key(df: DataFrame, order: Sequence[str], sentinel: Mapping[str, object] | None = None,
                  name: str = "key", sentinel_key: int = -1) -> DataFrame:
     """Number all rows from 1 and add an unknown member; columns the sentinel does not name are NULL."""

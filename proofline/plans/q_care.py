@@ -77,6 +77,78 @@ def _(spark, sf):
         F.count(F.lit(1)).alias("provider_count"), F.sum("active_patient_count").alias("total_patients"))
 
 
+@query("m16_top_conditions", """
+    select condition_id, count(distinct patient_id) as patient_count, count(distinct visit_id) as encounter_count from visits
+    group by condition_id order by patient_count desc, condition_id limit 10""", visits=VISITS)
+def _(spark, sf):
+    per = VISITS(spark, sf).groupBy("condition_id").agg(F.count_distinct("patient_id").alias("patient_count"),
+                                                       F.count_distinct("visit_id").alias("encounter_count"))
+    return per.orderBy(F.desc("patient_count"), "condition_id").limit(10)
+
+
+SUMMARY = """
+    summary as (select patient_id, year(visit_date) as year_actual, sum(cost) as total_cost, count(*) as encounter_count,
+                count(distinct condition_id) as condition_count from visits group by 1, 2)"""
+
+
+def patient_years(spark, sf):
+    return VISITS(spark, sf).groupBy("patient_id", F.year("visit_date").cast("long").alias("year_actual")).agg(
+        F.sum("cost").alias("total_cost"), F.count(F.lit(1)).alias("encounter_count"),
+        F.count_distinct("condition_id").alias("condition_count"))
+
+
+@query("m16_costliest_patients", f"""
+    with {SUMMARY} select s.patient_id, p.patient_name || ' / ' || p.segment as patient_name, year_actual, cast(total_cost as double) as total_cost,
+      encounter_count, condition_count from summary s join patients p using (patient_id) where year_actual = 1998
+    order by s.total_cost desc, patient_id limit 10""", visits=VISITS, patients=PATIENTS)
+def _(spark, sf):
+    named = PATIENTS(spark, sf).select("patient_id", F.concat("patient_name", F.lit(" / "), "segment").alias("patient_name"))
+    return care.top_rows(patient_years(spark, sf).filter("year_actual = 1998"), [(named, "patient_id")],
+                         ["patient_id", "patient_name", "year_actual", F.col("total_cost").cast("double").alias("total_cost"), "encounter_count",
+                          "condition_count"], [F.desc("total_cost"), F.col("patient_id")], 10)
+
+
+@query("m16_yearly_trends", f"""
+    with {SUMMARY} select year_actual, count(distinct patient_id) as patient_count, round(cast(sum(encounter_count) as double) / count(*), 2) as avg_encounters,
+      round(cast(sum(condition_count) as double) / count(*), 2) as avg_conditions, cast(sum(total_cost) as double) as total_population_cost
+    from summary group by 1""", visits=VISITS)
+def _(spark, sf):
+    return patient_years(spark, sf).groupBy("year_actual").agg(
+        F.count_distinct("patient_id").alias("patient_count"), exact_avg("encounter_count").alias("avg_encounters"),
+        exact_avg("condition_count").alias("avg_conditions"), cost("total_cost").alias("total_population_cost"))
+
+
+@query("m16_top_providers", """
+    select provider_id, s_name as provider_name, s_nationkey as specialty, count(*) as total_encounters, count(distinct patient_id) as total_patients,
+      round(cast(sum(cost) as double) / count(*), 2) as avg_cost_per_encounter
+    from visits join supplier on provider_id = s_suppkey where year(visit_date) = 1999 group by 1, 2, 3
+    order by total_encounters desc, provider_id limit 15""", visits=VISITS)
+def _(spark, sf):
+    supplier = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("provider_id"), F.col("s_name").alias("provider_name"),
+                                                   F.col("s_nationkey").alias("specialty"))
+    per = VISITS(spark, sf).filter("year(visit_date) = 1999").groupBy("provider_id").agg(
+        F.count(F.lit(1)).alias("total_encounters"), F.count_distinct("patient_id").alias("total_patients"),
+        exact_avg("cost").alias("avg_cost_per_encounter"))
+    return care.top_rows(per, [(supplier, "provider_id")], ["provider_id", "provider_name", "specialty", "total_encounters", "total_patients",
+                                                           "avg_cost_per_encounter"], [F.desc("total_encounters"), F.col("provider_id")], 15)
+
+
+@query("m16_chronic_patients", """
+    select patient_id, patient_name, visit_class, min(visit_date) as first_date,
+      (year(max(visit_date)) - year(min(visit_date))) * 12 + month(max(visit_date)) - month(min(visit_date)) as months, count(*) as encounter_count
+    from visits join patients using (patient_id) group by 1, 2, 3
+    having (year(max(visit_date)) - year(min(visit_date))) * 12 + month(max(visit_date)) - month(min(visit_date)) >= 24
+    order by months desc, patient_id, visit_class limit 50""", visits=VISITS, patients=PATIENTS)
+def _(spark, sf):
+    per = VISITS(spark, sf).groupBy("patient_id", "visit_class").agg(
+        F.min("visit_date").alias("first_date"), F.max("visit_date").alias("last_date"), F.count(F.lit(1)).alias("encounter_count"))
+    months = (F.year("last_date") - F.year("first_date")) * 12 + F.month("last_date") - F.month("first_date")
+    long_ = per.withColumn("months", months.cast("long")).filter("months >= 24")
+    return care.top_rows(long_, [(PATIENTS(spark, sf).select("patient_id", "patient_name"), "patient_id")],
+                         ["patient_id", "patient_name", "visit_class", "first_date", "months", "encounter_count"],
+                         [F.desc("months"), F.col("patient_id"), F.col("visit_class")], 50)
+
+
 @query("a7_payer_costs", """
     select n_name as payer_name, count(distinct visit_id) as encounter_count, cast(sum(cost) as double) as total_cost,
            round(cast(sum(discount) as double) / count(discount), 2) as avg_discount

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import diff
 from ..operators.contracts import schema_impact
 from ..operators.data_tests import UnitTest, run_unit_test
+from ..operators.numbering import number_rows
 from . import shop
 from .base import Derived, query, table
 from .q_shop import RAW, STAGING, Staged
@@ -22,14 +23,19 @@ NEW_ORDERS = Derived("""
     select o_orderkey + 1000000000, o_orderkey + 1000000000, o_custkey, o_orderstatus, o_totalprice, o_orderpriority
     from {orders} where o_orderpriority = '1-URGENT' and o_totalprice < 20000""")
 # rows that repeat many times: a few columns of the line items, in table order of their keys
-OLD_LINES = Derived("""
-    select row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey) as pos, l_returnflag, l_linestatus, l_linenumber from {lineitem}""")
+OLD_LINES = Derived("select l_orderkey, l_partkey, l_suppkey, l_returnflag, l_linestatus, l_linenumber from {lineitem}")
 NEW_LINES = Derived("""
-    select row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey) as pos,
-           case when l_quantity > 49 then 'X' else l_returnflag end as l_returnflag, l_linestatus, l_linenumber
+    select l_orderkey, l_partkey, l_suppkey, case when l_quantity > 49 then 'X' else l_returnflag end as l_returnflag, l_linestatus, l_linenumber
     from {lineitem} where not (l_linenumber = 7 and l_discount = 0.1)""")
+PLACED = "select row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey) as pos, l_returnflag, l_linestatus, l_linenumber from {lines}"
 PAIR = dict(old_=OLD_ORDERS, new_=NEW_ORDERS)
-LINES = dict(old_=OLD_LINES, new_=NEW_LINES)
+LINES = dict(old_=Derived(PLACED, lines=OLD_LINES), new_=Derived(PLACED, lines=NEW_LINES))  # for the SQL side
+LINE_COLUMNS = ["l_returnflag", "l_linestatus", "l_linenumber"]
+
+
+def lines(derived, spark, sf):
+    """Line items with their place in key order."""
+    return number_rows(derived(spark, sf), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], name="pos").select("pos", *LINE_COLUMNS)
 
 
 def matched_sql(columns):
@@ -45,7 +51,6 @@ def matched_sql(columns):
 
 
 ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
-LINE_COLUMNS = ["l_returnflag", "l_linestatus", "l_linenumber"]
 KINDS = "case when lo.pos is null then 'added' when ln.pos is null then 'removed' else 'modified' end"
 
 
@@ -54,7 +59,7 @@ def orders_diff(spark, sf):
 
 
 def lines_diff(spark, sf):
-    return diff.diff_tables(OLD_LINES(spark, sf), NEW_LINES(spark, sf), "pos", "pos")
+    return diff.diff_tables(lines(OLD_LINES, spark, sf), lines(NEW_LINES, spark, sf), "pos", "pos")
 
 
 @query("d1_diff_tables", f"""
@@ -98,7 +103,7 @@ def _(spark, sf):
     select kind, count(*) as n_rows from (select 'unchanged' as kind from eq
       union all select {KINDS} from lo full join ln on lo.i = ln.i) group by kind""", **LINES)
 def _(spark, sf):
-    return diff.diff_counts(OLD_LINES(spark, sf).drop("pos"), NEW_LINES(spark, sf).drop("pos"))
+    return diff.diff_counts(*(d(spark, sf).select(*LINE_COLUMNS) for d in (OLD_LINES, NEW_LINES)))
 
 
 @query("d3_has_real_change", "select true as real_change", **PAIR)

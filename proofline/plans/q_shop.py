@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import incremental as inc, joins
 from ..operators.catalog_facts import pivot_sum
+from ..session import scratch_path
+from ..sources.csv import read_seed_csv
 from . import shop
 from .base import Derived, query, table
 
@@ -207,6 +209,18 @@ def _(spark, sf):
     return out.withColumn("occurred_at", F.date_format("occurred_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
+STATES = Derived("""
+    select 'S' || cast(n_nationkey as string) as state_code, n_name as state_name, cast(n_regionkey as string) as region,
+           n_regionkey > 1 as is_active from {nation}""")
+
+
+@query("m15_stg_states", "select state_code, state_name, region from raw_states", raw_states=STATES)
+def _(spark, sf):
+    path = scratch_path(spark, "states")
+    STATES(spark, sf).write.option("header", True).csv(path)
+    return shop.stg_states(read_seed_csv(spark, path))
+
+
 # ---- the joins, unions and aggregates those models are made of, one at a time
 
 @query("j1_inner_join", f"""
@@ -261,13 +275,14 @@ def _(spark, sf):
     return money(out, "all_orders_amount")
 
 
-@query("j6_comma_product", """
-    select r.r_name, n.n_name, (r.r_regionkey = n.n_regionkey) as same_region from region r, nation n""")
+@query("j6_comma_product", f"""
+    with {STAGING}, total as (select cast(sum(amount) as bigint) as t from stg_payments)
+    select p.order_id, p.payment_method, p.amount / 100.0 as amount, t / 100.0 as total_check from stg_payments p, total""", **RAW)
 def _(spark, sf):
-    # the product is the result: every region beside every nation
-    regions, nations = table(spark, sf, "region"), table(spark, sf, "nation")
-    return regions.crossJoin(nations).select("r_name", "n_name", (F.col("r_regionkey") == F.col("n_regionkey")).alias(
-        "same_region"))
+    # FROM rows, grand_total: the second side is a one-row aggregate
+    s = Staged(spark, sf)
+    out = shop.with_total(s.payments.select("order_id", "payment_method", "amount"), s.payments, "total_check")
+    return money(out, "amount", "total_check")
 
 
 @query("j7_anti_join_is_null", f"""
