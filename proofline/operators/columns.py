@@ -39,7 +39,7 @@ def stitch_columns(outputs: DataFrame, bound: DataFrame, sources: DataFrame, pas
     passthrough (node, column, source_column). A known upstream column flows to a node that exposes it; a source
     carries by proven name only, and only where it is the node's one source.
     """
-    links = bound.filter("upstream IS NOT NULL").select("id", "upstream").distinct()
+    links = cut(bound.filter("upstream IS NOT NULL").select("id", "upstream").distinct())
     up = outputs.select(F.col("node").alias("upstream"), "column")
     down = outputs.select(F.col("node").alias("id"), "column")
     named = links.join(up, "upstream").join(down, ["id", "column"], "left_semi")

@@ -166,13 +166,17 @@ def diff_tables(old: DataFrame, new: DataFrame, order_old: str, order_new: str,
             *[F.col(k).alias(f"_u{i}") for i, k in enumerate(keys)], F.least("_n_old", "_n_new").alias("_keep")))
         match = all_of([same(F.col(k), F.col(f"_u{i}")) for i, k in enumerate(keys)])
         settled = right_side.join(uneven, match, "left_anti").select(*by, "_side", "_pos", "new")
+        # few rows as a rule; written out because range partitioning reads its input twice
         open_rows = cut(rows.join(uneven, match).drop(*[f"_u{i}" for i in range(len(keys))]))
-        partial = number_rows(open_rows.filter("_keep > 0"), ["_pos"], by=[*keys, "_side"], name="_k")
-        residual = open_rows.filter("_keep = 0").select(*keep).unionByName(
-            partial.filter("_k > _keep").select(*keep))
-        unchanged = settled.unionByName(
-            partial.filter((F.col("_k") <= F.col("_keep")) & (F.col("_side") == NEW)).select(
-                *by, "_side", "_pos", "new"))
+        if uneven.filter("_keep > 0").isEmpty():  # the usual case: no row is on both sides in different numbers
+            residual, unchanged = open_rows.select(*keep), settled
+        else:
+            partial = number_rows(open_rows.filter("_keep > 0"), ["_pos"], by=[*keys, "_side"], name="_k")
+            residual = open_rows.filter("_keep = 0").select(*keep).unionByName(
+                partial.filter("_k > _keep").select(*keep))
+            unchanged = settled.unionByName(
+                partial.filter((F.col("_k") <= F.col("_keep")) & (F.col("_side") == NEW)).select(
+                    *by, "_side", "_pos", "new"))
 
     numbered = number_rows(residual, ["_pos"], by=[*by, "_side"], name="_i")
     left = numbered.filter(F.col("_side") == OLD).select(*by, "_i", F.col("_pos").alias("old_pos"), "old")

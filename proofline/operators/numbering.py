@@ -25,7 +25,8 @@ def all_of(conditions: Sequence[Column]) -> Column:
 def _ranged(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Rows in (by, order), cut into ranges that also split a single large group; ``_part`` names the range.
 
-    The result is written out, because everything that follows must see one and the same ranges.
+    The result is written out, because everything that follows must see one and the same ranges. Finding the ranges
+    reads the input once more, so an input that is dear to compute should be cut first.
     """
     sorted_rows = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
     return cut(sorted_rows.withColumn("_slot", F.monotonically_increasing_id())).withColumn(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import columns as cl, graph as g
+from ..session import cut
 from .base import Derived, query, table
 
 # who refers to whom, row by row: region > nation > customer > order > line, and supplier and part > line
@@ -237,7 +238,7 @@ def _(spark, sf):
            else 'opaque' end as termination
     from last l join walk w using (start_node, start_column, n) left join back b on b.node = w.node and b.col = w.col""", **LINEAGE)
 def _(spark, sf):
-    edges, outputs = stitched(spark, sf), OUTPUTS(spark, sf).withColumnRenamed("col", "column")
+    edges, outputs = cut(stitched(spark, sf)), OUTPUTS(spark, sf).withColumnRenamed("col", "column")
     none = SOURCES(spark, sf).filter("false")
     thin = cl.thin_nodes(outputs, COLUMN_EDGES(spark, sf), edges, none)
     out = cl.trace_to_source(edges, outputs, SOURCES(spark, sf), thin)
@@ -250,7 +251,7 @@ def _(spark, sf):
       union select w.start_node, w.start_column, s.downstream, s.downstream_column from walk w join stitched s on s.upstream = w.node and s.upstream_column = w.col)
     select * exclude (col), col as "column" from walk where not (node = start_node and col = start_column)""", **LINEAGE)
 def _(spark, sf):
-    edges = stitched(spark, sf)
+    edges = cut(stitched(spark, sf))
     starts = edges.filter("upstream_column = 'discount'").select(F.col("upstream").alias("node"), F.col("upstream_column").alias("column")).distinct()
     out = cl.column_blast_radius(edges, starts)
     return out.withColumns({c: F.col(c).cast("long") for c in ("start_node", "node")})

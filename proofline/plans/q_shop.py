@@ -195,8 +195,7 @@ def _(spark, sf):
     union all select 'europe', count(*), cast(sum(amount) as double) from sales where region = 'europe'
     union all select 'combined', count(*), cast(sum(amount) as double) from sales""", sales=SALES)
 def _(spark, sf):
-    parts = shop.region_totals(SALES(spark, sf), ["asia", "europe"])
-    tagged = joins.tagged_union(parts, "part")
+    tagged = shop.region_totals(SALES(spark, sf), ["asia", "europe"])
     return tagged.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").cast("double").alias("amount"))
 
 
