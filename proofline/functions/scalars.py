@@ -92,28 +92,30 @@ def deprecation_state(raw: Column, as_of: Column) -> Column:
     )
 
 
-TEMPLATE_REGION = r"(?s)(\{\{.*?\}\}|\{%.*?%\})"
-VAR_LITERAL = r"""\bvar\s*\(\s*['"]([^'"]*)['"]"""
-VAR_CALL = r"\bvar\s*\("
+_QUOTED = r"""'[^']*+'|"[^"]*+\""""
+_INNER = rf"""\{{(?:{_QUOTED}|[^{{}}'"]++)*+\}}"""
+_BRACED = rf"""\{{(?:{_QUOTED}|{_INNER}|[^{{}}'"]++)*+\}}"""
+# in the order they are tried: comments, raw blocks, expressions, statements; one left open runs to the end
+TEMPLATE_REGION = "(?s)" + "|".join((
+    r"\{#.*?(?:#\}|\z)",
+    r"\{%-?\s*raw\s*-?%\}.*?(?:\{%-?\s*endraw\s*-?%\}|\z)",
+    rf"""\{{\{{(?:{_QUOTED}|{_BRACED}|[^{{}}'"]++)*+\}}\}}""",
+    r"\{%.*?(?:%\}|\z)",
+    r"\{\{.*\z",
+))
+SILENT_REGION = r"(?s)^(\{#|\{%-?\s*raw\s*-?%\})"
+VAR_CALL = r"""(?<![A-Za-z0-9_.])var(?:\.has_var)?\s*\(\s*(?:'[^']*'|"[^"]*")?"""
 
 
 def text_references(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Names in literal ``var('x')`` calls inside template regions; a call with no literal name is dynamic."""
-    regions = F.regexp_extract_all(F.col(text_col), F.lit(TEMPLATE_REGION), 1)
-    live = F.filter(regions, lambda r: r.rlike(VAR_CALL))
-    spread = df.select(F.col(id_col).alias("id"), F.explode(live).alias("region"))
-    literal = F.regexp_extract_all("region", F.lit(VAR_LITERAL), 1)
-    calls = F.regexp_count("region", F.lit(VAR_CALL))
-    return (
-        spread.select("id", literal.alias("names"), (calls > F.size(literal)).alias("open"))
-        .select("id", "open", F.explode(
-            F.concat(F.transform("names", lambda n: F.struct(n.alias("name"), F.lit(False).alias("dynamic"))),
-                     F.when(F.col("open"), F.array(F.struct(F.lit(None).cast("string").alias("name"),
-                                                            F.lit(True).alias("dynamic"))))
-                     .otherwise(F.array().cast("array<struct<name:string,dynamic:boolean>>")))).alias("r"))
-        .select("id", "r.name", "r.dynamic")
-        .distinct()
-    )
+    """(id, name, dynamic): names in literal ``var('x')`` calls inside template regions; a call with no literal name is
+    dynamic. Comments and raw blocks are no regions."""
+    regions = F.filter(F.regexp_extract_all(F.col(text_col), F.lit(TEMPLATE_REGION), 0), lambda r: ~r.rlike(SILENT_REGION))
+    calls = F.flatten(F.transform(regions, lambda r: F.regexp_extract_all(r, F.lit(VAR_CALL), 0)))
+    literal = F.regexp_extract("call", r"""(?s)['"](.*)['"]$""", 1)
+    named = F.col("call").rlike(r"""['"]$""")
+    return df.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(calls)).alias("call")).select(
+        "id", F.when(named, literal).alias("name"), (~named).alias("dynamic")).distinct()
 
 
 def surrogate_key(columns: Sequence[Column]) -> Column:

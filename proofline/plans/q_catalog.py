@@ -399,14 +399,15 @@ def _(spark, sf):
 
 
 @query("d10_change_axes", f"""
-    with {BY_PATH}
-    select id, path in (select p from paths) as body, patch_path in (select p from paths) as config,
-      id in (select u.target_name from units u where u.path in (select path from changes)) as unit_test from cur""",
+    with {BY_PATH}, {SCOPE_SQL.format(changed_test="t.path in (select path from changes)")}
+    select m.id, c.path in (select p from paths) as body, c.patch_path in (select p from paths) as config,
+      m.id in (select model from scoped where model is not null) as unit_test from models_in m join cur c on c.id = m.id""",
        cur=CUR, changes=CHANGED_PATHS, units=UNIT_TESTS)
 def _(spark, sf):
     models, changes = CUR(spark, sf), CHANGED_PATHS(spark, sf)
-    touched = joins.changed_by_path(bound_tests(UNIT_TESTS, spark, sf), changes.drop("old_path")).select(F.col("model").alias("id"))
-    return sn.change_axes(models, joins.changed_by_path(models, changes), joins.changed_by_path(models, changes, "patch_path"), touched.dropna())
+    scope = sn.select_scope(bound_tests(UNIT_TESTS, spark, sf), models, changes=changes)
+    tested = scope.tests.select(F.col("model").alias("id")).dropna()
+    return sn.change_axes(scope.models, joins.changed_by_path(models, changes), joins.changed_by_path(models, changes, "patch_path"), tested)
 
 
 @query("j19_changed_by_path", f"with {BY_PATH} select id from cur where path in (select p from paths)", cur=CUR, changes=CHANGED_PATHS)

@@ -91,8 +91,8 @@ LINES = "length(text) - length(replace(text, chr(10), '')) + 1"
 
 @query("s5_read_change_hunks", f"""
     select doc_id as doc, 'src/' || doc_id || '.txt' as path, 0 as hunk, cast(n_chars as int) as new_start, cast({LINES} as int) as new_len,
-      cast({LINES} as int) as added_len, 1 as removed_len from documents
-    union all select doc_id, 'src/' || doc_id || '.txt', 1, 7, 0, 0, 2 from documents""")
+      cast({LINES} as int) as added_len, 1 as removed_len from documents where lang <> 'es'
+    union all select doc_id, 'src/' || doc_id || '.txt', 1, 7, 0, 0, 2 from documents where lang <> 'es'""")
 def _(spark, sf):
     return explode_patch(PATCHES(spark, sf)).hunks
 
@@ -105,9 +105,10 @@ def _(spark, sf):
 
 
 @query("s5_read_change_lines", """
-    select doc_id as doc, 'added' as side, unnest(string_split(text, chr(10))) as text from documents
-    union all select doc_id, 'removed', split_part(text, chr(10), 1) from documents union all select doc_id, 'removed', 'gone' from documents
-    union all select doc_id, 'removed', 'too' from documents""")
+    with live as (select * from documents where lang <> 'es')
+    select doc_id as doc, 'added' as side, unnest(string_split(text, chr(10))) as text from live
+    union all select doc_id, 'removed', split_part(text, chr(10), 1) from live union all select doc_id, 'removed', 'gone' from live
+    union all select doc_id, 'removed', 'too' from live""")
 def _(spark, sf):
     return explode_patch(PATCHES(spark, sf)).lines.select("doc", "side", "text")
 

@@ -94,7 +94,7 @@ def _(spark, sf):
 
 
 @query("v7_parse_relation", """
-    select s_suppkey, null as database, 'raw ' || s_nationkey as schema, 'supplier.' || s_suppkey as identifier from supplier""")
+    select s_suppkey, cast(null as varchar) as database, 'raw ' || s_nationkey as schema, 'supplier.' || s_suppkey as identifier from supplier""")
 def _(spark, sf):
     name = F.concat(F.lit('"RAW '), "s_nationkey", F.lit('"."Supplier.'), "s_suppkey", F.lit('"'))
     return table(spark, sf, "supplier").select("s_suppkey", scalars.parse_relation(name).alias("r")).select("s_suppkey", "r.*")

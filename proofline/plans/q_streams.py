@@ -13,7 +13,7 @@ from .base import query, table
 def stream(spark, sf):
     schema = table(spark, sf, "events").schema
     df = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    return df.withColumn("at", F.to_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone()))
+    return df.withColumn("at", F.col("ts").cast("timestamp"))
 
 
 @query("t6_stream_upsert", """

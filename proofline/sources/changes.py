@@ -25,9 +25,11 @@ def explode_patch(docs: DataFrame, doc: str = "doc", text: str = "text", strip:
     A document is cut at its file headers and hunk headers by ``split``, so that a line's place never depends on an
     ordering across rows: a section becomes a row, a hunk becomes a row, a line becomes a row.
     """
-    sections = docs.select(F.col(doc).alias("doc"), F.posexplode(
-        F.split(F.concat(F.lit("\n"), F.col(text)), r"\n(?=diff --git )")).alias("section", "body")).filter(
-        F.col("body").startswith("diff --git "))
+    lines = F.concat(F.lit("\n"), F.regexp_replace(text, "\r\n", "\n"))
+    # a plain patch has no git headers and its files begin at the old-side path
+    cuts = F.when(lines.contains("\ndiff --git "), F.split(lines, r"\n(?=diff --git )")).otherwise(F.split(lines, r"\n(?=--- )"))
+    sections = docs.select(F.col(doc).alias("doc"), F.posexplode(cuts).alias("section", "body")).filter(
+        F.col("body").rlike("^(diff --git |--- )"))
     grab = lambda pattern: F.nullif(F.regexp_extract("head", pattern, 1), F.lit(""))
     parts = sections.select("doc", "section", F.split("body", r"\n(?=@@ )").alias("p")).select(
         "doc", "section", F.element_at("p", 1).alias("head"), F.slice("p", 2, F.size("p")).alias("raw"))
@@ -44,7 +46,8 @@ def explode_patch(docs: DataFrame, doc: str = "doc", text: str = "text", strip:
         normalize_path(F.coalesce(F.when(gone, F.col("old")).otherwise(F.col("new")), F.col("to"), F.col("git")),
                        strip).alias("path"),
         normalize_path(F.col("from"), strip).alias("old_path"))
-    spread = named.select("doc", "path", F.posexplode("raw").alias("hunk", "text"))
+    # a deleted file is known by its path alone
+    spread = named.filter("status <> 'deleted'").select("doc", "path", F.posexplode("raw").alias("hunk", "text"))
     header = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
     size = F.regexp_extract("text", header, 2)
     body = F.slice(F.split("text", "\n"), 2, F.size(F.split("text", "\n")))

@@ -67,8 +67,12 @@ def test_patch(spark, tmp_path, rows):
     assert rows(found.files, "path", "old_path", "status") == [("born.sql", None, "added"), ("gone.sql", None, "deleted"),
                                                                 ("models/a.sql", None, "modified"), ("new.sql", "old.sql", "renamed")]
     assert rows(found.hunks, "path", "new_start", "new_len", "added_len", "removed_len") == [
-        ("born.sql", 1, 2, 2, 0), ("gone.sql", 0, 0, 0, 1), ("models/a.sql", 1, 1, 1, 1), ("models/a.sql", 8, 0, 0, 2)]
+        ("born.sql", 1, 2, 2, 0), ("models/a.sql", 1, 1, 1, 1), ("models/a.sql", 8, 0, 0, 2)]
     assert rows(found.lines.filter("path = 'models/a.sql'"), "side", "text") == [("added", "new"), ("removed", "old"), ("removed", "x"), ("removed", "y")]
+    plain = "--- a/x.sql\r\n+++ b/x.sql\r\n@@ -1 +1,2 @@\r\n-a\r\n+b\r\n+c\r\n\\ No newline at end of file\r\n--- a/y.sql\r\n+++ b/y.sql\r\n@@ -3,0 +4 @@\r\n+d\r\n"
+    found = explode_patch(spark.createDataFrame([("d", plain)], "doc string, text string"))
+    assert rows(found.hunks, "path", "new_start", "new_len", "added_len", "removed_len") == [("x.sql", 1, 2, 2, 1), ("y.sql", 4, 1, 1, 0)]
+    assert rows(found.lines, "side", "text") == [("added", "b"), ("added", "c"), ("added", "d"), ("removed", "a")]
     stripped = explode_patch(spark.createDataFrame([("d", PATCH)], "doc string, text string"), strip="models")
     assert "a.sql" in {r["path"] for r in stripped.files.collect()}
 

@@ -96,6 +96,14 @@ def test_text_references(spark, rows):
     assert rows(scalars.text_references(df, "id", "t")) == [(1, "a", False), (1, "b", False), (1, None, True)]
 
 
+def test_text_references_skip_comments_and_raw_blocks(spark, rows):
+    text = ("{# var('no') #}{% raw %}{{ var('no') }}{% endraw %}{{ {'k': {'v': var('deep')}} }} {{ \"}}\" ~ var( 'late' ) }} {{ myvar('no') }}"
+            " {{ x.var('no') }} {{ var.has_var('has') }}{{ var('') }}{%- set a = var(b) -%} {{ var('open")
+    df = spark.createDataFrame([(1, text), (2, "{{ " + "x " * 50000 + "var('far') }}")], "id int, t string")
+    assert rows(scalars.text_references(df, "id", "t")) == [
+        (1, "", False), (1, "deep", False), (1, "has", False), (1, "late", False), (1, None, True), (2, "far", False)]
+
+
 def test_mask_hash_surrogate_bucket(spark):
     get = lambda e: spark.range(1).select(e).collect()[0][0]
     assert get(scalars.mask(F.lit("x"), False)) == "***" and get(scalars.mask(F.lit("x"), F.lit(None).cast("boolean"))) == "***"
