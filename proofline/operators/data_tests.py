@@ -228,6 +228,21 @@ def run_suite(tables: Mapping[str, DataFrame], suite: Mapping[str, Sequence[Data
     return out
 
 
+@dataclass(frozen=True)
+class Suite:
+    """Declared tests per table, to be run on whatever tables are given."""
+
+    __test__ = False
+    tests: Mapping[str, Sequence[DataTest]]
+
+    def run(self, tables: Mapping[str, DataFrame]) -> DataFrame:
+        return run_suite(tables, self.tests)
+
+    def failures(self, tables: Mapping[str, DataFrame]) -> dict[str, TestResult]:
+        return {f"{t}.{test.label()}": run_test(tables[t], test, tables)
+                for t, tests in self.tests.items() for test in tests if test.enabled}
+
+
 @dataclass(frozen=True)
 class Constraint:
     """A declared constraint; ``expression`` for checks, ``to``/``to_columns`` for foreign keys."""
@@ -282,7 +297,7 @@ class UnitTest:
     model: Callable[..., DataFrame]
     given: Mapping[str, DataFrame]
     expect: DataFrame
-    columns: Mapping[str, Sequence[str]] = field(default_factory=dict)
+    columns: Mapping[str, Mapping[str, str]] = field(default_factory=dict)  # given name -> column -> type
     variables: Mapping[str, object] = field(default_factory=dict)
     is_incremental: bool | None = None
     this: DataFrame | None = None
@@ -291,9 +306,9 @@ class UnitTest:
         """Given tables with the columns the model needs but the test does not list filled with NULL."""
         out = {}
         for name, df in self.given.items():
-            for column in self.columns.get(name, ()):
+            for column, dtype in self.columns.get(name, {}).items():
                 if column not in df.columns:
-                    df = df.withColumn(column, F.lit(None).cast("string"))
+                    df = df.withColumn(column, F.lit(None).cast(dtype))
             out[name] = df
         return out
 

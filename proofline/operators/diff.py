@@ -137,7 +137,7 @@ def diff_tables(old: DataFrame, new: DataFrame, order_old: str, order_new: str,
     i-th on the new side and is ``modified`` where the two share a column, else a removal and an addition. ``by``
     diffs many tables in one job.
 
-    Keys are counted first. Only a key that both sides hold a different number of times needs its copies
+    Positions must order the rows of a table without ties. Keys are counted first. Only a key that both sides hold a different number of times needs its copies
     numbered, so repeated rows cost one count, not one ordered group.
     """
     side_columns = lambda df, order: [c for c in df.columns if c != order and c not in by]
@@ -151,7 +151,8 @@ def diff_tables(old: DataFrame, new: DataFrame, order_old: str, order_new: str,
     def side(df, order, keys, cols, tag):
         key_cols = [] if reshaped else [k.alias(f"_k{i}") for i, k in enumerate(keys)]
         row = F.struct(*[F.col(c) for c in cols]).alias("old" if tag == OLD else "new")
-        return df.select(*by, F.lit(tag).alias("_side"), F.col(order).cast("long").alias("_pos"), *key_cols, row)
+        place = F.col(order).cast("long") if isinstance(df.schema[order].dataType, T.IntegralType) else F.col(order)
+        return df.select(*by, F.lit(tag).alias("_side"), place.alias("_pos"), *key_cols, row)
 
     left_side, right_side = side(old, order_old, old_keys, old_cols, OLD), side(new, order_new, new_keys, new_cols, NEW)
     rows = left_side.unionByName(right_side, allowMissingColumns=True)
@@ -184,9 +185,11 @@ def diff_tables(old: DataFrame, new: DataFrame, order_old: str, order_new: str,
     out = [*by, "kind", "old_pos", "new_pos", "old", "new"]
     nothing = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
     if shared:
-        paired = left.join(right, [*by, "_i"], "full").withColumn(
-            "kind", F.when(F.col("old_pos").isNull(), "added").when(F.col("new_pos").isNull(), "removed")
-            .otherwise("modified")).select(*out)
+        other = right.withColumnsRenamed({c: f"_n_{c}" for c in [*by, "_i"]})
+        beside = all_of([same(F.col(c), F.col(f"_n_{c}")) for c in by]) & (F.col("_i") == F.col("_n__i"))
+        paired = left.join(other, beside, "full").withColumns({
+            "kind": F.when(F.col("_i").isNull(), "added").when(F.col("_n__i").isNull(), "removed").otherwise("modified"),
+            **{c: F.coalesce(c, f"_n_{c}") for c in by}}).select(*out)
     else:
         paired = left.select(*by, F.lit("removed").alias("kind"), "old_pos", nothing(right, "new_pos"), "old",
                              nothing(right, "new")).unionByName(

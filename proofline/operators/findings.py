@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -68,6 +69,34 @@ def model_findings(audits: Sequence[DataFrame], supersedes: Mapping[str, Sequenc
     return resolve_supersedes(out, supersedes)
 
 
-def write_findings(findings: DataFrame, path: str, run_date: str, fmt: str = "parquet") -> None:
-    findings.select(F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(run_date).alias("run_date"), "*").write.mode(
-        "append").partitionBy("run_date").format(fmt).save(path)
+@dataclass(frozen=True)
+class Policy:
+    """What to show, what to suppress and which checks supersede which, applied in the order evaluate, supersede,
+    display, suppress."""
+
+    displayed: Sequence[str] | None = None
+    supersedes: Mapping[str, Sequence[str]] = field(default_factory=dict)
+    suppress: DataFrame | None = None
+
+    def apply(self, audits: Sequence[DataFrame]) -> DataFrame:
+        found = model_findings(audits, self.supersedes)
+        rules = self.suppress
+        if rules is None:
+            rules = found.sparkSession.createDataFrame(
+                [], "rank int, check string, model string, source string, reason string")
+        return apply_policy(found, self.displayed, rules)
+
+
+def write_findings(findings: DataFrame, path: str, run_date: str, meta: Mapping[str, str] = {}, fmt: str = "parquet") -> None:
+    """Write ``findings`` and ``metadata`` under the path; writing a run again replaces it.
+
+    Rows are in (table, construct, check) order within each file.
+    """
+    def put(df: DataFrame, name: str) -> None:
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_date").format(fmt).save(
+            f"{path}/{name}")
+
+    stamp = [F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(run_date).alias("run_date")]
+    put(findings.select(*stamp, "*").sortWithinPartitions("table", "construct", "check"), "findings")
+    pairs = findings.sparkSession.createDataFrame(sorted(meta.items()) or [("run_date", run_date)], "name string, value string")
+    put(pairs.select(*stamp, "*"), "metadata")

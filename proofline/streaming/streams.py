@@ -110,11 +110,13 @@ def stream_tests(stream: DataFrame, tests: Sequence[DataTest], good_path: str, q
                  checkpoint: str, **trigger) -> StreamingQuery:
     """Row tests per micro-batch: good rows, quarantine and failure counts, each keyed by batch so replays overwrite."""
     def apply(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
         good, bad, counters = test_batch(batch, tests)
         good.write.mode("overwrite").parquet(f"{good_path}/batch={batch_id}")
         bad.write.mode("overwrite").parquet(f"{quarantine_path}/batch={batch_id}")
         counted = batch.agg(F.count(F.lit(1)).alias("n_rows"), *counters)
         counted.write.mode("overwrite").parquet(f"{metrics_path}/batch={batch_id}")
+        batch.unpersist()
     return (stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
 

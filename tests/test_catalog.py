@@ -282,8 +282,13 @@ def test_findings_pipeline(spark, rows, tmp_path):
     assert not fd.gate(fd.apply_policy(kept, ["weak"], rules)) and fd.apply_policy(kept, ["weak"], rules).count() == 1
     assert tuple(fd.tally(shown).collect()[0]) == (0, 0, 0, 1) and tuple(fd.tally(found).collect()[0]) == (2, 1, 0, 1)
     path = scratch_path(spark, "f")
-    fd.write_findings(kept, path, "2024-01-01")
-    assert spark.read.parquet(path).select("schema_version", F.col("run_date").cast("string")).distinct().collect() == [(1, "2024-01-01")]
+    for run in ("2024-01-01", "2024-01-02", "2024-01-01"):
+        fd.write_findings(kept, path, run, {"project": "p"})
+    assert spark.read.parquet(f"{path}/findings").count() == 2 * kept.count()
+    assert spark.read.parquet(f"{path}/metadata").filter("run_date = '2024-01-01'").select("name", "value").collect() == [("project", "p")]
+    policy = fd.Policy(["weak"], {"strong": ["weak"]}, rules)
+    assert policy.apply([found]).count() == 1 and fd.Policy().apply([found]).filter("suppressed").count() == 0
+    assert spark.read.parquet(f"{path}/findings").filter("run_date = '2024-01-01'").select("schema_version", F.col("run_date").cast("string")).distinct().collect() == [(1, "2024-01-01")]
 
 
 def test_not_in(spark, rows):

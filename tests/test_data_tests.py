@@ -51,6 +51,12 @@ def test_suite_reports_modifiers(spark, t):
                    "not_null_k": ("skipped", 0, ""), "odd": ("unknown", 1, "severity"), "row_count_between": ("pass", 0, ""), "big": ("fail", 1, "")}
 
 
+def test_suite_object(t):
+    suite = dt.Suite({"t": [dt.not_null("v"), dt.unique("k", enabled=False)]})
+    assert suite.run({"t": t}).filter("status = 'fail'").count() == 1
+    assert {n: r.count().collect()[0][0] for n, r in suite.failures({"t": t}).items()} == {"t.not_null_v": 1}
+
+
 def test_row_tests_of_a_table_share_one_scan(spark, tmp_path):
     spark.range(10).write.parquet(str(tmp_path / "t"))
     df = spark.read.parquet(str(tmp_path / "t"))
@@ -115,7 +121,7 @@ def test_customer_roll_up_compares_listed_columns_only(spark):
 def test_never_refunded_and_missing_given_columns(spark):
     given = {"stg_orders": spark.sql("select * from values (1), (2) as t(order_id)"), "stg_refunds": spark.sql("select 1 as order_id")}
     expect = spark.sql("select 2 as order_id")
-    columns = {"stg_orders": ["customer_id", "order_date", "status"]}
+    columns = {"stg_orders": {"customer_id": "int", "order_date": "date", "status": "string"}}
     assert dt.unit_test_passes(dt.UnitTest(shop.orders_never_refunded, given, expect, columns))
     with_null = dict(given, stg_refunds=spark.sql("select cast(null as int) as order_id"))
     assert shop.orders_never_refunded(**dt.UnitTest(None, with_null, expect, columns).inputs()).count() == 0

@@ -87,6 +87,14 @@ def test_many_tables_in_one_job(spark):
     assert diff.changed_tables(found).collect() == [(2, 0)]
 
 
+def test_unknown_group_and_time_order(spark):
+    old = spark.sql("select * from values (cast(null as int), timestamp_ntz'2024-01-01 00:00:00.1', 'a') as t(g, at, x)")
+    new = spark.sql("select * from values (cast(null as int), timestamp_ntz'2024-01-01 00:00:00.2', 'b') as t(g, at, x)")
+    found = diff.diff_tables(old, new, "at", "at", by=["g"])
+    assert found.summary().collect() == [(None, "modified", 1)]
+    assert found.rows.select((F.col("old_pos") < F.col("new_pos"))).collect() == [(True,)]
+
+
 def test_hot_repeated_row(spark):
     old = spark.range(3000).select(F.col("id").alias("pos"), F.lit("same").alias("x"))
     new = spark.range(2999).select(F.col("id").alias("pos"), F.when(F.col("id") == 5, "edit").otherwise("same").alias("x"))
