@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..session import cut
 
@@ -26,10 +26,13 @@ def _ranged(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame
     """Rows in (by, order), cut into ranges that also split a single large group; ``_part`` names the range.
 
     The result is written out, because everything that follows must see one and the same ranges. Finding the ranges
-    reads the input once more, so an input that is dear to compute should be cut first.
+    reads the input once more, so an input that is dear to compute should be cut first. A hash of the row splits rows that
+    tie in the order, and makes their numbers repeatable.
     """
-    sorted_rows = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
-    return cut(sorted_rows.withColumn("_slot", F.monotonically_increasing_id())).withColumn(
+    hashable = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    tied = df.withColumn("_tie", F.xxhash64(*hashable))
+    ranges = tied.repartitionByRange(*by, *order, "_tie").sortWithinPartitions(*by, *order, "_tie").drop("_tie")
+    return cut(ranges.withColumn("_slot", F.monotonically_increasing_id())).withColumn(
         "_part", F.shiftright("_slot", SLOT_BITS))
 
 

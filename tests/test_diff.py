@@ -119,6 +119,14 @@ def test_number_rows_with_one_hot_group(spark):
     assert len(got) == 5000
 
 
+def test_number_rows_spreads_ties(spark):
+    df = spark.range(3000).select(F.lit("hot").alias("k"), F.lit(1).alias("o"), "id", F.create_map(F.lit("a"), "id").alias("m"))
+    got = number_rows(df, ["o"], by=["k"], name="n")
+    assert sorted(r["n"] for r in got.select("n").collect()) == list(range(1, 3001))
+    again = number_rows(df.orderBy(F.desc("id")), ["o"], by=["k"], name="n")
+    assert got.select("id", "n").exceptAll(again.select("id", "n")).count() == 0
+
+
 def test_number_rows_null_group_and_empty(spark):
     df = spark.createDataFrame([(None, 3), (None, 1), ("a", 2)], "k string, v int")
     assert sorted(number_rows(df, ["v"], by=["k"]).collect(), key=str) == sorted([(None, 1, 1), (None, 3, 2), ("a", 2, 1)], key=str)
