@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut
 
@@ -45,17 +45,15 @@ def closure(edges: DataFrame, seeds: DataFrame, direction: str = "down", max_dep
     steps = cut(_directed(edges, direction))
     key = ["node", *carry]
     frontier = cut(seeds.select(*key).distinct().withColumn("depth", F.lit(0)))
-    seen, rounds, depth = frontier, [frontier], 0
+    seen, depth = frontier, 0
     while not frontier.isEmpty() and (max_depth is None or depth < max_depth):
         depth += 1
         found = frontier.join(steps, F.col("node") == F.col("src")).select(
             F.col("dst").alias("node"), *carry).distinct()
         frontier = cut(found.join(seen.select(*key), key, "left_anti").withColumn("depth", F.lit(depth)))
-        rounds.append(frontier)
         seen = seen.unionByName(frontier)
-        if len(rounds) >= COMPACT_EVERY:
+        if depth % COMPACT_EVERY == 0:
             seen = cut(seen)
-            rounds = [seen]
     return seen
 
 

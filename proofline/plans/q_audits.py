@@ -31,9 +31,6 @@ def _(spark, sf):
     return verdicts(audits.audit_union_arms({"a": ["events"], "b": ["elsewhere"]}, tables, union="u"))
 
 
-FACTS = """select (select count(*) from {l}) as l_n, (select count(*) from {l} x where exists (select 1 from {r} y where y.{rk} = x.{lk})) as m"""
-
-
 @query("c2_audit_left_join", """
     with f as (select (select count(*) from orders) as n,
                       (select count(*) from orders where o_orderkey in (select l_orderkey from lineitem)) as m)

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import data_tests as dt
 from ..session import scratch_path
-from .base import TABLES, Derived, query, table
+from .base import TABLES, query, table
 
 
 def failures(name, sql_count, make, source="lineitem"):
