@@ -52,18 +52,17 @@ def compare(spark, con, name, fn, sql, sf_dir: str = SF_DIR) -> tuple[bool, str]
 
 def main(prefixes: list[str]) -> int:
     from proofline import session
-    from proofline import plans
-    plans.load()
+    import __spark_entry__ as registry
     spark = session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
                                           "spark.driver.memory": "12g"})
     spark.sparkContext.setLogLevel("ERROR")
     con, bad = connect(), 0
-    for name, fn in plans.QUERIES.items():
+    for name, fn in registry.queries().items():
         if prefixes and not any(name.startswith(p) for p in prefixes):
             continue
         start = time.time()
         try:
-            ok, note = compare(spark, con, name, fn, plans.ORACLES.get(name))
+            ok, note = compare(spark, con, name, fn, registry.oracle_sql().get(name))
         except Exception as error:  # report and go on
             ok, note = False, f"{type(error).__name__}: {str(error)[:600]}"
         bad += not ok
