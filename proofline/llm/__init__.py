@@ -1,10 +1 @@
-"""Operators for preparing training data; nothing else in the library imports this subpackage.
-
-Functions sent to Python workers are pickled by value, so that workers need no copy of the package on their path.
-"""
-
-import sys
-
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+"""Operators for preparing training data; nothing else in the library imports this subpackage."""
