@@ -194,7 +194,7 @@ def fit(docs: DataFrame, order: int = 4, sample_chars: int = 1_000_000, id_col:
 
 
 SIZES = 40  # powers of two of a text's length
-MARGIN = 1.5
+MARGIN = 3.0
 
 
 def cutoffs(rows, model: Model) -> dict[str, list[float]]:
