@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .embedding_dedup import embedding_dedup
 from .exact_dedup import exact_dedup
+from .langid import identify_held_out
 from .line_dedup import line_dedup
+from .minhash import near_dedup
+from .packing import pack
+from .pii import pii_surrogates
+from .sentencepiece import sentencepiece_digest
+from .toxicity import toxicity_held_out
 from .url_filter import url_filter
 
+KEY = "proofline"  # a production run takes its key from the caller
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 BLANKS_SQL = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -66,3 +74,46 @@ select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (part
   doc_id = max(doc_id) over (partition by t) as kept, sha256(t) as text_sha256 from rows""")
 def op7_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
+
+
+def tokenizer_file(name: str) -> str:
+    """A file of the installed public tokenizers."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@query("op1_sentencepiece")
+def op1_sentencepiece(spark, sf_dir):
+    return sentencepiece_digest(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+@query("op2_packing")
+def op2_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), window=1024, end_id=0).drop("ids")
+
+
+@query("op5_pii")
+def op5_pii(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    out = pii_surrogates(docs, KEY, keep=("lang", "source"))
+    return out.withColumn("text_sha256", F.sha2("text", 256))
+
+
+@query("op6_embedding_dedup")
+def op6_embedding_dedup(spark, sf_dir):
+    return embedding_dedup(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+@query("op8_minhash")
+def op8_minhash(spark, sf_dir):
+    return near_dedup(table(spark, sf_dir, "documents"), threshold=0.8)
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark, sf_dir):
+    return toxicity_held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_language_id")
+def op10_language_id(spark, sf_dir):
+    return identify_held_out(table(spark, sf_dir, "documents"))
