@@ -35,7 +35,7 @@ WORD_FORMS = "|".join([
 ENTITY = (rf"(?<![\p{{L}}\p{{N}}_@.+-])(?:{WORD_FORMS})"
           r"|(?<![\p{L}\p{N}_+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![\p{L}\p{N}])"
           r"|(?<![\p{L}\p{N}_+])\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![\p{L}\p{N}])")
-GATE = rf"[0-9@]|(?<![\p{{L}}\p{{N}}]){TITLE} \p{{Lu}}"
+GATE = rf"[0-9@]|AKIA|ASIA|(?<![\p{{L}}\p{{N}}]){TITLE} \p{{Lu}}"
 UNIT = "array<struct<kind:string,canon:string>>"
 
 
