@@ -241,7 +241,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     blocks = F.ceil(F.col("_m") / BLOCK).cast("int")
     wanted = groups.join(sizes, "label").join(nodes.select("_node", "_first"), F.col("node") == F.col("_node"))
     wanted = cut(wanted.select("label", "_node", "_first", blocks.alias("_blocks")), "wanted")
-    texts = rows.join(wanted, F.col("_id") == F.col("_first")).withColumn("_block", F.pmod(F.xxhash64("_node"), F.col("_blocks")).cast("int"))
+    texts = rows.join(wanted.hint("merge"), F.col("_id") == F.col("_first")).withColumn("_block", F.pmod(F.xxhash64("_node"), F.col("_blocks")).cast("int"))
     # each block meets every block of its group, itself included
     other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
     dealt = texts.select("label", "_node", "_text", "_block", other.alias("_other")).select(
