@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F, types as T
 
-INTEGER = r"^[+-]?[0-9]+$"
-NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+INTEGER = r"^[+-]?[0-9]+\z"  # \z, as $ also matches before a final line end
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
+BLANKS = r"^[\s\x85\p{Z}]+|[\s\x85\p{Z}]+\z"
 
 PLAIN = "0." + "#" * 340
 
@@ -56,8 +57,8 @@ def csv_key(text: Column) -> Column:
 
 def token_key(text: Column) -> Column:
     """Key of a scalar token: quotes keep a string, ``null`` and ``~`` are NULL, booleans are lower-case only."""
-    token = F.trim(text)
-    quoted = token.rlike(r"""^"(?s:.*)"$|^'(?s:.*)'$""") & (F.length(token) >= 2)
+    token = F.regexp_replace(text, BLANKS, "")
+    quoted = token.rlike(r"""^"(?s:.*)"\z|^'(?s:.*)'\z""") & (F.length(token) >= 2)
     inner = token.substr(F.lit(2), F.length(token) - 2)
     number = canonical_number(token)
     return (

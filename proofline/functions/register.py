@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from .keys import INTEGER, NUMBER, PLAIN
+from .keys import BLANKS, INTEGER, NUMBER, PLAIN
 from .scalars import TYPE_FAMILIES
 
 
@@ -32,6 +32,14 @@ def _definitions() -> dict[str, tuple[str, str, str]]:
             "CASE WHEN x IS NULL OR x = '' THEN 'null' WHEN pl_number(x) IS NOT NULL"
             " THEN concat('number:', pl_number(x)) WHEN lower(x) IN ('true', 'false')"
             " THEN concat('bool:', lower(x)) ELSE concat('str:', x) END"),
+        "pl_trimmed": ("x STRING", "STRING", f"regexp_replace(x, {_text(BLANKS)}, '')"),
+        "pl_token": (
+            "x STRING", "STRING",
+            "CASE WHEN x IS NULL OR pl_trimmed(x) IN ('', 'null', '~') THEN 'null'"
+            " WHEN length(pl_trimmed(x)) >= 2 AND left(pl_trimmed(x), 1) IN ('\"', '\\'') AND left(pl_trimmed(x), 1) = right(pl_trimmed(x), 1)"
+            " THEN concat('str:', substring(pl_trimmed(x), 2, length(pl_trimmed(x)) - 2))"
+            " WHEN pl_trimmed(x) IN ('true', 'false') THEN concat('bool:', pl_trimmed(x))"
+            " WHEN pl_number(pl_trimmed(x)) IS NOT NULL THEN concat('number:', pl_number(pl_trimmed(x))) ELSE concat('str:', pl_trimmed(x)) END"),
         "pl_path": (
             "x STRING", "STRING",
             r"regexp_replace(regexp_replace(translate(x, '\\', '/'), '^(\\./)+', ''), '/{2,}', '/')"),

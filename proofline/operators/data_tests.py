@@ -100,8 +100,8 @@ def accepted_values(column: str, values: Sequence, **mods) -> DataTest:
     return DataTest("accepted_values", (column,), failing=~F.col(column).isin(*values), **mods)
 
 
-def _outside(column: str, low, high, inclusive: bool) -> Column:
-    value, out = F.col(column), F.lit(False)
+def outside(value: Column | str, low, high, inclusive: bool) -> Column:
+    value, out = F.col(value) if isinstance(value, str) else value, F.lit(False)
     if low is not None:
         out = out | (value < low if inclusive else value <= low)
     if high is not None:
@@ -110,11 +110,11 @@ def _outside(column: str, low, high, inclusive: bool) -> Column:
 
 
 def accepted_range(column: str, low=None, high=None, inclusive: bool = True, **mods) -> DataTest:
-    return DataTest("accepted_range", (column,), failing=_outside(column, low, high, inclusive), **mods)
+    return DataTest("accepted_range", (column,), failing=outside(column, low, high, inclusive), **mods)
 
 
 def between(column: str, low=None, high=None, row_condition: str | None = None, strictly: bool = False, **mods) -> DataTest:
-    return DataTest("between", (column,), failing=_outside(column, low, high, not strictly), where=row_condition, **mods)
+    return DataTest("between", (column,), failing=outside(column, low, high, not strictly), where=row_condition, **mods)
 
 
 def row_count_between(low: int | None = None, high: int | None = None, **mods) -> DataTest:
@@ -159,12 +159,12 @@ def _failures(df: DataFrame, test: DataTest, tables: Mapping[str, DataFrame]) ->
     if test.failing is not None:
         return rows.filter(test.failing)
     if test.kind == "relationships":
-        children = rows.filter(F.col(test.columns[0]).isNotNull())
-        return anti_join(children, tables[test.to], [(test.columns[0], test.to_columns[0])])
+        # a reference with a NULL in any part is not judged
+        return anti_join(rows.dropna(subset=list(test.columns)), tables[test.to], list(zip(test.columns, test.to_columns, strict=True)))
     if test.kind == "row_count_between":
         low, high = test.bounds
         counted = rows.agg(F.count(F.lit(1)).alias("n_rows"))
-        return counted.filter(_outside("n_rows", low, high, True))
+        return counted.filter(outside("n_rows", low, high, True))
     return _duplicates(rows, test)
 
 
@@ -209,7 +209,7 @@ def run_suite(tables: Mapping[str, DataFrame], suite: Mapping[str, Sequence[Data
             for i, t in enumerate(fused):
                 failed = F.col(f"_t{i}")
                 if t.kind == "row_count_between":
-                    failed = _outside(f"_t{i}", *t.bounds, True).cast("long")
+                    failed = outside(f"_t{i}", *t.bounds, True).cast("long")
                 results.append(_result_columns(table, t, failed))
             parts.append(counted.select(F.explode(F.array(*results)).alias("r")).select("r.*"))
         for t in live:
@@ -254,16 +254,21 @@ class Constraint:
     to_columns: tuple[str, ...] = ()
 
 
-def constraint_test(constraint: Constraint) -> DataTest:
-    label = "_".join(["constraint", constraint.kind, *constraint.columns])
+def constraint_tests(constraint: Constraint) -> list[DataTest]:
+    """The tests a constraint stands for: one for each column that must not be NULL, else one."""
     if constraint.kind == "not_null":
-        return replace(not_null(constraint.columns[0]), name=label)
+        return [replace(not_null(c), name=f"constraint_not_null_{c}") for c in constraint.columns]
+    return [_constraint_test(constraint)]
+
+
+def _constraint_test(constraint: Constraint) -> DataTest:
+    label = "_".join(["constraint", constraint.kind, *constraint.columns])
     if constraint.kind == "unique":
         return DataTest("unique", constraint.columns, name=label)
     if constraint.kind == "primary_key":
         return primary_key(constraint.columns, name=label)
     if constraint.kind == "foreign_key":
-        return relationships(constraint.columns[0], constraint.to, constraint.to_columns[0], name=label)
+        return DataTest("relationships", constraint.columns, to=constraint.to, to_columns=constraint.to_columns, name=label)
     if constraint.kind == "check":
         return DataTest("check", constraint.columns, failing=~F.coalesce(F.expr(constraint.expression), F.lit(True)),
                         name=label)
@@ -273,8 +278,8 @@ def constraint_test(constraint: Constraint) -> DataTest:
 def verify_constraints(tables: Mapping[str, DataFrame], declared: Mapping[str, Sequence[Constraint]],
                        platform: str) -> DataFrame:
     """Run declared constraints on the data; ``support`` says what the platform does about each kind."""
-    suite = {t: [constraint_test(c) for c in cs] for t, cs in declared.items()}
-    support = {constraint_test(c).label(): constraint_support(platform, c.kind) for cs in declared.values() for c in cs}
+    suite = {t: [test for c in cs for test in constraint_tests(c)] for t, cs in declared.items()}
+    support = {test.label(): constraint_support(platform, c.kind) for cs in declared.values() for c in cs for test in constraint_tests(c)}
     lookup = F.create_map(*[x for label, level in support.items() for x in (F.lit(label), F.lit(level))])
     return run_suite(tables, suite).withColumn("support", lookup[F.col("test")])
 

@@ -16,24 +16,16 @@ SALTS = 16
 def join_on(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]], how: str = "inner") -> DataFrame:
     """Equality join on differently named keys; the key comes out under the left name, coalesced where it may be missing.
 
-    Outer joins are the inner join and the rows one side has alone. Adaptive execution splits a hot key on either side of
-    an inner join but not on the optional side of an outer one, and the lone rows only need the other side's distinct keys.
+    Each side is read once. Adaptive execution splits a hot key on the side whose rows are all kept.
     """
     renamed = right
     for i, (_, r) in enumerate(pairs):
         renamed = renamed.withColumnRenamed(r, f"_r{i}")
     keys = [f"_r{i}" for i in range(len(pairs))]
-    out = left.join(renamed, all_of([F.col(l) == F.col(k) for (l, _), k in zip(pairs, keys)])).drop(*keys)
-    nulls = lambda df, names: [F.lit(None).cast(df.schema[n].dataType).alias(n) for n in names]
-    if how in ("left", "full"):
-        lone = anti_join(left, right, pairs)
-        out = out.unionByName(lone.select("*", *nulls(renamed, [c for c in renamed.columns if c not in keys])))
-    if how in ("right", "full"):
-        lone = anti_join(right, left, [(r, l) for l, r in pairs])
-        names = {r: l for l, r in pairs}
-        kept = [F.col(c).alias(names.get(c, c)) for c in right.columns]
-        out = out.unionByName(lone.select(*kept, *nulls(left, [c for c in left.columns if c not in names.values()])))
-    return out
+    out = left.join(renamed, all_of([F.col(l) == F.col(k) for (l, _), k in zip(pairs, keys)]), how)
+    match = {l: k for (l, _), k in zip(pairs, keys)}
+    named = [F.coalesce(F.col(c), F.col(match[c])).alias(c) if c in match and how in ("right", "full") else F.col(c) for c in left.columns]
+    return out.select(*named, *[c for c in renamed.columns if c not in keys])
 
 
 def anti_join(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:

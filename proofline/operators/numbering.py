@@ -22,16 +22,27 @@ def all_of(conditions: Sequence[Column]) -> Column:
     return out
 
 
+def _holds_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _holds_map(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_holds_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.MapType)
+
+
 def _ranged(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Rows in (by, order), cut into ranges that also split a single large group; ``_part`` names the range.
 
     The result is written out, because everything that follows must see one and the same ranges. Finding the ranges
     reads the input once more, so an input that is dear to compute should be cut first. A hash of the row splits rows that
-    tie in the order, and makes their numbers repeatable.
+    tie in the order, and makes their numbers repeatable; equal rows, which may take any of their numbers, are split by
+    their place in the input.
     """
-    hashable = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    tied = df.withColumn("_tie", F.xxhash64(*hashable))
-    ranges = tied.repartitionByRange(*by, *order, "_tie").sortWithinPartitions(*by, *order, "_tie").drop("_tie")
+    hashed = [F.xxhash64(F.to_json(f"`{f.name}`") if _holds_map(f.dataType) else F.col(f"`{f.name}`")) for f in df.schema.fields
+              if not isinstance(f.dataType, T.VariantType)]
+    tied = df.withColumn("_tie", F.xxhash64(*hashed) if hashed else F.lit(0)).withColumn("_row", F.monotonically_increasing_id())
+    last = (*by, *order, "_tie", "_row")
+    ranges = tied.repartitionByRange(*last).sortWithinPartitions(*last).drop("_tie", "_row")
     return cut(ranges.withColumn("_slot", F.monotonically_increasing_id())).withColumn(
         "_part", F.shiftright("_slot", SLOT_BITS))
 

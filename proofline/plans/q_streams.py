@@ -12,7 +12,8 @@ from .base import query, table
 
 def stream(spark, sf):
     schema = table(spark, sf, "events").schema
-    df = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    # a pattern takes the table as one file or as a folder of part files
+    df = spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]")
     return df.withColumn("at", F.col("ts").cast("timestamp"))
 
 

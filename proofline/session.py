@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +25,8 @@ def session(app: str = "proofline", master: str | None = None, **conf: str) -> S
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``; a local one only where it is unset."""
+    """The folder every executor can reach: ``spark.checkpoint.dir``, else the context's checkpoint folder, else one beside the
+    warehouse's tables. A warehouse on local disks is refused unless the session itself is local."""
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if configured:
@@ -34,7 +34,10 @@ def shared_dir(spark: SparkSession) -> str:
     elif context.getCheckpointDir():
         root = context.getCheckpointDir()
     else:
-        root = tempfile.mkdtemp(prefix="proofline-")
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if warehouse.startswith(("file:", "/")) and not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"{warehouse.rstrip('/')}/_scratch"
     if not context.getCheckpointDir():
         context.setCheckpointDir(root)
     return root

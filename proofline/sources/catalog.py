@@ -53,6 +53,7 @@ class Catalog:
     macro_edges: DataFrame
     exposures: DataFrame
     groups: DataFrame
+    rejected: DataFrame  # documents that are no JSON object
 
     def tables(self) -> dict[str, DataFrame]:
         return {f.name: getattr(self, f.name) for f in fields(self)}
@@ -60,7 +61,8 @@ class Catalog:
 
 def explode_catalog(docs: DataFrame, keys: list[str], text: str = "text") -> Catalog:
     """Split documents (keys..., text) into tables; fields that are missing are NULL, unknown ones are ignored."""
-    parsed = docs.select(*keys, F.from_json(text, DOCUMENT).alias("d"))
+    sound = F.coalesce(F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT"), F.lit(False))
+    parsed = docs.filter(sound).select(*keys, F.from_json(text, DOCUMENT).alias("d"))
     spread = lambda part: parsed.select(*keys, F.explode(f"d.{part}").alias("id", "n"))
     nodes, sources, units = spread("nodes"), spread("sources"), spread("unit_tests")
     plain = ["name", "path", "original_file_path", "patch_path", "fqn", "config", "unrendered_config", "relation_name",
@@ -97,6 +99,7 @@ def explode_catalog(docs: DataFrame, keys: list[str], text: str = "text") -> Cat
         exposures=spread("exposures").select(*keys, "id", "n.name", "n.type", F.col("n.owner.email").alias("owner_email"),
                                              F.col("n.depends_on.nodes").alias("upstream")),
         groups=spread("groups").select(*keys, F.col("n.name").alias("group"), F.col("n.owner.email").alias("owner_email")),
+        rejected=docs.filter(~sound).select(*keys),
     )
 
 
@@ -108,7 +111,7 @@ def read_catalog(spark: SparkSession, glob: str) -> Catalog:
 
 def schema_floor(metadata: DataFrame, keys: list[str], floor: int = MIN_SCHEMA_VERSION) -> DataFrame:
     """Documents whose schema version is missing or below the floor."""
-    version = F.regexp_extract("dbt_schema_version", r"/v([0-9]+)", 1).try_cast("int")
+    version = F.regexp_extract("dbt_schema_version", r"(?i)(?:^|/)\s*v([0-9]+)", 1).try_cast("int")
     return metadata.select(*keys, version.alias("version")).filter(F.coalesce(F.col("version") < floor, F.lit(True)))
 
 

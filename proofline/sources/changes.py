@@ -12,11 +12,12 @@ from ..functions.scalars import normalize_path
 @dataclass
 class Changes:
     """``hunks`` (doc, path, hunk, new_start, new_len, added_len, removed_len), ``lines`` with their text, ``files``
-    (doc, path, old_path, status)."""
+    (doc, path, old_path, status), ``rejected`` (doc, path, hunk, header) with hunks whose header cannot be read."""
 
     hunks: DataFrame
     lines: DataFrame
     files: DataFrame
+    rejected: DataFrame
 
 
 def explode_patch(docs: DataFrame, doc: str = "doc", text: str = "text", strip: str | None = None) -> Changes:
@@ -26,8 +27,9 @@ def explode_patch(docs: DataFrame, doc: str = "doc", text: str = "text", strip:
     ordering across rows: a section becomes a row, a hunk becomes a row, a line becomes a row.
     """
     lines = F.concat(F.lit("\n"), F.regexp_replace(text, "\r\n", "\n"))
-    # a plain patch has no git headers and its files begin at the old-side path
-    cuts = F.when(lines.contains("\ndiff --git "), F.split(lines, r"\n(?=diff --git )")).otherwise(F.split(lines, r"\n(?=--- )"))
+    # a plain patch has no git headers and its files begin at the old-side path; a removed line "-- x" looks like one, but is
+    # not followed by a new-side path and a hunk
+    cuts = F.when(lines.contains("\ndiff --git "), F.split(lines, r"\n(?=diff --git )")).otherwise(F.split(lines, r"\n(?=--- [^\n]*\n\+\+\+ [^\n]*\n@@ )"))
     sections = docs.select(F.col(doc).alias("doc"), F.posexplode(cuts).alias("section", "body")).filter(
         F.col("body").rlike("^(diff --git |--- )"))
     grab = lambda pattern: F.nullif(F.regexp_extract("head", pattern, 1), F.lit(""))
@@ -49,18 +51,21 @@ def explode_patch(docs: DataFrame, doc: str = "doc", text: str = "text", strip:
     # a deleted file is known by its path alone
     spread = named.filter("status <> 'deleted'").select("doc", "path", F.posexplode("raw").alias("hunk", "text"))
     header = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
+    bad = F.regexp_extract("text", header, 1).try_cast("int").isNull()
+    rejected = spread.filter(bad).select("doc", "path", "hunk", F.substring_index("text", "\n", 1).alias("header"))
+    spread = spread.filter(~bad)
     size = F.regexp_extract("text", header, 2)
     body = F.slice(F.split("text", "\n"), 2, F.size(F.split("text", "\n")))
     hunks = spread.select(
         "doc", "path", "hunk", F.regexp_extract("text", header, 1).cast("int").alias("new_start"),
-        F.when(size == "", 1).otherwise(size.cast("int")).alias("new_len"), body.alias("body"))
+        F.when(size == "", 1).otherwise(size.try_cast("int")).alias("new_len"), body.alias("body"))
     starts = lambda mark: F.size(F.filter("body", lambda l: l.startswith(mark)))
     counted = hunks.select("doc", "path", "hunk", "new_start", "new_len", starts("+").alias("added_len"),
                            starts("-").alias("removed_len"))
     lines = hunks.select("doc", "path", "hunk", F.posexplode("body").alias("at", "l")).filter(
         F.col("l").rlike(r"^[+-]")).select("doc", "path", "hunk", "at", F.when(F.col("l").startswith("+"), "added")
                                             .otherwise("removed").alias("side"), F.substring("l", 2, 1 << 30).alias("text"))
-    return Changes(counted, lines, named.select("doc", "path", "old_path", "status"))
+    return Changes(counted, lines, named.select("doc", "path", "old_path", "status"), rejected)
 
 
 def read_change_intervals(spark: SparkSession, glob: str, strip: str | None = None) -> Changes:

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.keys import KEY_TYPE, absent_key, cell_key, csv_key, plain_double
+from ..functions.keys import KEY_TYPE, absent_key, cell_key, csv_key, plain_double, typed_key
 
 
 class NotTabularError(ValueError):
@@ -44,16 +44,20 @@ def column_names(rows: Sequence[Mapping]) -> list[str]:
 def fixture_table(spark: SparkSession, rows, fmt: str = "dict") -> DataFrame:
     """A table from a test file: ``ordinal`` plus one struct (display, key) per column.
 
-    ``rows`` is a list of dicts, CSV text or SQL text according to ``fmt``; SQL returns its own typed columns.
+    ``rows`` is a list of dicts, CSV text or SQL text according to ``fmt``. SQL rows have no authored order: their ordinal
+    only tells them apart.
     """
     if fmt == "sql":
-        return spark.sql(rows)
+        typed = spark.sql(rows)
+        cells = [F.struct(F.col(f"`{f.name}`").cast("string").alias("display"), typed_key(F.col(f"`{f.name}`"), f.dataType).alias("key")).alias(f.name)
+                 for f in typed.schema.fields]
+        return typed.select(F.monotonically_increasing_id().alias("ordinal"), *cells)
     if rows is None or len(rows) == 0:
         return spark.createDataFrame([], "ordinal long")
     if fmt == "csv":
         if not isinstance(rows, str):
-            rows = "\n".join([",".join(column_names(rows))] + [
-                ",".join("" if r.get(c) is None else str(r[c]) for c in column_names(rows)) for r in rows])
+            names = column_names(rows)
+            return _csv_cells(spark, names, [["" if r.get(c) is None else str(r[c]) for c in names] for r in rows])
         return csv_text_table(spark, rows)
     if isinstance(rows, str):
         raise NotTabularError("text under the dict format is not a table")
@@ -68,14 +72,18 @@ def fixture_table(spark: SparkSession, rows, fmt: str = "dict") -> DataFrame:
 
 
 def csv_text_table(spark: SparkSession, text: str) -> DataFrame:
-    """CSV text of a fixture, kept in authored order; a header alone is an empty table."""
+    """CSV text of a fixture, kept in authored order; a header alone is an empty table. A byte order mark and blank lines at the
+    end are not part of it."""
     import csv
     import io
-    lines = list(csv.reader(io.StringIO(text)))
+    lines = list(csv.reader(io.StringIO(text.removeprefix("\ufeff").rstrip("\r\n"))))
     if len(lines) < 2:
         return spark.createDataFrame([], "ordinal long")
-    header = lines[0]
-    padded = [(i, (line + [""] * len(header))[:len(header)]) for i, line in enumerate(lines[1:])]
+    return _csv_cells(spark, lines[0], lines[1:])
+
+
+def _csv_cells(spark: SparkSession, header: Sequence[str], lines: Sequence[list[str]]) -> DataFrame:
+    padded = [(i, (line + [""] * len(header))[:len(header)]) for i, line in enumerate(lines)]
     raw = spark.createDataFrame(padded, "ordinal long, fields array<string>")
     return raw.select("ordinal", *[F.struct(F.col("fields")[i].alias("display"), csv_key(F.col("fields")[i]).alias(
         "key")).alias(name) for i, name in enumerate(header)])

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.data_tests import DataTest
+from ..operators.data_tests import DataTest, outside
 from ..session import scratch_path
 
 
@@ -94,13 +94,23 @@ def stream_dedup(stream: DataFrame, keys: Sequence[str], ts: str, watermark: str
 
 
 def test_batch(batch: DataFrame, tests: Sequence[DataTest]) -> tuple[DataFrame, DataFrame, list[Column]]:
-    """Good rows, quarantined rows with the names of the tests they fail, and one failure counter per test."""
-    fails = [F.coalesce((F.expr(t.where) if t.where else F.lit(True)) & t.failing, F.lit(False)) for t in tests]
-    names = F.array_compact(F.array(*[F.when(f, F.lit(t.label())) for f, t in zip(fails, tests)]))
+    """Good rows, quarantined rows with the names of the tests they fail, and one failure counter per test.
+
+    A row count is judged for the batch and quarantines no row. Tests that a batch alone cannot judge (keys, references,
+    free SQL) are refused.
+    """
+    unfit = [t.label() for t in tests if t.failing is None and t.kind != "row_count_between"]
+    if unfit:
+        raise ValueError(f"a micro-batch cannot judge {', '.join(unfit)}")
+    seen = [F.expr(t.where) if t.where and t.where.strip() else F.lit(True) for t in tests]
+    fails = [F.coalesce(s & t.failing, F.lit(False)) if t.failing is not None else F.lit(False) for s, t in zip(seen, tests)]
+    names = F.array_compact(F.array(*[F.when(f, F.lit(t.label())) for f, t in zip(fails, tests)]).cast("array<string>"))
     tagged = batch.withColumn("_failed", names)
     good = tagged.filter(F.size("_failed") == 0).drop("_failed")
     bad = tagged.filter(F.size("_failed") > 0).withColumnRenamed("_failed", "failed_tests")
-    return good, bad, [F.count_if(f).alias(t.label()) for f, t in zip(fails, tests)]
+    counters = [F.count_if(f) if t.failing is not None else outside(F.count_if(s), *t.bounds, True).cast("long")
+                for s, f, t in zip(seen, fails, tests)]
+    return good, bad, [c.alias(t.label()) for c, t in zip(counters, tests)]
 
 
 test_batch.__test__ = False
