@@ -97,6 +97,16 @@ class Model:
         return plain and not any(x[0] == "\n" or x[1] == "\n" or (x[1] == MARK and x[0] != MARK) for x in self.neighbours())
 
 
+def joined(found: list) -> bytes | tuple[bytes, bool, bool]:
+    """Results put together. A result is the ids alone where the library agrees and decoding gives the text back, which keeps
+    the memo small; else the ids and the two flags."""
+    try:
+        return b"".join(found)
+    except TypeError:
+        full = [f if isinstance(f, tuple) else (f, True, True) for f in found]
+        return b"".join([f[0] for f in full]), all(f[1] for f in full), all(f[2] for f in full)
+
+
 class Coder:
     """Ids by the rebuilt tokenizer; for a model that may be cut at blanks with a memo over chunks, else text by text.
 
@@ -117,17 +127,19 @@ class Coder:
         self.chunks = Chunks(self._learn, lambda t: [t])
         self.line_end = self.tokenizer.encode("\n").ids  # the marker and the line end
 
-    def _check(self, texts: list[str]) -> list[tuple[bytes, bool, bool]]:
+    def _check(self, texts: list[str]) -> list:
         mine = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]  # multithreaded
         theirs = self.other.encode(texts, num_threads=1) if self.other else mine
         back = self.tokenizer.decode_batch(mine, skip_special_tokens=False)
-        return [(np.asarray(a, "<u4").tobytes(), a == b, t == c) for t, a, b, c in zip(texts, mine, theirs, back)]
+        ids = [np.asarray(a, "<u4").tobytes() for a in mine]
+        return [i if a == b and t == c else (i, a == b, t == c) for i, t, a, b, c in zip(ids, texts, mine, theirs, back)]
 
-    def _learn_words(self, words: list[str]) -> list[tuple[bytes, bool, bool]]:
+    def _learn_words(self, words: list[str]) -> list:
         # a word after a line end has no marker of its own: it is encoded behind one, and the two ids before it go
         found = self._check([w[1:] if w[0] == " " else w for w in words])
         drop = 4 * len(self.line_end)
-        return [(ids if w[0] == " " else ids[drop - 4:] if w == "\n" else ids[drop:], same, back) for w, (ids, same, back) in zip(words, found)]
+        own = lambda w, ids: ids if w[0] == " " else ids[drop - 4:] if w == "\n" else ids[drop:]
+        return [(own(w, f[0]), *f[1:]) if isinstance(f, tuple) else own(w, f) for w, f in zip(words, found)]
 
     def _words(self, chunk: str) -> list[str]:
         """Words that start with a space, or with a line end that only stands in for what is before them."""
@@ -142,15 +154,14 @@ class Coder:
             return [*out, chunk[:-1], "\n" + chunk[-1]]
         return [*out, chunk]
 
-    def _learn(self, chunks: list[str]) -> list[tuple[bytes, bool, bool]]:
+    def _learn(self, chunks: list[str]) -> list:
         if not self.cuttable:
             return self._check([c[1:] for c in chunks])
         made = [[c] if self.chunks.TWO_BLANKS.search(c) else self._words(c) for c in chunks]
         if len(self.words.memo) > MEMO:
             self.words.memo.clear()
         self.words.each(w for m in made for w in m)
-        found = [[self.words.memo[w] for w in m] for m in made]
-        return [(b"".join([x[0] for x in f]), all(x[1] for x in f), all(x[2] for x in f)) for f in found]
+        return [joined([self.words.memo[w] for w in m]) for m in made]
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bool, bool]]:
         """Ids of each text, whether the sentencepiece library gives them too, and whether they decode to the text."""
@@ -160,8 +171,9 @@ class Coder:
             found = [[x] for x in self._learn([" " + t for t in texts])]
         out = []
         for text, f in zip(texts, found):
-            ids = np.frombuffer(b"".join([x[0] for x in f]) if text else b"", "<u4")
-            out.append((ids, all(x[1] for x in f), all(x[2] for x in f)))
+            all_of = joined(f)
+            ids, same, back = all_of if isinstance(all_of, tuple) else (all_of, True, True)
+            out.append((np.frombuffer(ids if text else b"", "<u4"), same, back))
         return out
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
