@@ -12,8 +12,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import cut
 from ._text import on_batches, parts, word_hashes
 from .folds import fold
 
@@ -121,21 +122,42 @@ def _count(rows: DataFrame) -> Model | None:
     return Model(hits, every, min(max(ones / tokens, 1e-6), 1 - 1e-6))
 
 
-def _extremes(rows: DataFrame, model: Model) -> None:
-    """Lambda solves sum p(s) exp(lambda s) = 1 over the token scores of clean calibration texts; K fits their best segments' mean."""
+def _calibrate(rows: DataFrame, model: Model) -> None:
+    """Fit the extreme-value distribution and the logistic curve, from one pass over the calibration texts.
+
+    The pass keeps three numbers a text and a histogram of the clean texts' token scores, so the texts are moved and scored once.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, sums = np.zeros(TOKEN_BINS, np.int64), np.zeros(3)
-        for _, texts in parts(batches, "_text"):
+        names, held = ["toxic", "best", "n", "bin", "tokens"], np.zeros(TOKEN_BINS, np.int64)
+        nothing = lambda kind, n: pa.nulls(n, kind)
+        for batch, texts in parts(batches, "_text"):
             _, best, counts, scores = shared.value.passages(texts)
-            held += np.bincount(np.clip(((scores - TOKEN_LOW) / TOKEN_BIN).astype(int), 0, TOKEN_BINS - 1), minlength=TOKEN_BINS)
-            sums += [len(texts), best.sum(), np.log(np.maximum(counts, 1)).sum()]
-        yield pa.RecordBatch.from_arrays([pa.array([*range(TOKEN_BINS), -1, -2, -3], pa.int32()), pa.array([*held.astype(float), *sums])], ["k", "v"])
-    got = {r[0]: r[1] for r in on_batches(rows.filter("_toxic = 0").select("_text"), run, "k int, v double").groupBy("k").agg(F.sum("v")).collect()}
-    if not got.get(-1):
+            toxic = batch.column("_toxic").cast(pa.int32())
+            clean = np.repeat(toxic.to_numpy() == 0, counts)
+            held += np.bincount(np.clip(((scores[clean] - TOKEN_LOW) / TOKEN_BIN).astype(int), 0, TOKEN_BINS - 1), minlength=TOKEN_BINS)
+            yield pa.RecordBatch.from_arrays([toxic, pa.array(best, pa.float64()), pa.array(counts, pa.int64()),
+                                              nothing(pa.int32(), len(texts)), nothing(pa.int64(), len(texts))], names)
+        yield pa.RecordBatch.from_arrays([nothing(pa.int32(), TOKEN_BINS), nothing(pa.float64(), TOKEN_BINS), nothing(pa.int64(), TOKEN_BINS),
+                                          pa.array(range(TOKEN_BINS), pa.int32()), pa.array(held)], names)
+    seen = cut(on_batches(rows.select("_text", "_toxic"), run, "toxic int, best double, n long, bin int, tokens long"), "calibration")
+    _extremes(seen, model)
+    _curve(seen, model)
+
+
+def _log_n() -> Column:
+    return F.log(F.greatest("n", F.lit(1)))
+
+
+def _extremes(seen: DataFrame, model: Model) -> None:
+    """Lambda solves sum p(s) exp(lambda s) = 1 over the token scores of clean calibration texts; K fits their best segments' mean."""
+    texts, best, log_n = seen.filter("toxic = 0").agg(F.count(F.lit(1)), F.avg("best"), F.avg(_log_n())).first()
+    if not texts:
         return
-    n = np.array([got.get(k, 0.0) for k in range(TOKEN_BINS)])
+    n = np.zeros(TOKEN_BINS)
+    for k, tokens in seen.filter("bin is not null").groupBy("bin").agg(F.sum("tokens")).collect():  # a fixed number of bins
+        n[k] = tokens
     at = TOKEN_LOW + TOKEN_BIN * (np.arange(TOKEN_BINS) + 0.5)
     if n[at > 0].sum() > 0 and (n * at).sum() < 0:
         low, high = 1e-3, 20.0
@@ -143,19 +165,14 @@ def _extremes(rows: DataFrame, model: Model) -> None:
             mid = (low + high) / 2
             low, high = (mid, high) if (n * np.exp(mid * at)).sum() < n.sum() else (low, mid)
         model.scale = low
-    model.log_k = model.scale * got[-2] / got[-1] - got[-3] / got[-1] - EULER
+    model.log_k = model.scale * best - log_n - EULER
 
 
-def _curve(rows: DataFrame, model: Model) -> None:
+def _curve(seen: DataFrame, model: Model) -> None:
     """A logistic curve from the extreme-value statistic to the share of toxic calibration texts, from counts in fixed bins."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in parts(batches, "_text"):
-            _, best, counts, _ = shared.value.passages(texts)
-            at = np.clip(shared.value.surprise(best, counts), LOW, HIGH)
-            yield pa.RecordBatch.from_arrays([pa.array(((at - LOW) / BIN).astype(np.int32)), batch.column("_toxic").cast(pa.int32())], ["bin", "toxic"])
-    got = on_batches(rows.select("_text", "_toxic"), run, "bin int, toxic int").groupBy("bin", "toxic").count().collect()
+    z = F.greatest(F.least(model.scale * F.col("best") - _log_n() - model.log_k, F.lit(HIGH)), F.lit(LOW))
+    bins = seen.filter("toxic is not null").select(((z - LOW) / BIN).cast("int").alias("z"), "toxic")
+    got = bins.groupBy("z", "toxic").count().collect()
     if len({r[1] for r in got}) < 2:
         return
     x, y, n = (np.array([float(f(r)) for r in got]) for f in (lambda r: LOW + BIN * (r[0] + 0.5), lambda r: r[1], lambda r: r[2]))
@@ -175,12 +192,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     marks = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_toxic")).filter("_toxic in (0, 1) and _id is not null")
     marks = marks.groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(marks, "_id")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(marks.hint("merge"), "_id")
     rows = rows.withColumn("_fold", fold(F.col("_id")))
     model = _count(rows.filter("_fold <> 1").select("_text", "_toxic"))
     if model:
-        _extremes(rows.filter("_fold = 1"), model)
-        _curve(rows.filter("_fold = 1"), model)
+        _calibrate(rows.filter("_fold = 1"), model)
     return model
 
 
