@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-MEMO = 1_000_000  # chunks a worker remembers
+MEMO = 400_000  # chunks a worker remembers
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 CHUNK = 1 << 21  # characters that are worked on at a time
 BASE = 0x9E3779B97F4A7C15 | 1

@@ -20,6 +20,7 @@ from .folds import fold
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 STEP = np.uint64(0x9E3779B97F4A7C55)
 UNKNOWN = "und"
+AT_ONCE = 1 << 19  # characters that are scored at a time
 
 
 def characters(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -181,7 +182,7 @@ def fit(docs: DataFrame, order: int = 4, sample_chars: int = 1_000_000, id_col:
     model = build({lang: (codes[langs == lang], n[langs == lang]) for lang in set(langs)}, order)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in parts(batches, "_text"):
+        for batch, texts in parts(batches, "_text", AT_ONCE):
             scores, sizes = model.score(texts)
             own = [model.langs.index(x) if x in model.langs else -1 for x in batch.column("_lang").to_pylist()]
             use = [i for i, j in enumerate(own) if j >= 0 and sizes[i]]
@@ -225,7 +226,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        for batch, texts in parts(batches, "_text"):
+        for batch, texts in parts(batches, "_text", AT_ONCE):
             langs, scores, bits, bad = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.nan), np.ones(len(texts), bool)
             if known:
                 logs, sizes = known.score(texts)

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..session import cut
-from ._text import MEMO, Chunks, on_batches, parts
+from ._text import Chunks, on_batches, parts
 
 CODED = "doc_id long, _part int, _at long, _n long, _ids binary"
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
@@ -34,7 +34,6 @@ class Coder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words: dict[str, bytes] = {}
         self.chunks = Chunks(self._learn, re.compile(r"(?<=\S)(?=\s)").split)
 
     @staticmethod
@@ -48,29 +47,35 @@ class Coder:
 
     def _learn(self, chunks: list[str]) -> list[bytes]:
         made = [self._words(c) for c in chunks]
-        if len(self.words) > MEMO:
-            self.words.clear()
-        fresh = list({w for m in made for w in m if w not in self.words})
+        fresh = list({w for m in made for w in m})
         plain = [w for w in fresh if "<" not in w]
         found = self.tokenizer.encode(plain, is_pretokenized=True, add_special_tokens=False)
         raw = np.asarray(found.ids, "<u4").tobytes()
         ends = (4 * np.searchsorted(np.asarray(found.word_ids), np.arange(1, len(plain) + 1))).tolist() if raw else [0] * len(plain)
-        self.words.update((w, raw[a:b]) for w, a, b in zip(plain, [0, *ends], ends))
+        known = {w: raw[a:b] for w, a, b in zip(plain, [0, *ends], ends)}
         for w in fresh:
             if "<" in w:  # may hold a special token, which belongs to no word
-                self.words[w] = np.asarray(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-        return [b"".join([self.words[w] for w in m]) for m in made]
+                known[w] = np.asarray(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+        return [b"".join([known[w] for w in m]) for m in made]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         return [b"".join(found) for found in self.chunks.find(texts)]
 
 
-def coder(path: str, kept: dict = {}) -> Coder:
+KEPT: dict[str, Coder] = {}  # of the worker process; tasks reach it through the two functions below
+
+
+def coder(path: str) -> Coder:
     """One coder per worker process and file."""
-    if path not in kept:
-        kept[path] = Coder(path)
-    return kept[path]
+    if path not in KEPT:
+        KEPT[path] = Coder(path)
+    return KEPT[path]
+
+
+def forget() -> None:
+    """Give the memory of the worker's coders back."""
+    KEPT.clear()
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end_id: int) -> DataFrame:
@@ -109,6 +114,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, i
     placed = coded.join(F.broadcast(bases), "_part")  # one row per partition
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()  # all texts are encoded by now
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             at = batch.column("_at").to_numpy() + batch.column("_base").to_numpy()
