@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 
 MEMO = 400_000  # chunks a worker remembers
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-CHUNK = 1 << 21  # characters that are worked on at a time
+CHUNK = 1 << 19  # characters that are worked on at a time
 BASE = 0x9E3779B97F4A7C15 | 1
 
 
