@@ -13,11 +13,18 @@ from pyspark.sql import DataFrame
 MEMO = 400_000  # chunks a worker remembers
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 CHUNK = 1 << 19  # characters that are worked on at a time
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 BASE = 0x9E3779B97F4A7C15 | 1
 
 
 def on_batches(df: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` whose workers can import this package even where the driver found it on its own path only."""
+    """``mapInArrow`` whose workers can import this package even where the driver found it on its own path only.
+
+    Unless the session says otherwise, rows reach the workers in batches of ``BATCH_BYTES``: a partition of long texts as one
+    batch would lie in memory several times, on both sides.
+    """
+    if df.sparkSession.conf.get(BATCH, None) is None:
+        df.sparkSession.conf.set(BATCH, BATCH_BYTES)
     known = df.sparkSession.sparkContext.environment
     if ROOT not in known.get("PYTHONPATH", "").split(os.pathsep):
         known["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, known.get("PYTHONPATH", "")]))
