@@ -28,19 +28,27 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every text; a NULL text counts as empty."""
-    gone = exact_dedup(docs, keep="smallest").filter("not kept").select(F.col("doc_id").alias("_gone"))
-    return _without(docs, gone)
+    """The document with the smallest id of every text, one row of it; a NULL text counts as empty."""
+    return _staying(docs, exact_dedup(docs, keep="smallest"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every class of near duplicates, the one with the smallest id."""
-    gone = near_dedup(docs).filter("not kept").select(F.col("doc_id").alias("_gone"))
-    return _without(docs, gone)
-
-
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    return docs.select(*COLUMNS).join(cut(gone, "gone"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    """One document of every class of near duplicates, the one with the smallest id, and one row of it."""
+    return _staying(docs, near_dedup(docs, digest=True))
+
+
+def _staying(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """As many rows of each id and text as are marked as kept. Rows that repeat both are alike to an operator; of those that
+    differ in another column the smallest stays."""
+    counts = marked.groupBy(F.col("doc_id").alias("_gone"), F.unhex("text_sha256").alias("_sha")).agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if("kept").alias("_stay"))
+    less = cut(counts.filter("_stay < _n"), "less")
+    docs = docs.select(*COLUMNS)
+    same = F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)) == F.col("_sha"))
+    some = less.filter("_stay > 0")  # rows are repeated, and one of them stays
+    row = F.struct("lang", "source", "n_chars", "text")
+    once = docs.join(some, same).groupBy("doc_id", "_sha").agg(F.min(row).alias("_row")).select("doc_id", "_row.*").select(*COLUMNS)
+    return docs.join(less, same, "left_anti").unionByName(once)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -204,18 +204,22 @@ def inverse_frequencies(rows: DataFrame) -> np.ndarray:
     return np.log1p(max(total, 1) / np.maximum(df, 1)).astype(np.float32)
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
-    """One row per input row: ``doc_id``, ``class_id``, ``class_size``, ``kept``.
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY,
+               digest: bool = False) -> DataFrame:
+    """One row per input row: ``doc_id``, ``class_id``, ``class_size``, ``kept``, with ``digest`` also ``text_sha256`` (that of
+    an empty text where the text is NULL), by which rows that share an id are told apart.
 
     Texts are alike when the weighted Jaccard similarity of their TF-IDF word shingles is at least ``threshold``; classes are
     closed under likeness and named by their smallest id. Texts of the same words (lower-cased runs of letters, digits, underscores and
     non-ASCII characters) count as copies and are one text from here on. A text without a word (NULL, empty) and a row
-    with a NULL id are alike to nothing. One row of each class is kept: the first with the smallest id.
+    with a NULL id are alike to nothing. One row of each class is kept: the first with the smallest id, and of
+    the texts that share that id the one with the smallest digest.
 
     Candidates share a band; links from each band's smallest text to the others group them, and within such a group texts are
     compared in blocks, so that no pair is written out and no task holds more than two blocks.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    rows = rows.withColumn("_sha", F.unhex(F.sha2(F.coalesce("_text", F.lit("")), 256)))
     shared = docs.sparkSession.sparkContext.broadcast(inverse_frequencies(rows))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,11 +231,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 ids = batch.column("_id").slice(begin, len(some))
                 real = [bool(k) and i.is_valid for k, i in zip(keys, ids)]
                 yield pa.RecordBatch.from_arrays([
-                    ids, pa.array([d if r else None for d, r in zip(digests, real)], pa.binary()),
-                    pa.array([np.frombuffer(k, np.int64) if r else None for k, r in zip(keys, real)], pa.list_(pa.int64()))], ["_id", "_node", "_bands"])
-    signed = cut(on_batches(rows, sign, "_id long, _node binary, _bands array<long>"), "signed")
-    nodes = signed.filter("_node is not null").groupBy("_node").agg(F.min("_id").alias("_first"), F.first("_bands").alias("_bands"))
-    nodes = cut(nodes, "nodes")
+                    ids, batch.column("_sha").slice(begin, len(some)), pa.array([d if r else None for d, r in zip(digests, real)], pa.binary()),
+                    pa.array([np.frombuffer(k, np.int64) if r else None for k, r in zip(keys, real)], pa.list_(pa.int64()))], ["_id", "_sha", "_node", "_bands"])
+    signed = cut(on_batches(rows, sign, "_id long, _sha binary, _node binary, _bands array<long>"), "signed")
+    nodes = signed.filter("_node is not null").groupBy("_node").agg(F.min(F.struct("_id", "_sha")).alias("_least"), F.first("_bands").alias("_bands"))
+    nodes = cut(nodes.select("_node", F.col("_least._id").alias("_first"), F.col("_least._sha").alias("_least"), "_bands"), "nodes")
 
     entries = nodes.select("_node", F.explode("_bands").alias("_band"))
     full = entries.groupBy("_band").agg(F.min("_node").alias("_lead"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
@@ -239,9 +243,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = components(met, "_node", "_lead")
     sizes = cut(groups.groupBy("label").agg(F.count(F.lit(1)).alias("_m")), "sizes")
     blocks = F.ceil(F.col("_m") / BLOCK).cast("int")
-    wanted = groups.join(sizes, "label").join(nodes.select("_node", "_first"), F.col("node") == F.col("_node"))
-    wanted = cut(wanted.select("label", "_node", "_first", blocks.alias("_blocks")), "wanted")
-    texts = rows.join(wanted.hint("merge"), F.col("_id") == F.col("_first")).withColumn("_block", F.pmod(F.xxhash64("_node"), F.col("_blocks")).cast("int"))
+    wanted = groups.join(sizes, "label").join(nodes.select("_node", "_first", "_least"), F.col("node") == F.col("_node"))
+    wanted = cut(wanted.select("label", "_node", "_first", "_least", blocks.alias("_blocks")), "wanted")
+    asked = (F.col("_id") == F.col("_first")) & (F.col("_sha") == F.col("_least"))  # an id alone may carry several texts
+    texts = rows.join(wanted.hint("merge"), asked).withColumn("_block", F.pmod(F.xxhash64("_node"), F.col("_blocks")).cast("int"))
     # each block meets every block of its group, itself included
     other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
     dealt = texts.select("label", "_node", "_text", "_block", other.alias("_other")).select(
@@ -255,17 +260,20 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = cut(dealt.groupBy("label", "_i", "_j").applyInArrow(verify, "a binary, b binary"), "verified")
     classes = components(links)
     named = nodes.join(classes, F.col("_node") == F.col("node"), "left").select(
-        "_node", "_first", F.coalesce("label", "_node").alias("_class"))
+        "_node", "_first", "_least", F.coalesce("label", "_node").alias("_class"))
     named = cut(named, "named")
     counts = signed.groupBy("_node").agg(F.count(F.lit(1)).alias("_n"))
-    totals = named.join(counts, "_node").groupBy("_class").agg(F.min("_first").alias("class_id"), F.sum("_n").alias("class_size"))
-    info = cut(named.join(cut(totals, "totals"), "_class").select(F.col("_node").alias("_k"), "class_id", "class_size"), "classes")
-    out = signed.groupBy("_id", "_node").agg(F.count(F.lit(1)).alias("_copies"))
+    totals = named.join(counts, "_node").groupBy("_class").agg(
+        F.min(F.struct("_first", "_least")).alias("_lead"), F.sum("_n").alias("class_size"))
+    totals = totals.select("_class", F.col("_lead._first").alias("class_id"), F.col("_lead._least").alias("_lead"), "class_size")
+    info = cut(named.join(cut(totals, "totals"), "_class").select(F.col("_node").alias("_k"), "class_id", "_lead", "class_size"), "classes")
+    out = signed.groupBy("_id", "_node", "_sha").agg(F.count(F.lit(1)).alias("_copies"))
     out = cut(out, "rows").join(info, F.col("_node") == F.col("_k"), "left")
     copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))
     alone = F.col("class_id").isNull()
-    # of an id that several texts of one class carry only one row is first: that of the class's smallest text
-    first = (F.col("_id") == F.col("class_id")) & (F.col("_copy") == 1)
+    # of an id that several texts of one class carry only one row is first: that of the smallest digest
+    first = (F.col("_id") == F.col("class_id")) & (F.col("_sha") == F.col("_lead")) & (F.col("_copy") == 1)
+    more = [F.lower(F.hex("_sha")).alias("text_sha256")] if digest else []
     return out.select("*", copy.alias("_copy")).select(
         F.col("_id").alias("doc_id"), F.coalesce("class_id", "_id").alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"),
-        (alone | first).alias("kept"))
+        (alone | first).alias("kept"), *more)

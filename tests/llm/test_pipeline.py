@@ -33,3 +33,38 @@ def test_stages(spark):
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF_DIR)
     assert pieces.select("doc_id").distinct().count() == kept[3]
     assert corpus_pipeline.run(spark, SF_DIR).select("doc_id").distinct().count() == kept[3]
+
+
+def test_repeated_rows_keep_one_row_of_each_text(spark):
+    base = [f"w{i}" for i in range(200)]
+    long, like, other = " ".join(base), " ".join(base[:199] + ["x"]), " ".join(f"v{i}" for i in range(200))
+    rows = [(5, long), (5, long), (6, other), (6, like), (6, like), (7, other), (None, "a b c"), (None, "a b c"), (8, None), (8, ""), (9, like + "!")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    once = corpus_pipeline.exact(spark, docs, SF_DIR).collect()
+    assert sorted(((r.doc_id or 0, r.text or "") for r in once)) == sorted([(5, long), (6, other), (6, like), (0, "a b c"), (8, ""), (9, like + "!")])
+    for given in (docs.filter("text <> ''"), corpus_pipeline.exact(spark, docs, SF_DIR).filter("text <> ''")):
+        kept = corpus_pipeline.near(spark, given, SF_DIR).filter("doc_id is not null").collect()
+        assert sorted((r.doc_id, r.text) for r in kept) == sorted([(5, long), (6, other)])
+
+
+def test_near_dedup_keeps_one_row_of_an_id_with_two_like_texts(spark):
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(base), " ".join(base[:199] + ["x"]), " ".join(base) + "!", " ".join(f"v{i}" for i in range(200))]
+    docs = spark.createDataFrame([(5, t, "en", "s", 1) for t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [r.text for r in corpus_pipeline.near(spark, docs, SF_DIR).collect()]
+    assert len(kept) == 2 and texts[3] in kept
+
+
+def test_stages_on_messy_rows(spark, messy):
+    docs, digests = messy, {r.text or "" for r in messy.select("text").collect()}
+    out = {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF_DIR).cache()
+        out[name] = docs.collect()
+    lettered = {t for t in digests if any(c.isalpha() for c in t)}
+    texts = [r.text for r in out["exact_dedup"]]
+    assert len(texts) == len(set(texts)) and set(texts) == {r.text for r in out["language_id"]} <= lettered
+    assert {r.text for r in out["near_dedup"]} <= set(texts)
+    assert len(out["pii"]) == len(out["near_dedup"]) and {r.doc_id for r in out["packing"]} == {r.doc_id for r in out["pii"]}
+    messy_exact = corpus_pipeline.exact(spark, messy, SF_DIR).collect()
+    assert sorted(r.text or "" for r in messy_exact) == sorted(digests)
