@@ -24,7 +24,7 @@ NAME = r"\p{Lu}[\p{Ll}]+(?:[-'’]\p{Lu}\p{Ll}+)?"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 WORD_FORMS = "|".join([
     r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,8}",
-    SECRETS + r"\s{0,3}[=:]\s{0,3}[\"']?(?=[^\s\"',;]{0,127}[0-9])[^\s\"',;]{6,128}",
+    SECRETS + r"\s{0,3}[=:]\s{0,3}[\"']?(?=[^\s\"',;\p{L}\p{N}]*+[\p{L}\p{N}])[^\s\"',;]{6,}+",
     r"(?:AKIA|ASIA)[A-Z0-9]{12,20}(?![\p{L}\p{N}])",
     r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     rf"(?:{OCTET}\.){{3}}{OCTET}(?!\.?[0-9])(?![\p{{L}}])",
@@ -35,7 +35,7 @@ WORD_FORMS = "|".join([
 ENTITY = (rf"(?<![\p{{L}}\p{{N}}_@.+-])(?:{WORD_FORMS})"
           r"|(?<![\p{L}\p{N}_+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![\p{L}\p{N}])"
           r"|(?<![\p{L}\p{N}_+])\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![\p{L}\p{N}])")
-GATE = rf"[0-9@]|AKIA|ASIA|(?<![\p{{L}}\p{{N}}]){TITLE} \p{{Lu}}"
+GATE = rf"[0-9@]|AKIA|ASIA|{SECRETS}\s{{0,3}}[=:]|(?<![\p{{L}}\p{{N}}]){TITLE} \p{{Lu}}"
 UNIT = "array<struct<kind:string,canon:string>>"
 
 
@@ -105,11 +105,11 @@ def _pick(letters: str, n: Column) -> Column:
 
 
 def _like(text: Column, stream: Column, offset: int = 0) -> Column:
-    """Digits for digits, small letters for small ones, capitals for capitals; anything else stays."""
+    """Digits for digits, small letters for small ones, capitals for capitals, small Latin ones for other letters and digits; anything else stays."""
     def one(c, i):
         n = _byte(stream, i + offset)
         return (F.when(c.rlike("[0-9]"), _pick("0123456789", n)).when(c.rlike("[a-z]"), _pick("abcdefghijklmnopqrstuvwxyz", n))
-                .when(c.rlike("[A-Z]"), _pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", n)).otherwise(c))
+                .when(c.rlike("[A-Z]"), _pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", n)).when(c.rlike(r"[\p{L}\p{N}]"), _pick("abcdefghijklmnopqrstuvwxyz", n)).otherwise(c))
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
 
@@ -186,8 +186,9 @@ def pii_surrogates(docs: DataFrame, key: str, id_col: str = "doc_id", text_col:
     """One row per input row: the id, the columns in ``keep``, the text with surrogates, and ``n_entities``.
 
     Found are e-mail and IPv4 addresses, phone numbers, card numbers that pass the Luhn check, US social security numbers,
-    IBANs, access keys and credentials after ``password=``, ``token:`` and the like, and names after a form of address. What is not an
-    entity stays byte for byte; a NULL text stays NULL with no entity, an empty one empty. Ids may be NULL and rows may repeat. A
+    IBANs, access keys and credentials after ``password=``, ``token:`` and the like, and names after a form of address. A credential is
+    all of the value up to a blank, quote, comma or semicolon, however long and with or without a digit, if it has six characters
+    and one of them is a letter or digit. What is not an entity stays byte for byte; a NULL text stays NULL with no entity, an empty one empty. Ids may be NULL and rows may repeat. A
     phone number's country code, a card's first digit, an IBAN's country and a form of address stay; IBAN check digits are not
     computed. A given name ends as its gender does; a family name is the same with every given name.
 

@@ -147,6 +147,18 @@ def test_pii_surrogates(spark, messy, nothing):
     assert pii_surrogates(nothing, "k").count() == 0
 
 
+def test_credentials_go_whole(spark):
+    token = "".join("abcdefghijklmnopqrstuvwxyz"[i * i % 26] for i in range(1990)) + "0123456789"
+    texts = ["token=" + token, "password=CorrectHorseBattery", "Passwd: 'тайныйпароль' ok", "pwd=" + "x" * 200 + "7;next", "password=******** secret: none"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii_surrogates(docs, "k").collect()}
+    assert [got[i].n_entities for i in range(5)] == [1, 1, 1, 1, 0] and got[4].text == texts[4]
+    assert len(got[0].text) == len(texts[0]) and not any(token[i:i + 12] in got[0].text for i in range(len(token) - 11))
+    assert got[1].text.startswith("password=") and "Horse" not in got[1].text
+    assert got[2].text.startswith("Passwd: '") and got[2].text.endswith("' ok") and "пароль" not in got[2].text
+    assert got[3].text.startswith("pwd=") and got[3].text.endswith(";next") and "xxx" not in got[3].text[4:40]
+
+
 def test_pii_surrogates_stay_distinct(spark):
     # 2000 of the 10^7 numbers with a fixed area: first draws collide with each other or with real ones now and then
     docs = spark.createDataFrame([(i, f"Dr. {'Q' + chr(97 + i % 26)} call 200-{i // 100:03d}-{i:04d} or 10.0.{i // 250}.{i % 250 + 1}") for i in range(2000)], "doc_id long, text string")
