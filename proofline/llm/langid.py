@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import cut
 from ._text import mix, on_batches, parts
 from .folds import fold
 
@@ -146,16 +147,28 @@ def _rows_hash(codes: np.ndarray) -> np.ndarray:
 
 
 def _sample(docs: DataFrame, sample_chars: int) -> DataFrame:
-    """Whole texts of each language, about ``sample_chars`` characters of it; chosen by a hash of id and text."""
-    totals = docs.groupBy("_lang").agg(F.sum(F.length("_text")).alias("_sum"))
-    chance = F.pmod(F.xxhash64("_id", "_text", F.lit(17)), F.lit(1 << 20)) / (1 << 20)
-    spark = docs.sparkSession
-    shares = spark.createDataFrame([(r[0], min(1.0, sample_chars / max(1, r[1]))) for r in totals.collect()], "_lang string, _share double")
-    return docs.join(shares, "_lang").filter(chance < F.col("_share")).withColumn("_fit", F.pmod(F.xxhash64("_text", "_id"), F.lit(4)) > 0)
+    """Pieces of the texts of each language, about ``sample_chars`` characters of it, chosen by a hash of id, text and place; ``_fit``
+    marks those that are counted. Wherever a language has a letter, at least the piece that begins with the first letter of the
+    text with the smallest hash is drawn and counted."""
+    docs = docs.select(F.regexp_replace("_text", r"\A[^\p{L}]++", "").alias("_text"), "_lang", F.xxhash64("_id", "_text").alias("_hash"))
+    docs = docs.filter("_text <> ''").withColumn("_size", F.length("_text"))
+    totals = docs.groupBy("_lang").agg(F.sum("_size").alias("_sum"), F.count(F.lit(1)).alias("_n"), F.min("_hash").alias("_least"))
+    share = F.least(F.lit(1.0), F.lit(sample_chars) / F.col("_sum"))
+    docs = docs.join(cut(totals.select("_lang", share.alias("_share"), (F.col("_n") < FEW).alias("_few"), "_least"), "languages"), "_lang")
+    lead = F.col("_hash") == F.col("_least")
+
+    def drawn(p):
+        return (F.pmod(F.xxhash64("_hash", p, F.lit(17)), F.lit(1 << 20)) / (1 << 20) < F.col("_share")) | (lead & (p == 0))
+    places = F.filter(F.sequence(F.lit(0), F.floor((F.col("_size") - 1) / PIECE).cast("int")), drawn)
+    pieces = F.transform(places, lambda p: F.struct(F.substring("_text", p * PIECE + 1, F.lit(PIECE)).alias("_text"), p.alias("_place")))
+    docs = docs.select("_lang", "_hash", "_few", lead.alias("_lead"), F.explode(pieces).alias("_piece")).select("*", "_piece.*")
+    apart = F.when(F.col("_few"), F.xxhash64("_hash", "_place", F.lit(4))).otherwise(F.xxhash64("_hash", F.lit(4)))
+    fit = (F.pmod(apart, F.lit(4)) > 0) | (F.col("_lead") & (F.col("_place") == 0))
+    return cut(docs.select("_lang", "_text", fit.alias("_fit")), "sample")
 
 
 def fit(docs: DataFrame, order: int = 4, sample_chars: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """Learn from the rows given. The models come from a bounded sample: whole texts of about ``sample_chars`` characters a
+    """Learn from the rows given. The models come from a bounded sample: pieces of all texts, about ``sample_chars`` characters a
     language, three quarters of which are counted and the rest used to calibrate the rejection. None without any letter."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
     sample = _sample(rows.dropna(subset=["_text", "_lang"]), sample_chars)

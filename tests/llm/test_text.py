@@ -204,6 +204,17 @@ def test_models_on_messy_rows(spark, messy, nothing):
     assert toxicity.fit(nothing, labels) is None and toxicity.toxicity(messy, None).filter("score > 0").count() == 0
 
 
+def test_every_language_is_learned(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, f"{letters[2 * i]}{letters[2 * i + 1]} " * 5, f"l{i:02d}") for i in range(12)]
+    rows += [(100 + i, "123 " * 900 + f"{c}qx {c}xq " * 8000, f"long{i}") for i, c in enumerate("äöüß")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, sample_chars=2000)
+    assert model.langs == sorted(r[2] for r in rows)
+    got = langid.identify(docs, model, keep=("lang",)).collect()
+    assert all(r.lang_pred == r.lang and not r.rejected for r in got)
+
+
 def test_kneser_ney_probabilities_sum_to_one():
     codes, begins, sizes = langid.characters(["abab abba", "baab"], 3)
     at = np.concatenate([np.arange(b, b + n + 1) for b, n in zip(begins, sizes)])
