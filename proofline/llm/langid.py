@@ -146,6 +146,10 @@ def _rows_hash(codes: np.ndarray) -> np.ndarray:
     return out
 
 
+PIECE = 2000  # characters of a text that are drawn at a time
+FEW = 20  # with fewer texts than this, pieces and not whole texts are kept apart for calibration
+
+
 def _sample(docs: DataFrame, sample_chars: int) -> DataFrame:
     """Pieces of the texts of each language, about ``sample_chars`` characters of it, chosen by a hash of id, text and place; ``_fit``
     marks those that are counted. Wherever a language has a letter, at least the piece that begins with the first letter of the
@@ -191,39 +195,62 @@ def fit(docs: DataFrame, order: int = 4, sample_chars: int = 1_000_000, id_col:
         return None
     codes = found.column("gram").combine_chunks().flatten().to_numpy().reshape(-1, order)
     n = found.column("n").to_numpy()
-    model = build({lang: (codes[langs == lang], n[langs == lang]) for lang in set(langs)}, order)
+    counts = {lang: (codes[langs == lang], n[langs == lang]) for lang in set(langs)}
+    model = build(counts, order)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in parts(batches, "_text"):
-            scores, sizes = model.score(texts)
-            own = [model.langs.index(x) if x in model.langs else -1 for x in batch.column("_lang").to_pylist()]
-            use = [i for i, j in enumerate(own) if j >= 0 and sizes[i]]
-            bits = [-scores[i, own[i]] / sizes[i] for i in use]
-            yield pa.RecordBatch.from_arrays([pa.array([model.langs[own[i]] for i in use], pa.string()), pa.array([int(sizes[i]).bit_length() for i in use], pa.int32()),
-                                              pa.array(bits, pa.float64())], ["lang", "size", "bits"])
+        for batch, whole in parts(batches, "_text"):
+            langs = batch.column("_lang").to_pylist()
+            for begin in (1 << k for k in range(2, PIECE.bit_length() + 1)):  # the first letters of each text, as texts of that length
+                texts = [t[:begin] for t in whole]
+                scores, sizes = model.score(texts)
+                use = [i for i, x in enumerate(langs) if x in model.langs and sizes[i] and model.langs[scores[i].argmax()] == x
+                       and (len(whole[i]) > begin // 2)]
+                own = [model.langs.index(langs[i]) for i in use]
+                yield pa.RecordBatch.from_arrays([pa.array([langs[i] for i in use], pa.string()), pa.array([int(sizes[i]).bit_length() for i in use], pa.int32()),
+                                                  pa.array([-scores[i, j] / sizes[i] for i, j in zip(use, own)], pa.float64())], ["lang", "size", "bits"])
     judged = on_batches(sample.filter("not _fit").select("_text", "_lang"), judge, "lang string, size int, bits double")
-    model.cutoffs = cutoffs(judged.groupBy("lang", "size").agg(F.count("bits"), F.avg("bits"), F.max("bits")).collect(), model)
+    judged = judged.groupBy("lang", "size").agg(F.count("bits"), F.percentile("bits", F.lit(0.5)), F.percentile("bits", F.lit(QUANTILE)))
+    model.cutoffs = cutoffs(judged.collect(), _noise(model, counts))
     return model
 
 
 SIZES = 40  # powers of two of a text's length
-MARGIN = 3.0
+QUANTILE, MARGIN, ENOUGH = 0.95, 3.0, 20
+MIXED, NEAR = 0.31, 0.6  # shares of the way from a language's usual text to evenly drawn letters: texts of two languages stay, noise goes
+ODD = 60.0  # nats that a code or name within a text may cost
+
+
+def _noise(model: Model, counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> dict[str, float]:
+    """The cross-entropy of evenly drawn letters under each language's model, of those letters that make up nearly all of its text."""
+    rng, out = np.random.default_rng(7), {}
+    for j, lang in enumerate(model.langs):
+        letters, back = np.unique(counts[lang][0][:, -1], return_inverse=True)
+        n = np.bincount(back.ravel(), counts[lang][1]) * (letters != ord(" "))
+        order = np.argsort(-n)
+        common = order[np.cumsum(n[order]) <= 0.999 * n.sum()]
+        drawn = rng.choice(letters[common if len(common) else order[:1]], 5000)
+        scores, sizes = model.score(["".join(map(chr, drawn))])
+        out[lang] = float(-scores[0, j] / max(1, sizes[0]))
+    return out
 
 
-def cutoffs(rows, model: Model) -> dict[str, list[float]]:
-    """The largest cross-entropy accepted for each language and power of two of the length: the mean plus ``MARGIN`` times the
-    distance from the mean to the worst calibration text of that length or longer, and half a nat for each factor of four that a
-    text is shorter than any of them. Without calibration texts nothing is rejected."""
+def cutoffs(rows, noise: dict[str, float]) -> dict[str, list[float]]:
+    """The largest cross-entropy accepted for each language and power of two of the length. It is the median of the calibration texts
+    of that length plus ``MARGIN`` times the distance from it to their ``QUANTILE``, which single odd texts do not move, and at least
+    ``MIXED`` of the way from the median of long texts to evenly drawn letters plus ``ODD`` nats over the whole text; it
+    never exceeds ``NEAR`` of that way. A length without ``ENOUGH`` calibration texts takes the next shorter one that has them; where
+    there is none, and for a language without calibration texts, only the cap holds."""
     out = {}
-    for lang in model.langs:
-        own = {r[1]: r for r in rows if r[0] == lang}
-        if not own:
-            continue
-        mean = sum(r[2] * r[3] for r in own.values()) / sum(r[2] for r in own.values())
-        worst, limits = max(r[4] for r in own.values()) - mean, []
+    for lang, random in noise.items():
+        own = {r[1]: r for r in rows if r[0] == lang and r[2] >= ENOUGH}
+        usual = own[max(own)][3] if own else random / 2
+        cap, limits = usual + NEAR * (random - usual), []
         for size in range(SIZES):
-            short = max(0, min(own) - size)
-            limits.append(mean + MARGIN * max(worst, 0.25) + 0.25 * short)
+            known = [k for k in own if k <= size]
+            r = own[max(known)] if known else None
+            least = usual + MIXED * (random - usual) + ODD / (1 << size)
+            limits.append(min(cap, max(least, r[3] + MARGIN * (r[4] - r[3]))) if r else cap)
         out[lang] = limits
     return out
 

@@ -204,6 +204,19 @@ def test_models_on_messy_rows(spark, messy, nothing):
     assert toxicity.fit(nothing, labels) is None and toxicity.toxicity(messy, None).filter("score > 0").count() == 0
 
 
+def test_unlike_texts_are_rejected_though_some_labels_are_wrong(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text", "lang")
+    rng = np.random.default_rng(4)
+    noise = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz     "), 600)) for _ in range(60)]
+    wrong = spark.createDataFrame([(10**9 + i, t, "de") for i, t in enumerate(noise[:8])], "doc_id long, text string, lang string")
+    model = langid.fit(docs.filter("lang <> 'fr'").unionByName(wrong))
+    assert langid.identify(docs.filter("lang <> 'fr'"), model).filter("rejected").count() == 0
+    random = spark.createDataFrame(list(enumerate(noise[8:])), "doc_id long, text string")
+    assert langid.identify(random, model).filter("not rejected").count() == 0
+    unseen = langid.identify(docs.filter("lang = 'fr' and length(text) > 300"), model)
+    assert unseen.filter("rejected").count() >= 0.9 * unseen.count()
+
+
 def test_every_language_is_learned(spark):
     letters = "abcdefghijklmnopqrstuvwxyz"
     rows = [(i, f"{letters[2 * i]}{letters[2 * i + 1]} " * 5, f"l{i:02d}") for i in range(12)]
