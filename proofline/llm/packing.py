@@ -6,7 +6,6 @@ totals gives every document its global offset; the second cuts at the windows an
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -16,83 +15,27 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..session import cut
-from ._text import Chunks, on_batches, parts
+from ._text import on_batches
+from .bpe import coder, forget, slices
 
 CODED = "doc_id long, _part int, _at long, _n long, _ids binary"
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
-class Coder:
-    """Ids of whole texts from a byte-level BPE tokenizer, with a memo over chunks.
-
-    Its pre-tokenizer starts a new token at every blank after a non-blank, between a line end and a non-blank, and
-    between a letter and a final comma or full stop; so what such chunks give one by one is what the text gives.
-    """
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.chunks = Chunks(self._learn, re.compile(r"(?<=\S)(?=\s)").split)
-
-    @staticmethod
-    def _words(chunk: str) -> list[str]:
-        out = []
-        if len(chunk) > 1 and chunk[0] == "\n" and not chunk[1].isspace():
-            out, chunk = ["\n"], chunk[1:]
-        if len(chunk) > 1 and chunk[-1] in ",." and chunk[-2].isalpha():
-            return [*out, chunk[:-1], chunk[-1]]
-        return [*out, chunk]
-
-    def _learn(self, chunks: list[str]) -> list[bytes]:
-        made = [self._words(c) for c in chunks]
-        fresh = list({w for m in made for w in m})
-        plain = [w for w in fresh if "<" not in w]
-        found = self.tokenizer.encode(plain, is_pretokenized=True, add_special_tokens=False)
-        raw = np.asarray(found.ids, "<u4").tobytes()
-        ends = (4 * np.searchsorted(np.asarray(found.word_ids), np.arange(1, len(plain) + 1))).tolist() if raw else [0] * len(plain)
-        known = {w: raw[a:b] for w, a, b in zip(plain, [0, *ends], ends)}
-        for w in fresh:
-            if "<" in w:  # may hold a special token, which belongs to no word
-                known[w] = np.asarray(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-        return [b"".join([known[w] for w in m]) for m in made]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        return [b"".join(found) for found in self.chunks.find(texts)]
-
-
-KEPT: dict[str, Coder] = {}  # of the worker process; tasks reach it through the two functions below
-
-
-def coder(path: str) -> Coder:
-    """One coder per worker process and file."""
-    if path not in KEPT:
-        KEPT[path] = Coder(path)
-    return KEPT[path]
-
-
-def forget() -> None:
-    """Give the memory of the worker's coders back."""
-    KEPT.clear()
-
-
 def encode_documents(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end_id: int) -> DataFrame:
     """Ids of every text and their place within the partition; ids under 2^16 are kept in two bytes each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, part, at = coder(tokenizer), TaskContext.get().partitionId(), 0
-        narrow = known.tokenizer.get_vocab_size() <= 1 << 16
-        tail = np.asarray([end_id], "<u4").tobytes()
-        for batch, texts in parts(batches, "_text"):
-            ids = [np.frombuffer(x + tail, "<u4") for x in known.encode(texts)]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            ends = at + np.cumsum(sizes)
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array(np.full(len(ids), part, np.int32)), pa.array(ends - sizes), pa.array(sizes),
-                pa.array([(x.astype("<u2") if narrow else x).tobytes() for x in ids], pa.binary())],
+        for batch, texts in slices(batches, "_text"):
+            ids, ends = known.encode(texts, end_id)
+            sizes = np.diff(ends, prepend=0)
+            ids = ids.astype("<u2" if known.narrow else "<u4")
+            blobs = pa.Array.from_buffers(pa.binary(), len(ends), [
+                None, pa.py_buffer(np.append(0, ends * ids.itemsize).astype(np.int32)), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(np.full(len(ends), part, np.int32)), pa.array(at + ends - sizes), pa.array(sizes), blobs],
                 ["doc_id", "_part", "_at", "_n", "_ids"])
-            at = int(ends[-1])
+            at += int(ends[-1])
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
     return cut(on_batches(rows, run, CODED), "ids")
 
