@@ -117,10 +117,9 @@ def best_fit(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0,
                 begin = end
             pieces.sort(key=lambda p: -p[0])
             for n, doc, i, begin, start, total in pieces:
-                some = ids[begin + start:begin + start + n].astype("<u4")
+                some = ids[begin + start:begin + start + n]
                 taken, offset, closed = bins.place(n)
-                raw = some.astype("<u2").tobytes() if known.narrow else some.tobytes()
-                held.setdefault(taken, []).append((doc, i, start, n, zlib.crc32(some.tobytes()), total, number, taken, offset, raw))
+                held.setdefault(taken, []).append((doc, i, start, n, zlib.crc32(some.astype("<u4")), total, number, taken, offset, some.tobytes()))
                 number += 1
                 for done in closed:
                     for place in held.pop(done):

@@ -7,14 +7,14 @@ tokenizer sees each distinct chunk once per worker, and numpy lays the remembere
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 1 << 21  # bytes of text that are worked on at a time
-STEP = 1 << 19  # chunks that are laid out at a time
-MEMO = 400_000  # chunks a worker remembers
+SLICE = 1 << 22  # bytes of text that are worked on at a time
+MEMO = 700_000  # chunks a worker remembers
 MARK = "\x01"
 WHITE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
@@ -41,29 +41,42 @@ class Coder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.narrow = self.tokenizer.get_vocab_size() <= 1 << 16
+        vocabulary = self.tokenizer.get_vocab()
+        self.kind = np.dtype("<u2" if len(vocabulary) <= 1 << 16 else "<u4")
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of text a token stands for
+        for token, i in vocabulary.items():
+            self.width[i] = len(token)
         self._reset()
 
     def _reset(self) -> None:
         self.number: dict[str, int] = {}
-        self.starts, self.sizes, self.held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.held = pa.array([], pa.binary())  # the ids of each chunk
+
+    def _spread(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all chunks, and where each chunk's end. Ids of a byte-level tokenizer are told apart by the bytes they stand for."""
+        found = self.tokenizer.encode_batch_fast([chunks], is_pretokenized=True, add_special_tokens=False)[0]
+        ids = np.asarray(found.ids, np.int64)
+        done = np.cumsum(self.width[ids])
+        upto = np.cumsum(pc.binary_length(pa.array(chunks, pa.string())).to_numpy().astype(np.int64))
+        ends = np.searchsorted(done, upto, "right")
+        if not len(chunks) or np.array_equal(np.concatenate([[0], done])[ends], upto):
+            return ids, ends
+        found = self.tokenizer.encode(chunks, is_pretokenized=True, add_special_tokens=False)
+        return np.asarray(found.ids, np.int64), np.searchsorted(np.asarray(found.word_ids), np.arange(1, len(chunks) + 1))
+
+    def _binary(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        return binary(ids.astype(self.kind), ends)
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Add chunks that are not known."""
+    def _learn(self, chunks: list[str]) -> list[int]:
+        """Add chunks that are not known; their numbers."""
         plain = [c for c in chunks if "<" not in c]
-        special = [c for c in chunks if "<" in c]  # may hold a special token, which belongs to no word
-        found = self.tokenizer.encode(plain, is_pretokenized=True, add_special_tokens=False)
-        ids = [np.asarray(found.ids, np.uint32)]
-        words = np.asarray(found.word_ids, np.int64)
-        ends = np.searchsorted(words, np.arange(1, len(plain) + 1))
-        for chunk in special:
-            ids.append(np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, np.uint32))
-        ends = np.concatenate([ends, len(ids[0]) + np.cumsum([len(x) for x in ids[1:]], dtype=np.int64)])
-        self.number.update(zip(plain + special, range(len(self.sizes), len(self.sizes) + len(chunks))))
-        sizes = np.diff(ends, prepend=0)
-        self.starts = np.append(self.starts, len(self.held) + ends - sizes)
-        self.sizes = np.append(self.sizes, sizes)
-        self.held = np.concatenate([self.held, *ids])
+        special = [c for c in chunks if "<" in c]  # may hold a special token
+        ids, ends = self._spread(plain)
+        whole = [np.asarray(self.tokenizer.encode(c, add_special_tokens=False).ids, np.int64) for c in special]
+        ends = np.concatenate([ends, len(ids) + np.cumsum([len(x) for x in whole], dtype=np.int64)])
+        self.number.update(zip(plain + special, range(len(self.held), len(self.held) + len(chunks))))
+        self.held = pa.concat_arrays([self.held, self._binary(np.concatenate([ids, *whole]), ends)])
+        return [self.number[c] for c in chunks] if special else list(range(len(self.held) - len(chunks), len(self.held)))
 
     def _cut(self, texts: pa.Array) -> pa.ListArray:
         texts = pc.replace_substring_regex(texts, r"([\pL\pN])([,.])", rf"\1{MARK}\2")
@@ -81,8 +94,8 @@ class Coder:
             parts, rest = [], odd.to_numpy(zero_copy_only=False)
             for i, text in enumerate(texts):
                 if rest[i]:
-                    ids = np.asarray(self.tokenizer.encode(text.as_py(), add_special_tokens=False).ids, np.uint32)
-                    parts.append(ids if end_id is None else np.append(ids, np.uint32(end_id)))
+                    ids = np.asarray(self.tokenizer.encode(text.as_py(), add_special_tokens=False).ids, self.kind)
+                    parts.append(ids if end_id is None else np.append(ids, self.kind.type(end_id)))
                 else:
                     parts.append(self.encode(texts.slice(i, 1), end_id)[0])
             return np.concatenate(parts), np.cumsum([len(p) for p in parts])
@@ -91,22 +104,25 @@ class Coder:
         kinds = coded.dictionary.to_pylist()
         if len(self.number) > MEMO:
             self._reset()
-        fresh = [k for k in kinds if k not in self.number]
-        if fresh:
-            self._learn(fresh)
-        places = np.fromiter(map(self.number.__getitem__, kinds), np.int64, len(kinds))
-        chunks = places[coded.indices.to_numpy()] if len(kinds) else np.zeros(0, np.int64)
-        upto = np.cumsum(pc.list_value_length(lists).to_numpy().astype(np.int64))
-        sizes = np.concatenate([[0], np.cumsum(self.sizes[chunks])])
-        ends = sizes[upto]
-        ids = np.empty(int(sizes[-1]), np.uint32)
-        for a in range(0, len(chunks), STEP):
-            some = chunks[a:a + STEP]
-            n, low, high = self.sizes[some], int(sizes[a]), int(sizes[min(a + STEP, len(chunks))])
-            ids[low:high] = self.held[np.repeat(self.starts[some] - (sizes[a:a + len(some)] - low), n) + np.arange(high - low)]
-        if end_id is None:
-            return ids, ends
-        return np.insert(ids, ends, np.uint32(end_id)), ends + np.arange(1, len(ends) + 1)
+        places = np.fromiter(map(self.number.get, kinds, repeat(-1)), np.int64, len(kinds))
+        fresh = np.flatnonzero(places < 0)
+        if len(fresh):
+            places[fresh] = self._learn([kinds[i] for i in fresh.tolist()])
+        here = self.held.take(pa.array(places))
+        chunks, upto = coded.indices.to_numpy(), np.cumsum(pc.list_value_length(lists).to_numpy().astype(np.int64))
+        if end_id is not None:
+            here = pa.concat_arrays([here, self._binary(np.array([end_id]), np.array([1]))])
+            chunks = np.insert(chunks, upto, len(kinds))
+            upto = upto + np.arange(1, len(upto) + 1)
+        _, offsets, data = here.take(pa.array(chunks)).buffers()
+        ends = np.frombuffer(offsets, np.int32)[upto].astype(np.int64) // self.kind.itemsize
+        return np.frombuffer(data, self.kind)[:ends[-1] if len(ends) else 0], ends
+
+
+def binary(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The ids of each text as bytes."""
+    offsets = np.append(0, ends * ids.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(ids))])
 
 
 KEPT: dict[str, Coder] = {}  # of the worker process; tasks reach it through the two functions below

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..session import cut
 from ._text import on_batches
-from .bpe import coder, forget, slices
+from .bpe import binary, coder, forget, slices
 
 CODED = "doc_id long, _part int, _at long, _n long, _ids binary"
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
@@ -29,11 +29,8 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str, text_col: str
         for batch, texts in slices(batches, "_text"):
             ids, ends = known.encode(texts, end_id)
             sizes = np.diff(ends, prepend=0)
-            ids = ids.astype("<u2" if known.narrow else "<u4")
-            blobs = pa.Array.from_buffers(pa.binary(), len(ends), [
-                None, pa.py_buffer(np.append(0, ends * ids.itemsize).astype(np.int32)), pa.py_buffer(ids)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.full(len(ends), part, np.int32)), pa.array(at + ends - sizes), pa.array(sizes), blobs],
+                [batch.column("doc_id"), pa.array(np.full(len(ends), part, np.int32)), pa.array(at + ends - sizes), pa.array(sizes), binary(ids, ends)],
                 ["doc_id", "_part", "_at", "_n", "_ids"])
             at += int(ends[-1])
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
