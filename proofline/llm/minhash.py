@@ -8,7 +8,7 @@ over the whole text as well.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,7 @@ IDF_BITS = 18
 BINS, SAMPLERS, ROWS = 18, 8, 6  # 144 samples in 24 bands of six rows
 SHORT, SHORT_BANDS, SHORT_ROWS = 96, 16, 4
 BLOCK = 64  # texts that are compared at a time
+TURNS = 4  # leads that a large group is compared with before the rest meets in blocks
 MASK = np.uint64((1 << 54) - 1)
 
 
@@ -146,16 +147,30 @@ def bands(n_texts: int, at: np.ndarray, hashes: np.ndarray, weights: np.ndarray)
     return out
 
 
-def similar(texts: list[str], idf: np.ndarray, threshold: float) -> list[tuple[int, int]]:
-    """Each text that is like another, with the first text it is linked to directly or through others."""
+def _elements(texts: list[str], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, element and weight of each shingle, and the weight of each text. The second and later copies of a
+    shingle are elements of their own, so that minima become common elements."""
     at, hashes, weights, _ = shingles(texts, idf)
     order = np.lexsort((hashes, at))
     at, hashes, weights = at[order], hashes[order], weights[order]
-    # the second and later copies of a shingle are elements of their own, so that minima become common elements
     run = np.concatenate([[True], (at[1:] != at[:-1]) | (hashes[1:] != hashes[:-1])]) if len(at) else np.empty(0, bool)
     begin = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
     element = mix(hashes + (np.arange(len(at)) - begin).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C55), 5)
-    total = np.bincount(at, weights, len(texts))
+    return at, element, weights, np.bincount(at, weights, len(texts))
+
+
+def similarity_to_first(texts: list[str], idf: np.ndarray) -> np.ndarray:
+    """The weighted Jaccard similarity of each text to the first."""
+    at, element, weights, total = _elements(texts, idf)
+    shared = np.isin(element, element[at == 0])
+    common = np.bincount(at[shared], weights[shared], len(texts))
+    union = total[0] + total - common
+    return np.where(union > 0, (common + 1e-9) / np.maximum(union, 1e-12), 0.0)
+
+
+def similar(texts: list[str], idf: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Each text that is like another, with the first text it is linked to directly or through others."""
+    at, element, weights, total = _elements(texts, idf)
     kinds, column, n = np.unique(element, return_inverse=True, return_counts=True)
     number = np.cumsum(n > 1) - 1
     shared = n[column] > 1
@@ -184,6 +199,57 @@ def _root(root: np.ndarray, i: int) -> int:
     return int(i)
 
 
+def _by_leads(many: DataFrame, hubs: DataFrame, fetch: Callable, in_blocks: Callable, verify: Callable, against: Callable,
+              threshold: float) -> list[DataFrame]:
+    """Links that join the texts of large groups (label, _node, _first, _least) into classes.
+
+    Every text is compared with the group's hub (label, _node), its first lead. What is like a lead is settled and in the class of
+    the hub; the rest is compared with further leads, drawn from what is settled. What then is left is compared with all that could be
+    like it, in blocks: with each other, and with those settled texts whose distance to the hub differs by no more than a link's,
+    as the distance is a metric.
+    """
+    reach = 1 - threshold + 1e-6
+    found, open_, first = [], many.select("label", "_node", "_first", "_least"), None
+    heads = cut(many.join(hubs, ["label", "_node"], "left_semi").select(
+        "label", F.col("_node").alias("_lead"), F.col("_first").alias("_lf"), F.col("_least").alias("_ll")), "hubs")
+    leads = heads
+    for turn in range(TURNS):
+        sizes = open_.groupBy("label").agg(F.count(F.lit(1)).alias("_n")).join(leads, "label")
+        blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
+        members = open_.join(sizes, "label").filter("_node <> _lead").select(
+            "label", "_lead", "_node", "_first", "_least", F.array(F.pmod(F.xxhash64("_node"), blocks).cast("int")).alias("_blocks"))
+        ahead = sizes.select("label", "_lead", F.col("_lead").alias("_node"), F.col("_lf").alias("_first"), F.col("_ll").alias("_least"),
+                             F.sequence(F.lit(0), blocks - 1).alias("_blocks"))
+        texts = fetch(cut(members.unionByName(ahead), "compared")).select("label", "_lead", "_node", "_text", F.explode("_blocks").alias("_block"))
+        told = cut(texts.groupBy("label", "_block").applyInArrow(against, "label binary, _node binary, _lead binary, _like double"), "told")
+        first = told if first is None else first
+        found.append(told.filter(F.col("_like") >= threshold).select(F.col("_node").alias("a"), F.col("_lead").alias("b")))
+        done = told.filter(F.col("_like") >= threshold).select("label", "_node").unionByName(heads.select("label", F.col("_lead").alias("_node")))
+        open_ = cut(open_.join(done, ["label", "_node"], "left_anti"), "open")
+        if open_.isEmpty():
+            return found
+        settled = many.join(open_.select("label", "_node"), ["label", "_node"], "left_anti")
+        drawn = settled.join(heads.select("label", F.col("_lead").alias("_node")), ["label", "_node"], "left_anti").groupBy("label").agg(F.min_by(F.struct("_node", "_first", "_least"), F.xxhash64("_node", F.lit(turn))).alias("_d"))
+        leads = cut(drawn.select("label", F.col("_d._node").alias("_lead"), F.col("_d._first").alias("_lf"), F.col("_d._least").alias("_ll")), "leads")
+    sizes = open_.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
+    found.append(in_blocks(cut(open_.join(sizes, "label"), "rest")).groupBy("label", "_i", "_j").applyInArrow(verify, "a binary, b binary"))
+    away = first.select("label", "_node", (1 - F.col("_like")).alias("_away"))
+    near = open_.join(away, ["label", "_node"])
+    bounds = near.groupBy("label").agg(F.min("_away").alias("_low"), F.max("_away").alias("_high"), F.count(F.lit(1)).alias("_n"))
+    other = settled.join(away, ["label", "_node"], "left").withColumn("_away", F.coalesce("_away", F.lit(0.0)))  # the hub itself
+    other = other.join(bounds.drop("_n"), "label").filter((F.col("_away") >= F.col("_low") - reach) & (F.col("_away") <= F.col("_high") + reach))
+    counts = other.groupBy("label").agg(F.count(F.lit(1)).alias("_k")).join(bounds.select("label", "_n"), "label")
+    tiles = [F.ceil(F.col(c) / BLOCK).cast("int") for c in ("_n", "_k")]
+    side = lambda df, mine, yours, up: df.join(counts, "label").select(
+        "label", "_node", "_first", "_least", F.pmod(F.xxhash64("_node"), mine).cast("int").alias("_own"), F.sequence(F.lit(0), yours - 1).alias("_others"), F.lit(up).alias("_up"))
+    both = cut(side(near, tiles[0], tiles[1], True).unionByName(side(other, tiles[1], tiles[0], False)), "rest")
+    cells = fetch(both).select("label", "_node", "_text", "_own", "_up", F.explode("_others").alias("_o"))
+    cells = cells.select("label", "_node", "_text", F.when(F.col("_up"), F.col("_own")).otherwise(F.col("_o")).alias("_i"),
+                         F.when(F.col("_up"), F.col("_o")).otherwise(F.col("_own")).alias("_j"))
+    found.append(cells.groupBy("label", "_i", "_j").applyInArrow(verify, "a binary, b binary"))
+    return found
+
+
 def inverse_frequencies(rows: DataFrame) -> np.ndarray:
     """ln(1 + N / df) by hash bucket of the word, over all texts; a fixed number of buckets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,8 +281,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with a NULL id are alike to nothing. One row of each class is kept: the first with the smallest id, and of
     the texts that share that id the one with the smallest digest.
 
-    Candidates share a band; links from each band's smallest text to the others group them, and within such a group texts are
-    compared in blocks, so that no pair is written out and no task holds more than two blocks.
+    Candidates share a band; links from each band's smallest text to the others group them. Texts of a small group are compared
+    with each other, those of a large one with a few leads, and only what is like none of these in blocks. No pair is written out
+    and no task holds more than two blocks. An empty table gives no row. Only ``id_col`` and ``text_col`` are read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     rows = rows.withColumn("_sha", F.unhex(F.sha2(F.coalesce("_text", F.lit("")), 256)))
@@ -239,25 +306,51 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     entries = nodes.select("_node", F.explode("_bands").alias("_band"))
     full = entries.groupBy("_band").agg(F.min("_node").alias("_lead"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    met = entries.join(cut(full, "bands"), "_band").filter("_node <> _lead").select("_node", "_lead").distinct()
-    groups = components(met, "_node", "_lead")
+    met = entries.join(cut(full, "bands"), "_band").filter("_node <> _lead").groupBy("_node").agg(F.collect_set("_lead").alias("_leads"))
+    met = cut(met.withColumn("_to", F.array_min("_leads")), "met")  # at most one lead per band
+    # one link per text, and links between the leads that share a text: leads are few where a group is large
+    between = met.select(F.explode("_leads").alias("_node"), "_to").filter("_node <> _to").distinct()
+    groups = components(met.select("_node", "_to").unionByName(between), "_node", "_to")
     sizes = cut(groups.groupBy("label").agg(F.count(F.lit(1)).alias("_m")), "sizes")
-    blocks = F.ceil(F.col("_m") / BLOCK).cast("int")
     wanted = groups.join(sizes, "label").join(nodes.select("_node", "_first", "_least"), F.col("node") == F.col("_node"))
-    wanted = cut(wanted.select("label", "_node", "_first", "_least", blocks.alias("_blocks")), "wanted")
-    asked = (F.col("_id") == F.col("_first")) & (F.col("_sha") == F.col("_least"))  # an id alone may carry several texts
-    texts = rows.join(wanted.hint("merge"), asked).withColumn("_block", F.pmod(F.xxhash64("_node"), F.col("_blocks")).cast("int"))
-    # each block meets every block of its group, itself included
-    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    dealt = texts.select("label", "_node", "_text", "_block", other.alias("_other")).select(
-        "label", "_node", "_text", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"))
+    wanted = cut(wanted.select("label", "_node", "_first", "_least", "_m"), "wanted")
+
+    def fetch(some: DataFrame) -> DataFrame:
+        asked = (F.col("_id") == F.col("_first")) & (F.col("_sha") == F.col("_least"))  # an id alone may carry several texts
+        return rows.join(some.hint("merge"), asked)
+
+    def in_blocks(some: DataFrame) -> DataFrame:
+        """All texts of each label (with _n of them) compared: each block meets every block of its label, itself included."""
+        blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
+        block = F.pmod(F.xxhash64("_node"), blocks).cast("int")
+        texts = fetch(some).select("label", "_node", "_text", block.alias("_block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_other"))
+        return texts.select("label", "_node", "_text", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"))
 
     def verify(table: pa.Table) -> pa.Table:
         held = dict(zip(table.column("_node").to_pylist(), table.column("_text").to_pylist()))
         ids = sorted(held)
         found = similar([held[i] or "" for i in ids], shared.value, threshold)
         return pa.table([pa.array([ids[a] for a, _ in found], pa.binary()), pa.array([ids[b] for _, b in found], pa.binary())], ["a", "b"])
-    links = cut(dealt.groupBy("label", "_i", "_j").applyInArrow(verify, "a binary, b binary"), "verified")
+
+    def against(table: pa.Table) -> pa.Table:
+        lead = table.column("_lead")[0].as_py()
+        held = dict(zip(table.column("_node").to_pylist(), table.column("_text").to_pylist()))
+        ids = [lead, *sorted(i for i in held if i != lead)]
+        found = similarity_to_first([held[i] or "" for i in ids], shared.value)
+        return pa.table([pa.array([table.column("label")[0].as_py()] * (len(ids) - 1), pa.binary()), pa.array(ids[1:], pa.binary()),
+                         pa.array([lead] * (len(ids) - 1), pa.binary()), pa.array(found[1:])], ["label", "_node", "_lead", "_like"])
+
+    few = wanted.filter(F.col("_m") <= BLOCK).withColumn("_n", F.col("_m"))
+    checked = [in_blocks(few).groupBy("label", "_i", "_j").applyInArrow(verify, "a binary, b binary")]
+    many = cut(wanted.filter(F.col("_m") > BLOCK), "many")
+    if not many.isEmpty():
+        asked = met.groupBy(F.col("_to").alias("_node")).agg(F.count(F.lit(1)).alias("_k"))  # whom most texts met
+        hubs = many.select("label", "_node").join(asked, "_node").groupBy("label").agg(F.max_by("_node", F.struct("_k", "_node")).alias("_node"))
+        checked += _by_leads(many, hubs, fetch, in_blocks, verify, against, threshold)
+    links = checked[0]
+    for part in checked[1:]:
+        links = links.unionByName(part)
+    links = cut(links, "verified")
     classes = components(links)
     named = nodes.join(classes, F.col("_node") == F.col("node"), "left").select(
         "_node", "_first", "_least", F.coalesce("label", "_node").alias("_class"))

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from proofline.llm import minhash
 from proofline.llm.components import components
 from proofline.llm.embedding_dedup import embedding_dedup
 from proofline.llm.exact_dedup import exact_dedup, hash128
@@ -71,10 +72,14 @@ def test_components(spark):
     assert got == {**{i: 1 for i in range(1, 41)}, 50: 50, 55: 50, 60: 50}
 
 
-def test_near_dedup_against_brute_force(spark):
+@pytest.mark.parametrize("block", [64, 3])  # with 3 nearly every group is large
+def test_near_dedup_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
     rng = np.random.default_rng(5)
     words = [f"w{i}" for i in range(400)]
-    texts = []
+    base = [words[i] for i in rng.integers(0, 400, 300)]
+    # a family around one text, at all distances from it and from each other
+    texts = [" ".join(words[rng.integers(0, 400)] if rng.random() < share else w for w in base) for share in rng.uniform(0, 0.06, 90)]
     for size in (7, 12, 30, 80, 200, 400):
         for _ in range(12):
             base = [words[i] for i in rng.integers(0, 400, size)]
