@@ -37,18 +37,31 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _staying(docs, near_dedup(docs, digest=True))
 
 
+BITS = 26  # of the hashes that tell which ids lose a row
+
+
 def _staying(docs: DataFrame, marked: DataFrame) -> DataFrame:
     """As many rows of each id and text as are marked as kept. Rows that repeat both are alike to an operator; of those that
-    differ in another column the smallest stays."""
+    differ in another column the smallest stays.
+
+    Ids that lose a row set a bit in a bitmap of 2^26 bits, of which at most 2^20 words of 64 bits are broadcast. Rows whose id's bit is
+    not set pass as they are, and only the others are joined by id and digest, so that few texts move while few rows go.
+    """
     counts = marked.groupBy(F.col("doc_id").alias("_gone"), F.unhex("text_sha256").alias("_sha")).agg(
         F.count(F.lit(1)).alias("_n"), F.count_if("kept").alias("_stay"))
     less = cut(counts.filter("_stay < _n"), "less")
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << BITS))
+    word, place = lambda c: F.shiftright(bit(c), 6), lambda c: F.expr(f"shiftleft(1L, cast(pmod(xxhash64({c}), 64) as int))")
+    words = cut(less.groupBy(word("_gone").alias("_word")).agg(F.bit_or(place("_gone")).alias("_set")), "bits")
     docs = docs.select(*COLUMNS)
+    told = docs.withColumn("_word", word("doc_id")).join(F.broadcast(words), "_word", "left")
+    touched = F.coalesce(F.col("_set").bitwiseAND(place("doc_id")) != 0, F.lit(False))
+    some_go = told.filter(touched).select(*COLUMNS)
     same = F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)) == F.col("_sha"))
     some = less.filter("_stay > 0")  # rows are repeated, and one of them stays
     row = F.struct("lang", "source", "n_chars", "text")
-    once = docs.join(some, same).groupBy("doc_id", "_sha").agg(F.min(row).alias("_row")).select("doc_id", "_row.*").select(*COLUMNS)
-    return docs.join(less, same, "left_anti").unionByName(once)
+    once = some_go.join(some.hint("merge"), same).groupBy("doc_id", "_sha").agg(F.min(row).alias("_row")).select("doc_id", "_row.*").select(*COLUMNS)
+    return told.filter(~touched).select(*COLUMNS).unionByName(some_go.join(less.hint("merge"), same, "left_anti")).unionByName(once)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
