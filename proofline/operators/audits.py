@@ -176,6 +176,24 @@ def audit_unique_key(models: DataFrame, tests: DataFrame, singular: DataFrame) -
     return finding(joined, "unique_key", F.col("table"), F.lit("config.unique_key"), verdict, "total", evidence)
 
 
+def disabled_backing(models: DataFrame, tests: DataFrame) -> DataFrame:
+    """(table, test, columns): uniqueness tests on some columns of a declared key that exist but are switched off.
+
+    They assert nothing and never back a key, but a test that was written and disabled is a different fact than none.
+    """
+    keys = models.filter(F.col("key_declared") & (F.size("unique_key") > 0)).select(
+        "table", F.col("table").alias("key_id"), F.col("unique_key").alias("columns"))
+    off = _uniqueness(tests).filter(~F.coalesce("enabled", F.lit(True))).select("table", "test", "columns").distinct()
+    return covers(off, keys).join(off, ["table", "test"]).select("table", "test", "columns").distinct()
+
+
+def audit_catalog(models: DataFrame, tests: DataFrame, singular: DataFrame, unit_tests: DataFrame, constraints: DataFrame,
+                  platform: Column | str | None) -> DataFrame:
+    """The findings about what a catalog declares: unique keys, incremental branches and constraints."""
+    found = audit_unique_key(models, tests, singular).unionByName(audit_incremental_branches(models, unit_tests))
+    return found.unionByName(audit_constraints(constraints, tests, platform))
+
+
 def audit_constraints(constraints: DataFrame, tests: DataFrame, platform: Column | str | None) -> DataFrame:
     """A declared primary key or unique constraint that the platform does not enforce needs a backing test.
 

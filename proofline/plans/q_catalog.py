@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import catalog_facts as cf, contracts as ct, joins, snapshots as sn
+from ..operators import audits, catalog_facts as cf, contracts as ct, joins, snapshots as sn
 from ..operators.governance import governance_audit
 from ..sources import catalog as cat
+from . import q_audits
 from .base import Derived, query, table
 
 MODEL = "'model.shop.part_' || cast(p_partkey as string)"
@@ -532,3 +533,123 @@ def _(spark, sf):
     tests = found.unit_tests.select("id", F.col("target_name").alias("model"))
     bare = cat.uncompiled(found.nodes.select("id", "compiled_code"), tests)
     return low.unionByName(bare.select(F.lit("uncompiled").alias("reason"), F.col("id").alias("item"), F.col("first_test").alias("detail")))
+
+
+# ---- the catalog the audits look at, as JSON documents of four parts each
+def audited_documents(spark, sf):
+    """Tests that are off lie among the nodes for one half of the parts and in the map of disabled entries for the other."""
+    text = lambda c: F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+    entry = lambda name, body: F.concat(text(F.col(name)), F.lit(":"), body)
+    kept = {"ignoreNullFields": "true"}
+    key = F.when(F.col("key_text") == "", "5").when(F.col("key_text").contains(","), F.to_json(F.split("key_text", ","))).otherwise(text(F.col("key_text")))
+    declared = q_audits.constraints(spark, sf).groupBy("table").agg(F.to_json(F.sort_array(F.collect_list(F.struct(
+        F.col("kind").alias("type"), "columns")))).alias("constraints"))
+    rest = F.to_json(F.struct("materialized", F.col("strategy").alias("incremental_strategy"), "event_time", F.struct(F.col("meta_grain").alias("grain")).alias("meta")), kept)
+    config = F.concat(F.substring(rest, F.lit(1), F.length(rest) - 1), F.when(F.col("key_declared"), F.concat(F.lit(',"unique_key":'), key)).otherwise(""), F.lit("}"))
+    models = q_audits.models(spark, sf).join(declared, "table", "left").select("table", F.lit("nodes").alias("section"), entry("table", F.concat(
+        F.lit('{"resource_type":"model","config":'), config, F.lit(',"constraints":'), F.coalesce("constraints", F.lit("[]")), F.lit("}"))).alias("entry"))
+    off = ~F.col("enabled") & (F.substring("table", -1, 1).cast("int") % 2 == 1)
+    kwargs = F.when(F.col("name") == "unique_combination_of_columns", F.to_json(F.struct(F.col("columns").alias("combination_of_columns")))).otherwise(
+        F.to_json(F.struct(F.col("column_text").alias("column_name"))))
+    settings = F.to_json(F.struct(F.when(~F.col("enabled") & ~off, F.lit(False)).alias("enabled"), "severity", "where", "limit"), kept)
+    generic = F.concat(F.lit('{"resource_type":"test","attached_node":'), text(F.col("table")), F.lit(',"config":'), settings, F.lit(',"test_metadata":{"name":'),
+                       text(F.col("name")), F.when(F.col("namespace").isNotNull(), F.concat(F.lit(',"namespace":'), text(F.col("namespace")))).otherwise(""),
+                       F.lit(',"kwargs":'), kwargs, F.lit("}}"))
+    tests = q_audits.tests(spark, sf).select("table", F.when(off, "disabled").otherwise("nodes").alias("section"), entry(
+        "test", F.when(off, F.concat(F.lit("["), generic, F.lit(',"junk",{"resource_type":"model"}]'))).otherwise(generic)).alias("entry"))
+    single = q_audits.singular(spark, sf).select("table", F.lit("nodes").alias("section"), entry("test", F.concat(
+        F.lit('{"resource_type":"test","depends_on":{"nodes":['), text(F.col("table")), F.lit(']},"config":{"enabled":'), F.col("enabled").cast("string"), F.lit("}}"))).alias("entry"))
+    modes = q_audits.UNITS(spark, sf).withColumn("test", F.concat_ws("#", "test", "tab", "incremental")).distinct()  # names are unique in a document
+    units = modes.select(F.col("tab").alias("table"), F.lit("unit_tests").alias("section"), entry("test", F.concat(
+        F.lit('{"tested_node_unique_id":'), text(F.col("tab")), F.when(F.col("incremental").isNotNull(), F.concat(
+            F.lit(',"overrides":{"macros":{"is_incremental":'), F.col("incremental").cast("string"), F.lit("}}"))).otherwise(""), F.lit("}"))).alias("entry"))
+    every = models.unionByName(tests).unionByName(single).unionByName(units)
+    number = F.regexp_extract("table", "([0-9]+)$", 1).cast("long")
+    every = every.groupBy(F.floor(number / 4).alias("doc"), "section").agg(F.concat(F.lit("{"), F.array_join(F.collect_list("entry"), ","), F.lit("}")).alias("map"))
+    whole = every.groupBy("doc").agg(F.concat(F.lit('{"odd":[],"metadata":{"dbt_schema_version":"v12"},'), F.array_join(F.collect_list(
+        F.concat(F.lit('"'), "section", F.lit('":'), "map")), ","), F.lit("}")).alias("text"))
+    return whole
+
+
+@query("s3_catalog_to_findings", f"""
+    with {q_audits.UNIQUE_KEY}, {q_audits.BRANCHES},
+    d as (select distinct tab, kind, array_to_string(list_sort(string_split(lower(column_text), ',')), ',') as cols from constraints_ where kind in ('primary_key', 'unique')),
+    declared as (select 'constraint' as check_, d.tab, 'constraint.' || kind || '[' || cols || ']' as construct,
+      case when exists (select 1 from tests t where t.tab = d.tab and t.enabled and t.name in ('unique', 'unique_combination_of_columns')
+        and list_has_all(string_split(d.cols, ','), string_split(lower(t.column_text), ','))) then 'covered' else 'uncovered' end as verdict, 'high' as tier from d)
+    select check_ as "check", tab as "table", construct, verdict, tier from (from keyed union all from branches union all from declared)""",
+       constraints_=q_audits.CONSTRAINTS, **q_audits.CATALOG)
+def _(spark, sf):
+    found = cat.explode_catalog(audited_documents(spark, sf), ["doc"])
+    out = audits.audit_catalog(found.audit_models, found.audit_tests, found.singular_tests, found.unit_modes, found.declared_constraints, "snowflake")
+    return out.drop("evidence")
+
+
+@query("s3_disabled_tests", """
+    select t.tab as "table", t.test, t.column_text as columns from tests t join models m on m.tab = t.tab and m.key_text <> ''
+    where not t.enabled and t.name in ('unique', 'unique_combination_of_columns')
+      and list_has_all(string_split(lower(m.key_text), ','), string_split(lower(t.column_text), ','))""", **q_audits.CATALOG)
+def _(spark, sf):
+    found = cat.explode_catalog(audited_documents(spark, sf), ["doc"])
+    return audits.disabled_backing(found.audit_models, found.audit_tests).withColumn("columns", F.array_join("columns", ","))
+
+
+@query("s3_disabled_entries", """
+    select case when k = 1 then t.test end as test, case when k = 1 then t.tab end as "table", case when k = 1 then 'test' else 'model' end as kind
+    from tests t, range(1, 3) r(k) where not t.enabled and cast(right(t.tab, 1) as int) % 2 = 1""", **q_audits.CATALOG)
+def _(spark, sf):
+    off = cat.explode_catalog(audited_documents(spark, sf), ["doc"]).disabled
+    return off.select(F.when(F.col("kind") == "test", F.col("id")).alias("test"), "table", "kind")
+
+
+@query("s3_catalog_grain", """
+    with c as (select tab, 1 as strength, 'authored' as kind, meta_grain as columns from models where trim(meta_grain) <> ''
+      union all select tab, case when name = 'primary_key' then 2 when column_text like '%,%' then 3 else 4 end,
+        case when name = 'primary_key' then 'primary_key' when column_text like '%,%' then 'compound_unique' else 'unique' end, replace(column_text, ',', ', ') from tests
+      where enabled and (name = 'unique' and namespace is null or name = 'unique_combination_of_columns' or name = 'primary_key' and namespace = 'dbt_constraints')),
+    best as (select tab, arg_min(kind, strength) as kind, arg_min(columns, strength) as columns, count(*) as signals from c group by 1)
+    select m.tab as "table", coalesce(b.kind, 'unknown') as kind, b.columns, coalesce(signals, 0) as signals from models m left join best b on b.tab = m.tab""", **q_audits.CATALOG)
+def _(spark, sf):
+    found = cat.explode_catalog(audited_documents(spark, sf), ["doc"])
+    return audits.detect_grain(found.audit_models, found.audit_tests).drop("origin")
+
+
+# ---- two snapshots of one model per part
+def snapshot_documents(spark, sf):
+    part = table(spark, sf, "part")
+    ident = F.concat(F.lit("model.shop.part_"), "p_partkey")
+
+    def version(label, changed):
+        pick = lambda now, was: F.when(changed, now).otherwise(was)
+        typed = F.struct(F.struct(F.when(F.col("p_size") % 6 == 0, pick(F.lit("bigint"), F.lit("int"))).otherwise(F.lit("text")).alias("data_type")).alias("id"))
+        node = F.struct(
+            F.lit("model").alias("resource_type"), F.struct(F.when(F.col("p_size") % 5 == 0, pick(F.md5("p_type"), F.md5("p_name"))).otherwise(F.md5("p_name")).alias("checksum")).alias("checksum"),
+            F.struct(F.when(F.col("p_size") % 7 == 0, pick(F.lit("view"), F.lit("table"))).otherwise(F.lit("table")).alias("materialized"),
+                     F.struct((F.col("p_size") > 25).alias("enforced")).alias("contract")).alias("config"),
+            F.concat(F.lit("db."), F.when(F.col("p_size") % 11 == 0, pick(F.lit("b"), F.lit("a"))).otherwise(F.lit("a"))).alias("relation_name"),
+            F.struct(F.when(F.col("p_size") % 13 == 0, pick(F.array(F.lit("m"), F.lit("n")), F.array(F.lit("n"), F.lit("m"), F.lit("n")))).otherwise(F.array(F.lit("m"))).alias("macros")).alias("depends_on"),
+            typed.alias("columns"))
+        doc = F.struct(F.create_map(ident, node).alias("nodes"))
+        return part.select(F.lit(label).alias("version"), F.col("p_partkey").alias("doc"), F.to_json(doc).alias("text"))
+    return version("base", F.lit(False)).filter("doc % 10 <> 3").unionByName(version("now", F.lit(True)))
+
+
+SNAPSHOT = f"select {MODEL.replace('string', 'varchar')} as id, p_partkey % 10 = 3 as fresh, p_size from part"
+
+
+@query("s3_catalog_snapshot_diff", f"""
+    with s as ({SNAPSHOT}), f as (select id, fresh as is_new, fresh or p_size % 5 = 0 as body, fresh or p_size % 7 = 0 as configs, fresh or p_size % 11 = 0 as relation,
+      fresh as macros, fresh or p_size % 6 = 0 as contract from s)
+    select *, body or configs or contract as modified from f""")
+def _(spark, sf):
+    both = cat.explode_catalog(snapshot_documents(spark, sf), ["version", "doc"])
+    return sn.diff_snapshots(both.where("version = 'now'").snapshot_nodes, both.where("version = 'base'").snapshot_nodes, ("configs", "contract"))
+
+
+@query("s3_catalog_contract_diff", f"""
+    with s as ({SNAPSHOT}) select id, case when p_size > 25 and p_size % 5 = 0 and p_size % 6 = 0 then 'breaking' else 'unchanged' end as change from s where not fresh""")
+def _(spark, sf):
+    both = cat.explode_catalog(snapshot_documents(spark, sf), ["version", "doc"])
+    old, new = both.where("version = 'base'"), both.where("version = 'now'")
+    return ct.classify_contract(old.snapshot_nodes, new.snapshot_nodes, old.contract_columns, new.contract_columns,
+                                old.contract_constraints, new.contract_constraints).select("id", "change")

@@ -113,6 +113,27 @@ def _(spark, sf):
     return explode_patch(PATCHES(spark, sf)).lines.select("doc", "side", "text")
 
 
+# plain patches of two files each: a removed line "-- old" meets an added line "++ new" where a hunk ends
+PLAIN = Derived("""
+    select doc_id as doc, '--- a/src/' || cast(doc_id as string) || '.sql' || chr(10) || '+++ b/src/' || cast(doc_id as string) || '.sql' || chr(10) ||
+      '@@ -1,2 +1,' || cast(length(text) - length(replace(text, chr(10), '')) + 2 as string) || ' @@' || chr(10) || '-gone' || chr(10) ||
+      case when lang = 'en' then '+' || replace(text, chr(10), chr(10) || '+') || chr(10) || '--- old' || chr(10) || '+++ new'
+        else '--- old' || chr(10) || '+++ new' || chr(10) || '+' || replace(text, chr(10), chr(10) || '+') end || chr(10) ||
+      '@@ -9 +20 @@' || chr(10) || '-' || source || chr(10) || '+' || lang || chr(10) ||
+      case when lang = 'fr' then 'Index: x' || chr(10) else '' end ||
+      '--- a/etc/' || cast(doc_id as string) || chr(9) || '2024' || chr(10) || '+++ b/etc/' || cast(doc_id as string) || chr(10) ||
+      '@@ -3,1 +4,0 @@' || chr(10) || '--- last' || chr(10) || '@@ -5,2 +5,1 @@' || chr(10) || ' same' || chr(10) || '-x' as text from {documents}""")
+
+
+@query("s5_plain_patch_comment", f"""
+    select doc_id as doc, 'src/' || doc_id || '.sql' as path, 0 as hunk, 1 as new_start, cast({LINES} + 1 as int) as new_len,
+      cast({LINES} + 1 as int) as added_len, 2 as removed_len from documents
+    union all select doc_id, 'src/' || doc_id || '.sql', 1, 20, 1, 1, 1 from documents
+    union all select doc_id, 'etc/' || doc_id, 0, 4, 0, 0, 1 from documents union all select doc_id, 'etc/' || doc_id, 1, 5, 1, 0, 1 from documents""")
+def _(spark, sf):
+    return explode_patch(PLAIN(spark, sf)).hunks
+
+
 NEW_TEXT = Derived("""
     select doc_id, case when lang = 'en' then replace(text, 'the ', 'one ') when lang = 'fr' then text || chr(10) || source else text end as text from {documents}""")
 

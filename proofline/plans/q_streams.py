@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from ..operators import data_tests as dt
@@ -10,6 +12,11 @@ from ..streaming import streams as st
 from .base import query, table
 
 
+# parts of the events that come as batches of their own: by user, and by kind and amount
+TURN = "((user_id + event_id) % 3)"
+PART = "(case when event_type = 'error' or value < 5 then 2 when event_type = 'click' then 1 else 0 end)"
+
+
 def stream(spark, sf):
     schema = table(spark, sf, "events").schema
     # a pattern takes the table as one file or as a folder of part files
@@ -21,9 +28,55 @@ def stream(spark, sf):
     select user_id, arg_max(event_id, (ts, event_id)) as event_id, arg_max(event_type, (ts, event_id)) as event_type from events group by 1""")
 def _(spark, sf):
     rows = stream(spark, sf).select("user_id", "event_id", "event_type", "ts")
-    log = st.UpsertLog(spark, scratch_path(spark, "upserts"), rows.schema, ["user_id"], ["ts", "event_id"])
-    st.stream_upsert(rows, log).awaitTermination()
-    return log.read().drop("ts")
+    path = scratch_path(spark, "upserts")
+    st.stream_upsert(rows, ["user_id"], ["ts", "event_id"], path).awaitTermination()
+    return st.read_upserted(spark, path, rows.schema, ["user_id"], ["ts", "event_id"]).drop("ts")
+
+
+def in_turn(spark, sf, *parts):
+    """The events in several files, one per batch, in the order given; a part is a condition."""
+    path, events = scratch_path(spark, "turns"), table(spark, sf, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    for i, part in enumerate(parts):
+        events.filter(part).coalesce(1).write.mode("append").parquet(f"{path}/turn={i}")
+        time.sleep(1.1)  # files are taken by age, which some file systems keep in seconds
+    return st.read_parquet_stream(spark, path, f"{st._ddl(events.schema)}, turn int", 1)
+
+
+@query("t6_delete_insert", f"""
+    select user_id, event_id, event_type from events where {TURN} = (select max({TURN}) from events n where n.user_id = events.user_id)""")
+def _(spark, sf):
+    # each user's events come in three batches; those of the last one with the user replace all before
+    rows = in_turn(spark, sf, *[f"{TURN} = {i}" for i in range(3)]).select("user_id", "event_id", "event_type", "ts")
+    path = scratch_path(spark, "upserts")
+    st.stream_upsert(rows, ["user_id"], ["ts"], path, form="delete_insert").awaitTermination()
+    return st.read_upserted(spark, path, rows.schema, ["user_id"], ["ts"], "delete_insert").drop("ts")
+
+
+# what the third batch is late by: rows meet the watermark that held when the batch before them was planned, so it is that of the first, in milliseconds
+MARKS = f"""marks as (select 2 as k, date_trunc('milliseconds', max(ts)) as top from events where {PART} = 0)"""
+
+
+@query("t6_watermark", f"""
+    with {MARKS}, live as (select * from events where event_id not in (select event_id from events join marks on k = {PART} where ts <= top - interval 1 hour))
+    select user_id, arg_max(event_id, (ts, event_id)) as event_id, arg_max(event_type, (ts, event_id)) as event_type from live group by 1""")
+def _(spark, sf):
+    # of the third batch all rows but those of the last hour are too late
+    rows = in_turn(spark, sf, *[f"{PART} = {i}" for i in range(3)]).select("user_id", "event_id", "event_type", "ts", "at")
+    path = scratch_path(spark, "upserts")
+    st.stream_upsert(rows, ["user_id"], ["ts", "event_id"], path, ts="at", watermark="1 hour").awaitTermination()
+    return st.read_upserted(spark, path, rows.schema, ["user_id"], ["ts", "event_id"]).drop("ts", "at")
+
+
+@query("t7_late_rows", f"""
+    with {MARKS} select count(*) as late from events join marks on k = {PART} where time_bucket(interval 1 hour, ts) + interval 1 hour <= top - interval 10 minutes""")
+def _(spark, sf):
+    counted = st.stream_windows(in_turn(spark, sf, *[f"{PART} = {i}" for i in range(3)]), "at", "1 hour", "10 minutes", {"n": F.count(F.lit(1))}, exact_late=True)
+    late = st.LateRows(spark)
+    try:
+        ended = st.run_to_parquet(counted, scratch_path(spark, "windows"), scratch_path(spark, "windows-state"))
+        return spark.range(1).select(F.lit(late.count(ended)).cast("long").alias("late"))
+    finally:
+        late.close()
 
 
 @query("t7_stream_windows", """
@@ -31,8 +84,8 @@ def _(spark, sf):
     select strftime(s, '%Y-%m-%d %H:%M') as window_start, event_type, n, cents from w
     where s + interval 1 hour <= (select max(ts) from events) - interval 10 minutes""")
 def _(spark, sf):
-    counted = st.stream_windows(stream(spark, sf), "at", "1 hour", "10 minutes", [
-        F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents")], ["event_type"])
+    counted = st.stream_windows(stream(spark, sf), "at", "1 hour", "10 minutes", {
+        "n": F.count(F.lit(1)), "cents": F.sum(F.round(F.col("value") * 100).cast("long"))}, ["event_type"])
     path = scratch_path(spark, "windows")
     st.run_to_parquet(counted, path, scratch_path(spark, "windows-state"))
     start = F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.scalars import normalize_path
 
@@ -20,6 +20,33 @@ class Changes:
     rejected: DataFrame
 
 
+HUNK = r"^@@ -\d+(?:,(\d+))? \+\d+(?:,(\d+))? @@"
+FILE = "\x01"  # put before the headers of a file in a plain patch
+
+
+def _owed(hunk: Column, group: int) -> Column:
+    """Lines of one side that a hunk's header announces; NULL where it cannot be read."""
+    told = F.regexp_extract(hunk, HUNK, group)
+    return F.when(hunk.rlike(HUNK), F.when(told == "", F.lit(1)).otherwise(told.try_cast("int")))
+
+
+def _mark_files(text: Column) -> Column:
+    """Mark where the files of a plain patch begin.
+
+    No line of a hunk's body begins with "@@ ", so a patch is cut there without doubt. Only a piece's last two lines may then be the
+    next file's headers. They are lines of the hunk if with them it has just the lines its header announces on both sides.
+    """
+    def mark(piece: Column, i: Column) -> Column:
+        body = F.slice(F.split(piece, "\n"), 2, F.size(F.split(piece, "\n")))
+        shaped = F.forall(body, lambda l: l.rlike(r"^($|[-+ \\])"))
+        number = lambda sign: F.size(F.filter(body, lambda l: l.rlike(rf"^($|[{sign} ])")))
+        inside = shaped & (number("-") == _owed(piece, 1)) & (number("+") == _owed(piece, 2))
+        headers = F.regexp_replace(piece, r"(^|\n)(--- [^\n]*\n\+\+\+ [^\n]*)$", rf"$1{FILE}$2")
+        return F.when((i > 0) & F.coalesce(inside, F.lit(False)), piece).otherwise(headers)
+
+    return F.array_join(F.transform(F.split(F.regexp_replace(text, FILE, ""), r"\n(?=@@ )"), mark), "\n")
+
+
 def explode_patch(docs: DataFrame, doc: str = "doc", text: str = "text", strip: str | None = None) -> Changes:
     """Rows of a patch corpus (doc, text), one document per file section.
 
@@ -27,9 +54,8 @@ def explode_patch(docs: DataFrame, doc: str = "doc", text: str = "text", strip:
     ordering across rows: a section becomes a row, a hunk becomes a row, a line becomes a row.
     """
     lines = F.concat(F.lit("\n"), F.regexp_replace(text, "\r\n", "\n"))
-    # a plain patch has no git headers and its files begin at the old-side path; a removed line "-- x" looks like one, but is
-    # not followed by a new-side path and a hunk
-    cuts = F.when(lines.contains("\ndiff --git "), F.split(lines, r"\n(?=diff --git )")).otherwise(F.split(lines, r"\n(?=--- [^\n]*\n\+\+\+ [^\n]*\n@@ )"))
+    # a plain patch has no git headers and its files begin at the old-side path
+    cuts = F.when(lines.contains("\ndiff --git "), F.split(lines, r"\n(?=diff --git )")).otherwise(F.split(_mark_files(lines), rf"\n{FILE}"))
     sections = docs.select(F.col(doc).alias("doc"), F.posexplode(cuts).alias("section", "body")).filter(
         F.col("body").rlike("^(diff --git |--- )"))
     grab = lambda pattern: F.nullif(F.regexp_extract("head", pattern, 1), F.lit(""))

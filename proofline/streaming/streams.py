@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import threading
+from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..operators.data_tests import DataTest, outside
+from ..operators.numbering import all_of, same
 from ..session import scratch_path
 
 
@@ -25,68 +28,112 @@ def keep_latest(batch: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     return latest.select("_row.*")
 
 
-class UpsertLog:
-    """Newest row per key, kept as one parquet folder per batch.
+def drop_late(stream: DataFrame, ts: str, watermark: str) -> DataFrame:
+    """The rows that are not later than the watermark; equal rows all stay. The state holds a key per row until the watermark has passed it."""
+    marked = stream.withWatermark(ts, watermark).withColumn("_row", F.expr("uuid()"))
+    return marked.dropDuplicatesWithinWatermark(["_row"]).drop("_row")
 
-    A batch writes only its own rows under its own id, so a replay overwrites itself and the cost of a batch does not
-    grow with the table. Reading takes the newest row per key over the last compacted state and the batches after it.
+
+FORMS = ("merge", "delete_insert")
+
+
+def stream_upsert(stream: DataFrame, keys: Sequence[str], order: Sequence[str], path: str, checkpoint: str | None = None, form: str = "merge",
+                  ts: str | None = None, watermark: str | None = None, **trigger) -> StreamingQuery:
+    """Upsert a stream into the table at ``path``, a parquet table partitioned by ``batch``; :func:`read_upserted` reads it.
+
+    ``merge`` keeps the newest row per key, which Spark's own keyed state remembers, so a batch writes the keys it has changed.
+    ``delete_insert`` puts every row of a batch in place of all earlier rows of its keys. A replayed batch overwrites its own
+    partition, so it leaves the same table. With ``watermark`` rows that are later than it by ``ts`` are left out.
     """
+    if form not in FORMS:
+        raise ValueError(f"form is one of {FORMS}")
+    rows = drop_late(stream, ts, watermark) if watermark else stream
+    changed = keep_latest(rows, keys, order) if form == "merge" else rows
 
-    def __init__(self, spark: SparkSession, path: str, schema, keys: Sequence[str], order: Sequence[str]):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-        self.keys, self.order = list(keys), list(order)
-
-    def _complete(self, prefix: str) -> list[int]:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        root = hadoop.Path(self.path)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return []
-        found = [s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith(prefix + "=")]
-        return sorted(int(p.getName().split("=")[1]) for p in found if fs.exists(hadoop.Path(p, "_SUCCESS")))
-
-    def write(self, batch: DataFrame, batch_id: int) -> None:
-        keep_latest(batch, self.keys, self.order).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
-
-    def _live(self) -> tuple[list[int], list[int]]:
-        states = self._complete("state")[-1:]
-        return states, [b for b in self._complete("batch") if not states or b > states[0]]
-
-    def read(self) -> DataFrame:
-        states, batches = self._live()
-        paths = [f"{self.path}/state={s}" for s in states] + [f"{self.path}/batch={b}" for b in batches]
-        if not paths:
-            return self.spark.createDataFrame([], self.schema)
-        return keep_latest(self.spark.read.schema(self.schema).parquet(*paths), self.keys, self.order)
-
-    def compact(self) -> None:
-        """Fold the batches written so far into one state."""
-        _, batches = self._live()
-        if batches:
-            self.read().write.mode("overwrite").parquet(f"{self.path}/state={batches[-1]}")
-
-
-def stream_upsert(stream: DataFrame, log: UpsertLog, checkpoint: str | None = None, **trigger) -> StreamingQuery:
-    """Keep the newest row per key; a replayed batch leaves the same state."""
-    checkpoint = checkpoint or scratch_path(log.spark, "upsert")
-    return (stream.writeStream.foreachBatch(log.write).option("checkpointLocation", checkpoint)
-            .trigger(**(trigger or {"availableNow": True})).start())
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    checkpoint = checkpoint or scratch_path(stream.sparkSession, "upsert")
+    return (changed.writeStream.outputMode("update" if form == "merge" else "append").foreachBatch(write)
+            .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
+
+
+def read_upserted(spark: SparkSession, path: str, schema, keys: Sequence[str], order: Sequence[str], form: str = "merge") -> DataFrame:
+    """The rows that are live in an upserted table; none before the first batch is written.
+
+    The newest row per key is an aggregate with partial results. In the other form only keys and their last batch are
+    grouped, and rows of a key that no longer is in an older batch are left out by an equi-join.
+    """
+    columns = schema.fieldNames()
+    try:
+        found = spark.read.option("basePath", path).schema(f"{_ddl(schema)}, batch long").parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+    if form == "merge":
+        return keep_latest(found, keys, [*order, "batch"]).select(columns)
+    last = found.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.max("batch").alias("_last"))
+    matched = all_of([same(F.col(k), F.col(f"_k{i}")) for i, k in enumerate(keys)]) & (F.col("batch") == F.col("_last"))
+    return found.join(last, matched, "left_semi").select(columns)
+
+
+def _ddl(schema) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+
+
+def compact_upserted(spark: SparkSession, path: str, to: str, schema, keys: Sequence[str], order: Sequence[str], form: str = "merge") -> None:
+    """Write the live rows as one batch of a new table; a stream with the old checkpoint may go on there, as its batch numbers keep growing."""
+    live = read_upserted(spark, path, schema, keys, order, form)
+    newest = spark.read.option("basePath", path).schema("batch long").parquet(path).agg(F.max("batch")).first()[0]
+    if newest is not None:
+        live.write.mode("overwrite").parquet(f"{to}/batch={newest}")
+
+
+def stream_windows(stream: DataFrame, ts: str, period: str, watermark: str, aggregates: Mapping[str, Column], by: Sequence[str] = (),
+                   exact_late: bool = False) -> DataFrame:
+    """Tumbling event-time windows with an aggregate per name; rows whose window the watermark has passed are dropped.
+
+    :class:`LateRows` counts the dropped rows. They are counted where they meet the state, that is after each task has
+    aggregated its own rows of a window, unless ``exact_late`` lets every row meet a state of its own first (which then
+    holds a key per row of the open windows).
+    """
+    timed = stream.withWatermark(ts, watermark).withColumn("_window", F.window(ts, period))
+    if exact_late:
+        timed = timed.withColumn("_row", F.expr("uuid()")).dropDuplicates(["_row", "_window"])
+    named = [column.alias(name) for name, column in aggregates.items()]
+    return timed.groupBy("_window", *by).agg(*named).select(
+        F.col("_window.start").alias("window_start"), F.col("_window.end").alias("window_end"), *by, *aggregates)
+
+
+class LateRows(StreamingQueryListener):
+    """Rows that stateful operators dropped as too late, per query, from every progress report of the session."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.dropped, self.ended = spark, {}, {}
+        spark.streams.addListener(self)
 
+    def onQueryStarted(self, event) -> None:
+        pass
 
-def stream_windows(stream: DataFrame, ts: str, period: str, watermark: str, aggregates: Sequence[Column],
-                   by: Sequence[str] = ()) -> DataFrame:
-    """Tumbling event-time windows; rows later than the watermark are dropped and counted by the query's progress."""
-    return stream.withWatermark(ts, watermark).groupBy(F.window(ts, period).alias("w"), *by).agg(*aggregates).select(
-        F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *by,
-        *[F.col(f"`{_name(a)}`") for a in aggregates])
+    def onQueryProgress(self, event) -> None:
+        late = sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+        self.dropped[str(event.progress.id)] = self.dropped.get(str(event.progress.id), 0) + late
 
+    def onQueryIdle(self, event) -> None:
+        pass
 
-def _name(column: Column) -> str:
-    return column._jc.toString().split(" AS ")[-1].strip("`")
+    def onQueryTerminated(self, event) -> None:
+        self.ended.setdefault(str(event.id), threading.Event()).set()
 
+    def count(self, query: StreamingQuery, timeout: float = 60) -> int:
+        """The rows a query has dropped; of one that has ended, after its last report has come in."""
+        if not query.isActive and not self.ended.setdefault(str(query.id), threading.Event()).wait(timeout):
+            raise TimeoutError("the query's last report has not come")
+        return self.dropped.get(str(query.id), 0)
 
-def rows_dropped_late(query: StreamingQuery) -> int:
-    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+    def close(self) -> None:
+        self.spark.streams.removeListener(self)
 
 
 def stream_dedup(stream: DataFrame, keys: Sequence[str], ts: str, watermark: str) -> DataFrame:

@@ -103,6 +103,45 @@ def test_read_catalog_is_tolerant(spark, tmp_path, rows):
     assert cat.catalog_gate(models.withColumn("compiled_code", F.lit("select 1")), tests)[0]
 
 
+def test_catalog_entries_for_the_audits(spark, rows):
+    test = lambda **more: {"resource_type": "test", "attached_node": "model.p.a", **more}
+    unique = lambda column, **more: test(test_metadata={"name": "unique", "kwargs": {"column_name": column}}, **more)
+    doc = {"metadata": None, "nodes": {
+        "model.p.a": {"resource_type": "model", "config": {"unique_key": ["Id", "day"], "meta": {"grain": ["id", "day"]}, "materialized": "incremental"}},
+        "model.p.b": {"resource_type": "model", "config": {"unique_key": "id", "meta": {"grain": {"x": 1}}, "event_time": "ts", "contract": {"enforced": "yes"}}},
+        "model.p.c": {"resource_type": "model", "config": {"unique_key": ["id", 1], "meta": {"grain": " "}}},
+        "model.p.d": {"resource_type": "model", "config": {"unique_key": None}}, "model.p.e": {"resource_type": "model", "config": {"unique_key": " "}},
+        "model.p.f": 5,
+        "test.p.on": unique("ID", config={"severity": "Warn", "where": "x > 1", "limit": 100}),
+        "test.p.off": unique("day", config={"enabled": False, "limit": "many", "where": 4}),
+        "test.p.both": test(test_metadata={"name": "unique_combination_of_columns", "namespace": "dbt_utils", "kwargs": {"combination_of_columns": ["day", "id"]}}),
+        "test.p.odd": test(test_metadata={"name": "unique_combination_of_columns", "kwargs": {"combination_of_columns": ["day", 1]}}),
+        "test.p.sql": {"resource_type": "test", "depends_on": {"nodes": ["model.p.b", "model.p.a"]}}},
+        "unit_tests": {"unit.p.u": {"model": "model.p.a", "overrides": {"macros": {"is_incremental": True}}}, "unit.p.v": {"model": "model.p.a", "overrides": {"macros": {"is_incremental": "x"}}}},
+        "disabled": {"test.p.gone": [unique("id"), "junk", None], "model.p.x": [{"resource_type": "model"}], "odd": 5, "test.p.alone": [{"resource_type": "test", "column_name": "id"}],
+                     "test.p.level": [test(column_name="id", test_metadata={"name": "unique"})]}}
+    docs = spark.createDataFrame([(1, json.dumps(doc)), (2, "no json"), (3, '{"nodes": [], "disabled": 7}'), (4, None)], "doc int, text string")
+    found = cat.explode_catalog(docs, ["doc"])
+    assert rows(found.rejected) == [(2,), (4,)] and rows(found.metadata.select("doc")) == [(1,), (3,)]
+    assert {n: t.count() for n, t in found.where("doc = 3").tables().items()} == {n: int(n == "metadata") for n in cat.TABLES}
+    assert rows(found.audit_models, "table", "key_declared", "unique_key", "event_time", "meta_grain") == [
+        ("model.p.a", True, ["Id", "day"], None, "id, day"), ("model.p.b", True, ["id"], "ts", '{"x":1}'), ("model.p.c", True, None, None, None),
+        ("model.p.d", False, None, None, None), ("model.p.e", True, None, None, None)]
+    assert rows(found.audit_tests, "test", "columns", "enabled", "severity", "where", "limit") == [
+        ("test.p.both", ["day", "id"], True, None, None, None), ("test.p.gone", ["id"], False, None, None, None), ("test.p.level", ["id"], False, None, None, None),
+        ("test.p.odd", None, True, None, None, None), ("test.p.off", ["day"], False, None, None, None), ("test.p.on", ["ID"], True, "Warn", "x > 1", 100)]
+    assert rows(found.disabled, "id", "kind", "table", "columns") == [
+        ("model.p.x", "model", None, None), ("test.p.alone", "test", None, None), ("test.p.gone", "test", "model.p.a", ["id"]), ("test.p.level", "test", "model.p.a", ["id"])]
+    assert rows(found.singular_tests, "test", "table", "enabled") == [("test.p.sql", "model.p.a", True), ("test.p.sql", "model.p.b", True)]
+    assert rows(found.unit_modes, "test", "incremental") == [("unit.p.u", True), ("unit.p.v", None)]
+    assert rows(found.snapshot_nodes.filter("id = 'model.p.b'"), "contract_enforced", "path") == [(False, None)]
+    verdicts = audits.audit_catalog(found.audit_models, found.audit_tests, found.singular_tests, found.unit_modes, found.declared_constraints, None)
+    assert rows(verdicts, "table", "check", "verdict") == [
+        ("model.p.a", "incremental_branch", "covered"), ("model.p.a", "unique_key", "covered"), ("model.p.b", "unique_key", "unknown"),
+        ("model.p.c", "unique_key", "unknown"), ("model.p.e", "unique_key", "unknown")]
+    assert rows(audits.disabled_backing(found.audit_models, found.audit_tests), "test") == [("test.p.gone",), ("test.p.level",), ("test.p.off",)]
+
+
 NODE = "id string, checksum string, config map<string,string>, relation_name string, macros array<string>, contract_enforced boolean, columns map<string,string>"
 
 

@@ -36,27 +36,69 @@ def feed(spark, tmp_path):
 
 
 def test_upsert_replay_and_compaction(spark, feed, rows):
-    schema = spark.createDataFrame([], SCHEMA).schema
-    log = st.UpsertLog(spark, scratch_path(spark, "up"), schema, ["k"], ["at", "v"])
-    assert log.read().count() == 0
-    st.stream_upsert(feed, log).awaitTermination()
-    want = [(1, 9), (2, 1), (3, 1)]
-    assert rows(log.read(), "k", "v") == want
-    log.compact()
-    assert rows(log.read(), "k", "v") == want and log._live() == ([2], [])
-    again = spark.sql("select 2 as k, 5 as v, timestamp'2024-01-02 00:00:00' as at")
-    for _ in range(2):
-        log.write(again, 3)
-    assert rows(log.read(), "k", "v") == [(1, 9), (2, 5), (3, 1)]
+    schema, path, state = spark.createDataFrame([], SCHEMA).schema, scratch_path(spark, "up"), scratch_path(spark, "us")
+    read = lambda at=path: rows(st.read_upserted(spark, at, schema, ["k"], ["at", "v"]), "k", "v")
+    assert read() == []
+    for _ in range(2):  # nothing new comes the second time
+        st.stream_upsert(feed, ["k"], ["at", "v"], path, state).awaitTermination()
+        assert read() == [(1, 9), (2, 1), (3, 1)]
+    spark.read.parquet(f"{path}/batch=1").write.parquet(f"{path}/batch=7")  # what a batch says twice
+    assert read() == [(1, 9), (2, 1), (3, 1)]
+    other = scratch_path(spark, "up")
+    st.compact_upserted(spark, path, other, schema, ["k"], ["at", "v"])
+    assert read(other) == [(1, 9), (2, 1), (3, 1)] and spark.read.parquet(other).select("batch").distinct().collect() == [(7,)]
+
+
+def test_upsert_leaves_late_rows_out(spark, feed, rows):
+    schema, path = spark.createDataFrame([], SCHEMA).schema, scratch_path(spark, "up")
+    st.stream_upsert(feed, ["k"], ["at", "v"], path, ts="at", watermark="10 minutes").awaitTermination()
+    assert rows(st.read_upserted(spark, path, schema, ["k"], ["at", "v"]), "k", "v") == [(1, 9), (2, 1)]
+
+
+def test_delete_insert_takes_all_rows_of_the_last_batch(spark, feed, rows):
+    schema, path = spark.createDataFrame([], SCHEMA).schema, scratch_path(spark, "up")
+    st.stream_upsert(feed, ["k"], ["at"], path, form="delete_insert").awaitTermination()
+    assert rows(st.read_upserted(spark, path, schema, ["k"], ["at"], "delete_insert"), "k", "v") == [(1, 9), (2, 1), (3, 1)]
+    both = spark.createDataFrame([(1, 4, None), (1, 4, None), (None, 5, None), (None, 6, None)], schema)
+    both.write.parquet(f"{path}/batch=9")
+    assert rows(st.read_upserted(spark, path, schema, ["k"], ["at"], "delete_insert"), "k", "v") == [(1, 4), (1, 4), (2, 1), (3, 1), (None, 5), (None, 6)]
+    with pytest.raises(ValueError, match="form"):
+        st.stream_upsert(feed, ["k"], ["at"], path, form="other")
 
 
 def test_windows_drop_late_rows(spark, feed, rows):
-    counted = st.stream_windows(feed, "at", "1 hour", "10 minutes", [F.count(F.lit(1)).alias("n")])
-    path = scratch_path(spark, "w")
-    query = st.run_to_parquet(counted, path, scratch_path(spark, "ws"))
-    got = spark.read.parquet(path).select(F.date_format("window_start", "HH:mm"), "n")
-    assert rows(got) == [("00:00", 2), ("02:00", 2)]
-    assert st.rows_dropped_late(query) == 1
+    late = st.LateRows(spark)
+    for exact in (False, True):
+        path = scratch_path(spark, "w")
+        counted = st.stream_windows(feed, "at", "1 hour", "10 minutes", {"n": F.count(F.lit(1))}, exact_late=exact)
+        query = st.run_to_parquet(counted, path, scratch_path(spark, "ws"))
+        got = spark.read.parquet(path).select(F.date_format("window_start", "HH:mm"), "n")
+        assert rows(got) == [("00:00", 2), ("02:00", 2)]
+        assert late.count(query) == 1
+    late.close()
+
+
+def test_late_rows_of_many_batches(spark, tmp_path):
+    """More batches than a query keeps reports of; every second one has two late rows of one window and key."""
+    folder, n = tmp_path / "many", 104
+    folder.mkdir()
+    put(spark, tmp_path, "now", [(1, 1, "2024-01-02 00:05:00")])
+    put(spark, tmp_path, "late", [(1, 1, "2024-01-01 00:05:00"), (1, 2, "2024-01-01 00:06:00")])
+    for i in range(n):
+        source = next((tmp_path / ("late" if i % 2 else "now")).glob("*.parquet"))
+        target = folder / f"{i:03d}.parquet"
+        target.write_bytes(source.read_bytes())
+        os.utime(target, (1_700_000_000 + 60 * i,) * 2)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    late = st.LateRows(spark)
+    try:
+        counted = st.stream_windows(st.read_parquet_stream(spark, str(folder), SCHEMA, 1), "at", "1 hour", "10 minutes", {"n": F.count(F.lit(1))}, exact_late=True)
+        query = st.run_to_parquet(counted, scratch_path(spark, "w"), scratch_path(spark, "ws"))
+        assert late.count(query) == n - 2 and len(query.recentProgress) < n  # the second batch still meets no watermark
+    finally:
+        late.close()
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def test_stream_tests_quarantine(spark, feed):
