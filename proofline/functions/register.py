@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from .keys import BLANKS, INTEGER, NUMBER, PLAIN
-from .scalars import TYPE_FAMILIES
+from .scalars import CALL, QUOTES, RELATION, TYPE_FAMILIES
 
 
 def _text(value: str) -> str:
@@ -27,6 +27,10 @@ def _definitions() -> dict[str, tuple[str, str, str]]:
             "x STRING", "STRING",
             f"CASE WHEN x RLIKE {_text(INTEGER)} THEN CASE WHEN {whole} = '-0' THEN '0' ELSE {whole} END"
             f" WHEN x RLIKE {_text(NUMBER)} THEN {decimal} END"),
+        "pl_whole": ("x STRING", "STRING", r"CASE WHEN contains(x, '.') THEN regexp_replace(x, '\\.?0+$', '') ELSE x END"),
+        "pl_relation_part": (
+            "x STRING, i INT", "STRING",
+            f"lower(regexp_replace(trim(try_element_at(regexp_extract_all(x, {_text(RELATION)}, 1), i)), {_text(QUOTES)}, ''))"),
         "pl_csv_token": (
             "x STRING", "STRING",
             "CASE WHEN x IS NULL OR x = '' THEN 'null' WHEN pl_number(x) IS NOT NULL"
@@ -51,6 +55,27 @@ def _definitions() -> dict[str, tuple[str, str, str]]:
         "pl_type": (
             "x STRING", "STRING",
             f"(SELECT CASE {families} ELSE t END FROM (SELECT lower(trim(substring_index(x, '(', 1))) AS t))"),
+        "pl_typed": (  # of any column, cast to VARIANT
+            "x VARIANT", "STRING",
+            "CASE WHEN x IS NULL OR is_variant_null(x) THEN 'null' WHEN schema_of_variant(x) = 'BOOLEAN' THEN concat('bool:', try_variant_get(x, '$', 'string'))"
+            " WHEN schema_of_variant(x) IN ('TINYINT', 'SMALLINT', 'INT', 'BIGINT') OR schema_of_variant(x) LIKE 'DECIMAL%'"
+            " THEN concat('number:', pl_whole(try_variant_get(x, '$', 'string')))"
+            f" WHEN schema_of_variant(x) IN ('FLOAT', 'DOUBLE') AND abs(try_variant_get(x, '$', 'double')) < double('Infinity')"
+            f" THEN concat('number:', format_number(try_variant_get(x, '$', 'double') + 0.0D, '{PLAIN}'))"
+            " ELSE concat('str:', try_variant_get(x, '$', 'string')) END"),
+        "pl_row_key": (
+            "x ARRAY<STRING>", "STRING", "array_join(transform(x, t -> concat(octet_length(t), ':', t)), '')"),
+        "pl_relation": (
+            "x STRING", "STRUCT<database STRING, schema STRING, identifier STRING>",
+            "named_struct('database', pl_relation_part(x, -3), 'schema', pl_relation_part(x, -2), 'identifier', pl_relation_part(x, -1))"),
+        "pl_input_leaf": (
+            "x STRING", "STRING",
+            f"lower(nullif(concat(regexp_extract(x, {_text(CALL)}, 1), regexp_extract(x, {_text(CALL)}, 2)), ''))"),
+        "pl_surrogate_key": (
+            "x ARRAY<STRING>", "STRING", "md5(array_join(transform(x, c -> coalesce(c, '_null_')), '-'))"),
+        "pl_bucket": (  # the label of the first edge above x
+            "x DOUBLE, edges ARRAY<DOUBLE>, labels ARRAY<STRING>, last STRING", "STRING",
+            "coalesce(try_element_at(filter(transform(edges, (e, i) -> CASE WHEN x < e THEN labels[i] END), l -> l IS NOT NULL), 1), last)"),
         "pl_mask": ("x STRING, allowed BOOLEAN", "STRING", "CASE WHEN allowed THEN x ELSE '***' END"),
         "pl_hash_pii": ("x STRING", "STRING", "md5(x)"),
     }

@@ -26,10 +26,14 @@ def normalize_path(path: Column, strip: str | None = None) -> Column:
     return F.regexp_replace(out, "/{2,}", "/")
 
 
+RELATION, QUOTES = r'("[^"]*"|`[^`]*`|\[[^\]]*\]|[^.]+)', r'^["`\[]|["`\]]$'
+CALL = r"""^\s*(?:ref|source)\s*\(\s*(?:(?:'[^']*'|"[^"]*")\s*,\s*)*(?:'([^']*)'|"([^"]*)")\s*\)\s*$"""
+
+
 def parse_relation(name: Column) -> Column:
     """Quoted dotted name to lower-case (database, schema, identifier), filled from the right."""
-    parts = F.regexp_extract_all(name, F.lit(r'("[^"]*"|`[^`]*`|\[[^\]]*\]|[^.]+)'), 1)
-    clean = F.transform(parts, lambda p: F.lower(F.regexp_replace(F.trim(p), r'^["`\[]|["`\]]$', "")))
+    parts = F.regexp_extract_all(name, F.lit(RELATION), 1)
+    clean = F.transform(parts, lambda p: F.lower(F.regexp_replace(F.trim(p), QUOTES, "")))
     return F.struct(
         F.try_element_at(clean, F.lit(-3)).alias("database"),
         F.try_element_at(clean, F.lit(-2)).alias("schema"),
@@ -39,8 +43,7 @@ def parse_relation(name: Column) -> Column:
 
 def input_leaf(call: Column) -> Column:
     """Last literal of ``ref('a', 'b')`` or ``source("a", "b")`` in lower case, else NULL."""
-    shape = r"""^\s*(?:ref|source)\s*\(\s*(?:(?:'[^']*'|"[^"]*")\s*,\s*)*(?:'([^']*)'|"([^"]*)")\s*\)\s*$"""
-    leaf = F.concat(F.regexp_extract(call, shape, 1), F.regexp_extract(call, shape, 2))
+    leaf = F.concat(F.regexp_extract(call, CALL, 1), F.regexp_extract(call, CALL, 2))
     return F.when(leaf != "", F.lower(leaf))
 
 

@@ -38,18 +38,25 @@ def audit_union_arms(arms: Mapping[str, Sequence[str]], tables: Mapping[str, Dat
                      table: str = "model", union: str = "union") -> DataFrame:
     """One finding per union; an arm is fed when any of its inputs has a row, an input given as None is unknown.
 
-    Presence asks each input for its first row and stops there.
+    Nothing runs before the result is asked for. Each input then offers its first row and no more.
     """
-    names = {t for inputs in arms.values() for t in inputs}
-    known = {t: tables[t] for t in names if tables.get(t) is not None}
-    present = {t for t, df in known.items() if not df.isEmpty()}
-    unfed = sorted(arm for arm, inputs in arms.items() if not present & set(inputs) and known.keys() >= set(inputs))
-    unclear = sorted(arm for arm, inputs in arms.items() if not present & set(inputs) and arm not in unfed)
-    verdict = "uncovered" if unfed else "unknown" if unclear else "covered"
-    session = next(df for df in tables.values() if df is not None).sparkSession
-    row = session.range(1)
-    return finding(row, "union_arm", F.lit(table), F.lit(f"union[{union}]"), F.lit(verdict), "high",
-                   F.lit(", ".join(unfed or unclear)))
+    spark = next(df for df in tables.values() if df is not None).sparkSession
+    listed = spark.createDataFrame([(arm, t) for arm, inputs in arms.items() for t in inputs], "arm string, input string")
+    present = None
+    for t in sorted({t for inputs in arms.values() for t in inputs}):
+        if tables.get(t) is not None:
+            row = tables[t].select(F.lit(1)).limit(1).agg((F.count(F.lit(1)) > 0).alias("present")).select(F.lit(t).alias("input"), "present")
+            present = row if present is None else present.unionByName(row)
+    every = spark.createDataFrame([(arm,) for arm in arms], "arm string")
+    told = listed if present is None else listed.join(present, "input", "left")
+    told = told if present is not None else told.withColumn("present", F.lit(None).cast("boolean"))
+    per_arm = every.join(told.groupBy("arm").agg(F.max("present").alias("fed"), F.bool_or(F.col("present").isNull()).alias("open")), "arm", "left")
+    fed, unclear = F.coalesce("fed", F.lit(False)), F.coalesce("open", F.lit(False))
+    arms_of = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("arm"))))
+    row = per_arm.agg(arms_of(~fed & ~unclear).alias("unfed"), arms_of(~fed & unclear).alias("unclear"))
+    verdict = F.when(F.size("unfed") > 0, "uncovered").when(F.size("unclear") > 0, "unknown").otherwise("covered")
+    told = F.array_join(F.when(F.size("unfed") > 0, F.col("unfed")).otherwise(F.col("unclear")), ", ")
+    return finding(row, "union_arm", F.lit(table), F.lit(f"union[{union}]"), verdict, "high", told)
 
 
 def key_facts(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.keys import absent_key, csv_key, token_key, typed_key
+from ..functions.keys import KEY_TYPE, absent_key, csv_key, key_token, token_key, typed_key
 from ..session import cut
 from .numbering import all_of, number_rows, same
 
@@ -74,9 +74,30 @@ def _key_columns(old: DataFrame, new: DataFrame, columns: Sequence[str], typing:
             left.append(plain), right.append(plain)
         else:
             left.append(canonical_old[i]), right.append(canonical_new[i])
+    if any(df.select(k.alias("k")).schema["k"].dataType.simpleString() not in NARROW for df, side in ((old, left), (new, right)) for k in side):
+        return [_digest(old, left)], [_digest(new, right)]
     return left, right
 
 
+# fixed values: types short enough to be a key as they are; a key with any other column travels as a digest
+NARROW = ("boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz")
+
+
+def _digest(df: DataFrame, keys: Sequence[Column]) -> Column:
+    """SHA-256 over the key parts, each with its length before it, so that distinct rows have distinct digests."""
+    def text(key: Column) -> Column:
+        kind = df.select(key.alias("k")).schema["k"].dataType
+        if kind == KEY_TYPE:
+            return key_token(key)
+        if isinstance(kind, T.TimestampType):
+            return F.unix_micros(key).cast("string")
+        if isinstance(kind, T.BinaryType):
+            return F.hex(key)
+        return key.cast("string")
+    parts = [F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in map(text, keys)]
+    return F.unhex(F.sha2(F.concat(*parts), 256))
+
+
 class TableDiff:
     """One diff. ``rows`` holds kind, positions and the two row structs; the rest is derived from it on demand."""
 
@@ -137,7 +158,8 @@ def diff_tables(old: DataFrame, new: DataFrame, order_old: str, order_new: str,
     i-th on the new side and is ``modified`` where the two share a column, else a removal and an addition. ``by``
     diffs many tables in one job.
 
-    Positions must order the rows of a table without ties. Keys are counted first. Only a key that both sides hold a different number of times needs its copies
+    Positions must order the rows of a table without ties. Rows meet on their values, or on a digest of them where a value may be
+    long. Keys are counted first. Only a key that both sides hold a different number of times needs its copies
     numbered, so repeated rows cost one count, not one ordered group.
     """
     side_columns = lambda df, order: [c for c in df.columns if c != order and c not in by]
@@ -160,7 +182,7 @@ def diff_tables(old: DataFrame, new: DataFrame, order_old: str, order_new: str,
     if reshaped:  # a column on one side only is absent on the other: no two rows are equal
         residual, unchanged = rows.select(*keep), None
     else:
-        keys = [*by, *[f"_k{i}" for i in range(len(names))]]
+        keys = [*by, *[f"_k{i}" for i in range(len(old_keys))]]
         counts = rows.groupBy(*keys).agg(F.count_if(F.col("_side") == OLD).alias("_n_old"),
                                          F.count_if(F.col("_side") == NEW).alias("_n_new"))
         uneven = cut(counts.filter("_n_old <> _n_new").select(

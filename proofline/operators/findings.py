@@ -56,6 +56,11 @@ def table_coverage(findings: DataFrame) -> DataFrame:
         "covered", "uncovered", "unknown")])
 
 
+def gate_verdict(findings: DataFrame) -> DataFrame:
+    """One row, ``failed``: whether some finding of the total tier is uncovered and not suppressed."""
+    return findings.agg(F.coalesce(F.bool_or(surfaced_uncovered(findings) & (F.col("tier") == "total")), F.lit(False)).alias("failed"))
+
+
 def gate(findings: DataFrame) -> bool:
     """True when the run must fail: some finding of the total tier is uncovered and not suppressed."""
     return not findings.filter(surfaced_uncovered(findings) & (F.col("tier") == "total")).isEmpty()

@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import cut
+from ..session import bucketed, cut
+from .numbering import all_of, same
 
 COMPACT_EVERY = 8
 
@@ -35,26 +36,65 @@ def _directed(edges: DataFrame, direction: str) -> DataFrame:
     return edges.select("src", "dst") if direction == "down" else invert(edges)
 
 
+HUB = 100_000  # edges of one node that are kept together
+
+
+class Steps:
+    """Edges in one direction, written once in buckets of (src, part), so that no round of a walk exchanges them again.
+
+    A node with more than ``hub`` edges has them dealt into several parts. Every edge knows the parts of the node it leads to, so
+    whoever arrives there knows how many buckets to ask.
+    """
+
+    def __init__(self, edges: DataFrame, direction: str = "down", hub: int | None = None):
+        hub = hub or HUB
+        plain = cut(_directed(edges, direction).distinct(), "edges")
+        hubs = cut(plain.groupBy("src").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hub).select(
+            F.col("src").alias("_hub"), F.ceil(F.col("_n") / hub).cast("int").alias("_parts")), "hubs")
+        self.hubs = None if hubs.isEmpty() else hubs
+        own, ahead = F.lit(0), F.lit(1)
+        if self.hubs:
+            plain = plain.join(hubs, F.col("src") == F.col("_hub"), "left").withColumn("_own", F.coalesce("_parts", F.lit(1))).drop("_hub", "_parts")
+            plain = plain.join(hubs, F.col("dst") == F.col("_hub"), "left")
+            own, ahead = F.pmod(F.xxhash64("dst"), F.col("_own")).cast("int"), F.coalesce("_parts", F.lit(1))
+        self.table = bucketed(plain.select("src", "dst", own.alias("_part"), ahead.alias("_ahead")), "src", "_part")
+
+    def start(self, nodes: DataFrame) -> DataFrame:
+        """Nodes with the number of parts their edges lie in, ``_ahead``."""
+        if not self.hubs:
+            return nodes.withColumn("_ahead", F.lit(1))
+        return nodes.join(self.hubs, F.col("node") == F.col("_hub"), "left").withColumn("_ahead", F.coalesce("_parts", F.lit(1))).drop("_hub", "_parts")
+
+    def follow(self, nodes: DataFrame, *carry: str) -> DataFrame:
+        """The nodes one edge away from ``nodes`` (with ``_ahead``), as ``node`` and ``_ahead``, with the columns to carry."""
+        asked = nodes.withColumnRenamed("node", "_from").withColumn("_ask", F.explode(F.sequence(F.lit(0), F.col("_ahead") - 1))).drop("_ahead")
+        met = asked.join(self.table, (F.col("_from") == F.col("src")) & (F.col("_ask") == F.col("_part")))
+        return met.select(F.col("dst").alias("node"), "_ahead", *carry)
+
+
 def closure(edges: DataFrame, seeds: DataFrame, direction: str = "down", max_depth: int | None = None,
             carry: Sequence[str] = ()) -> DataFrame:
     """Nodes reachable from the seeds (``node`` plus ``carry``), seeds at depth 0; cycles end by themselves.
 
-    Each round joins only the nodes found in the round before. ``carry`` columns travel with the node, so that many
-    sources are followed in one pass.
+    Each round joins only the nodes found in the round before. Edges and the nodes seen so far lie in buckets, so a round
+    exchanges its own finds alone. ``carry`` columns travel with the node, so that many sources are followed in one pass.
     """
-    steps = cut(_directed(edges, direction))
-    key = ["node", *carry]
-    frontier = cut(seeds.select(*key).distinct().withColumn("depth", F.lit(0)))
-    seen, depth = frontier, 0
-    while not frontier.isEmpty() and (max_depth is None or depth < max_depth):
+    steps, key = Steps(edges, direction), ["node", *carry]
+    frontier = bucketed(steps.start(seeds.select(*key).dropna(subset=["node"]).distinct()).withColumn("depth", F.lit(0)), *key)
+    seen, out, depth = [frontier], frontier, 0
+    while (max_depth is None or depth < max_depth) and not frontier.isEmpty():
         depth += 1
-        found = frontier.join(steps, F.col("node") == F.col("src")).select(
-            F.col("dst").alias("node"), *carry).distinct()
-        frontier = cut(found.join(seen.select(*key), key, "left_anti").withColumn("depth", F.lit(depth)))
-        seen = seen.unionByName(frontier)
-        if depth % COMPACT_EVERY == 0:
-            seen = cut(seen)
-    return seen
+        found = steps.follow(frontier.drop("depth"), *carry).groupBy(*key).agg(F.max("_ahead").alias("_ahead"))
+        for part in seen:
+            known = part.select(*[F.col(k).alias(f"_seen{i}") for i, k in enumerate(key)])
+            found = found.join(known, all_of([same(F.col(k), F.col(f"_seen{i}")) if i else F.col(k) == F.col("_seen0") for i, k in enumerate(key)]), "left_anti")
+        frontier = bucketed(found.withColumn("depth", F.lit(depth)), *key)
+        seen.append(frontier)
+        out = out.unionByName(frontier)
+        if len(seen) > COMPACT_EVERY:
+            seen = [bucketed(out, *key)]
+            out = seen[0]
+    return out.drop("_ahead")
 
 
 def seed_extremes(edges: DataFrame, seeds: DataFrame, direction: str = "down") -> DataFrame:
@@ -63,19 +103,31 @@ def seed_extremes(edges: DataFrame, seeds: DataFrame, direction: str = "down") -
     Two numbers per node decide whether some seed other than a given one reaches it, so the (node, seed) pairs
     are never listed.
     """
-    steps = cut(_directed(edges, direction))
-    state = cut(seeds.select("node").distinct().select("node", F.col("node").alias("lo"), F.col("node").alias("hi")))
-    changed = state
+    steps = Steps(edges, direction)
+    start = seeds.select("node").dropna().distinct().select("node", F.col("node").alias("lo"), F.col("node").alias("hi"))
+    changed = bucketed(steps.start(start), "node")
+    layers = [changed]
     while not changed.isEmpty():
-        offered = changed.join(steps, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(
-            F.min("lo").alias("new_lo"), F.max("hi").alias("new_hi"))
-        merged = state.join(offered, "node", "full").select(
-            "node", F.least("lo", "new_lo").alias("lo"), F.greatest("hi", "new_hi").alias("hi"),
-            (F.col("lo").isNull() | (F.col("new_lo") < F.col("lo")) | (F.col("new_hi") > F.col("hi"))).alias("moved"))
-        merged = cut(merged)
-        state = merged.select("node", "lo", "hi")
-        changed = merged.filter("moved").select("node", "lo", "hi")
-    return state
+        offered = steps.follow(changed, "lo", "hi").groupBy("node").agg(
+            F.max("_ahead").alias("_ahead"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).withColumn("_news", F.lit(True))
+        for layer in layers:  # later layers hold better labels, so what is no news to one of them is none
+            known = layer.select(F.col("node").alias("_known"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+            joined = offered.join(known, F.col("node") == F.col("_known"), "left")
+            lo, hi = F.least("lo", "_lo"), F.greatest("hi", "_hi")
+            told = F.coalesce((lo == F.col("_lo")) & (hi == F.col("_hi")), F.lit(False))
+            offered = joined.select("node", "_ahead", lo.alias("lo"), hi.alias("hi"), (F.col("_news") & ~told).alias("_news"))
+        changed = bucketed(offered.filter("_news").drop("_news"), "node")
+        layers.append(changed)
+        if len(layers) > COMPACT_EVERY:
+            layers = [bucketed(_merged(layers), "node")]
+    return _merged(layers).drop("_ahead")
+
+
+def _merged(layers: list[DataFrame]) -> DataFrame:
+    every = layers[0]
+    for layer in layers[1:]:
+        every = every.unionByName(layer)
+    return every.groupBy("node").agg(F.max("_ahead").alias("_ahead"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
 def multi_source_reach(edges: DataFrame, seeds: DataFrame, direction: str = "down") -> DataFrame:
@@ -180,5 +232,46 @@ def acyclic_core(edges: DataFrame) -> DataFrame:
     return left
 
 
+def contract_chains(edges: DataFrame) -> DataFrame | None:
+    """One edge in place of every run of nodes that have one edge in and one out; None where such a run closes on itself.
+
+    Each node of a run points at its successor and then, round by round, at what that points at, so a run of n nodes takes about
+    log2(n) rounds.
+    """
+    alone = lambda end: edges.groupBy(F.col(end).alias("node")).agg(F.count(F.lit(1)).alias("_n")).filter("_n = 1").select("node")
+    inner = cut(alone("src").join(alone("dst"), "node"), "inner")
+    size = inner.count()
+    if not size:
+        return edges
+    flagged = inner.select(F.col("node").alias("to"), F.lit(True).alias("on"))
+    first = edges.join(inner, F.col("src") == F.col("node"), "left_semi").select(F.col("src").alias("node"), F.col("dst").alias("to"))
+    points = cut(first.join(flagged, "to", "left").select("node", "to", F.coalesce("on", F.lit(False)).alias("on")), "points")
+    for _ in range(size.bit_length() + 1):
+        if points.filter("on").isEmpty():
+            heads = edges.join(inner, F.col("src") == F.col("node"), "left_anti")
+            ends = points.select("node", "to")
+            return heads.join(ends, F.col("dst") == F.col("node"), "left").select("src", F.coalesce("to", "dst").alias("dst")).distinct()
+        ahead = points.select(F.col("node").alias("to"), F.col("to").alias("_to"), F.col("on").alias("_on"))
+        moved = points.filter("on").join(ahead, "to").select("node", F.col("_to").alias("to"), F.col("_on").alias("on"))
+        points = cut(points.filter("not on").unionByName(moved), "points")
+    return None
+
+
 def is_acyclic(edges: DataFrame) -> DataFrame:
-    return acyclic_core(edges).agg((F.count(F.lit(1)) == 0).alias("acyclic"))
+    """One row, ``acyclic``. Edges are dropped from both ends, where nothing leads in or nothing leads on, and chains are contracted,
+    until none is left, or all that are left lead from and to others."""
+    left = cut(edges.select("src", "dst").distinct(), "edges")
+    size = left.count()
+    while size and left.filter("src = dst").isEmpty():
+        ends = lambda own, other: left.select(F.col(own).alias(other)).distinct()
+        peeled = cut(left.join(ends("dst", "src"), "src", "left_semi").join(ends("src", "dst"), "dst", "left_semi").select("src", "dst"), "edges")
+        now = peeled.count()
+        if now == size:
+            break
+        shorter = contract_chains(peeled) if now else peeled
+        if shorter is None:
+            left = peeled
+            break
+        left = cut(shorter, "edges")
+        size = left.count()
+    return left.agg((F.count(F.lit(1)) == 0).alias("acyclic"))

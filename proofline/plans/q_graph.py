@@ -266,3 +266,19 @@ def _(spark, sf):
     looped = edges.unionByName(g.invert(edges.filter("src like 'region:%'")))
     row = lambda name, e: g.acyclic_core(e).agg(F.lit(name).alias("graph"), (F.count(F.lit(1)) == 0).alias("acyclic"), F.count(F.lit(1)).alias("core_edges"))
     return row("references", edges).unionByName(row("with_back_edges", looped))
+
+
+# parts in one long chain; the last of them may point back at one in the middle
+CHAIN = Derived("select p_partkey as src, p_partkey + 1 as dst from {part}")
+
+
+@query("g14_long_chain", """
+    with recursive e as (select src, dst from chain union all select max(dst), max(dst) - 100 from chain),
+    walk as (select max(dst) - 100 as node from chain union select e.dst from walk join e on e.src = walk.node)
+    select 'chain' as graph, not exists (select 1 from chain a join chain b on b.dst <= a.src and b.src >= a.dst) as acyclic
+    union all select 'back', not exists (select 1 from walk where node = (select max(dst) from chain))""", chain=CHAIN)
+def _(spark, sf):
+    chain = CHAIN(spark, sf)
+    back = chain.unionByName(chain.agg(F.max("dst").alias("src"), (F.max("dst") - 100).alias("dst")))
+    row = lambda name, e: g.is_acyclic(e).select(F.lit(name).alias("graph"), "acyclic")
+    return row("chain", chain).unionByName(row("back", back))

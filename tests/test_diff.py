@@ -1,4 +1,6 @@
+import datetime
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -153,3 +155,14 @@ def test_dense_grid_fills_zeros(spark, rows):
     states = spark.createDataFrame([("MA",), ("CT",), ("MA",)], "state string")
     facts = spark.createDataFrame([(202401, "MA", 3)], "month int, state string, n int")
     assert rows(dense_grid(months, states, facts, {"n": 0})) == [(202401, "CT", 0), (202401, "MA", 3), (202402, "CT", 0), (202402, "MA", 0)]
+
+
+def test_rows_with_texts_meet_on_digests(spark, rows):
+    """Values that would be one text if they were just put together are different rows, and no text is a key of an exchange."""
+    kinds = "pos int, a string, b string, c binary, d timestamp, e decimal(9,2), f array<int>"
+    at = datetime.datetime(2024, 1, 1)
+    old = [(0, "x", "y", b"1", at, Decimal("1.50"), [1]), (1, None, "x", None, None, None, None), (2, "1:", "", b"", None, None, []), (3, "same", None, b"q", at, None, [2])]
+    new = [(0, "xy", "", b"1", at, Decimal("1.50"), [1]), (1, "x", None, None, None, None, None), (2, "1", ":", b"", None, None, []), (3, "same", None, b"q", at, None, [2])]
+    out = diff.diff_tables(spark.createDataFrame(old, kinds), spark.createDataFrame(new, kinds), "pos", "pos")
+    assert rows(out.summary()) == [("modified", 3), ("unchanged", 1)]
+    assert rows(diff.diff_counts(spark.createDataFrame(old, kinds).drop("pos"), spark.createDataFrame(new, kinds).drop("pos"))) == [("modified", 3), ("unchanged", 1)]

@@ -1,8 +1,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from proofline.operators import columns as cl, graph as g
+from proofline.session import cut
 
 
 def edges_of(spark, pairs, schema="src int, dst int"):
@@ -90,3 +92,41 @@ def test_trace_ends(spark, rows):
                    ("l1", "q"): ("root", ["l1.q", "l2.q"]), ("thin", "z"): ("opaque", ["thin.z"])}
     blast = cl.column_blast_radius(edges, spark.createDataFrame([("src", "id")], "node string, column string"))
     assert rows(blast, "node", "column") == [("a", "id"), ("b", "id")]
+
+
+@pytest.mark.parametrize("hub", [3, 100_000])
+def test_walks_split_hubs_and_keep_the_edges_in_place(spark, rows, monkeypatch, capsys, hub):
+    monkeypatch.setattr(g, "HUB", hub)
+    pairs = [(0, i) for i in range(1, 12)] + [(i, 50) for i in range(1, 12)] + [(50, 0), (50, 60), (60, 61), (None, 7), (7, None)]
+    edges = spark.createDataFrame(pairs + pairs, "src int, dst int")
+    seeds = spark.createDataFrame([(0, "a"), (60, "b"), (0, "a"), (None, "c")], "node int, tag string")
+    assert rows(g.closure(edges.dropna(), seeds, carry=["tag"])) == sorted(
+        [(0, "a", 0), *[(i, "a", 1) for i in range(1, 12)], (50, "a", 2), (60, "a", 3), (61, "a", 4), (60, "b", 0), (61, "b", 1)])
+    assert rows(g.closure(edges, seeds.select("node"), max_depth=1), "node", "depth") == [(None, 1)] * 0 + sorted(
+        [(0, 0), (60, 0), (61, 1), *[(i, 1) for i in range(1, 12)]])
+    assert rows(g.seed_extremes(edges.dropna(), seeds.select("node")).filter("node >= 50")) == [(50, 0, 0), (60, 0, 60), (61, 0, 60)]
+    steps = g.Steps(edges.dropna())
+    assert steps.table.count() == 25
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        steps.follow(steps.start(spark.range(3).withColumnRenamed("id", "node"))).explain()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    edge_side = capsys.readouterr().out.split("Bucketed: true")[0].splitlines()
+    assert not any("Exchange" in line for line in edge_side[-4:])
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("buckets_")]
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(g, "cut", lambda df, label="": made.append(label) or cut(df, label))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    chain = spark.range(5000).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    closed = chain.unionByName(spark.createDataFrame([(5000, 0)], "src long, dst long"))
+    branched = chain.unionByName(spark.createDataFrame([(4000, 100), (7, 9000), (9000, 3000)], "src long, dst long"))
+    for edges, answer in ((chain, True), (closed, False), (branched, False), (branched.filter("src <> 4000"), True), (chain.filter("src < 0"), True)):
+        made.clear()
+        assert g.is_acyclic(edges).first()[0] is answer
+        assert len(made) < 30
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    assert not g.is_acyclic(spark.createDataFrame([(1, 1)], "src long, dst long")).first()[0]

@@ -127,3 +127,19 @@ def test_sql_functions_agree_with_columns(spark):
 def test_infinite_double_is_text(spark):
     df = spark.createDataFrame([(math.inf,)], "x double")
     assert df.select(keys.key_token(keys.typed_key(F.col("x"), df.schema["x"].dataType))).collect()[0][0] == "str:Infinity"
+
+
+def test_sql_functions_agree_with_columns(spark):
+    register(spark)
+    texts = ["ref('a', 'B')", "source(\"x\", \"Y\")", "plain", 'Db."My.Schema".[Tab]', "a.b.c.d", "", None, "x'y", "`q`.z"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    both = df.select(F.expr("pl_relation(t)").alias("a"), scalars.parse_relation(F.col("t")).alias("b"), F.expr("pl_input_leaf(t)").alias("c"), scalars.input_leaf(F.col("t")).alias("d"),
+                     F.expr("pl_surrogate_key(array(t, 'k'))").alias("e"), scalars.surrogate_key([F.col("t"), F.lit("k")]).alias("f"),
+                     F.expr("pl_bucket(length(t), array(3, 6), array('low', 'mid'), 'high')").alias("g"), scalars.bucket(F.length("t"), [(3, "low"), (6, "mid")], "high").alias("h"),
+                     F.expr("pl_row_key(array(coalesce(t, 'n'), 'é'))").alias("i"), F.expr("concat(octet_length(coalesce(t, 'n')), ':', coalesce(t, 'n'), '2:é')").alias("j"))
+    for r in both.collect():
+        assert (r.a, r.c, r.e, r.g, r.i) == (r.b, r.d, r.f, r.h, r.j)
+    typed = spark.sql("select 1.50BD as a, 7 as b, 2.5D as c, true as d, 'x' as e, cast(null as int) as f, 100 as g, 10.00BD as h, -0.0D as i, double('nan') as j")
+    for name, kind in typed.dtypes:
+        row = typed.select(F.expr(f"pl_typed(cast({name} as variant))").alias("a"), keys.key_token(keys.typed_key(F.col(name), typed.schema[name].dataType)).alias("b")).first()
+        assert row.a.lower() == row.b.lower(), (name, kind, row)
