@@ -158,7 +158,7 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     fine = F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (F.size(F.coalesce(v, F.array())) > 0) & F.forall(
         v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     raw = vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("long").alias("_label"), v.cast("array<double>").alias("_v"), F.coalesce(fine, F.lit(False)).alias("_fine"))
-    hexed = lambda s: F.lpad(F.hex(F.xxhash64("_label", "_v", F.lit(s))), 16, "0")
+    hexed = lambda s: F.lpad(F.hex(F.xxhash64(F.lit(s), "_label", "_v")), 16, "0")
     node = F.when(F.col("_fine"), F.unhex(F.concat(hexed(1), hexed(2))))
     rows = raw.withColumn("_node", node)
     light = cut(rows.groupBy("_id", "_node").agg(F.count(F.lit(1)).alias("_copies")), "rows")

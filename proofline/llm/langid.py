@@ -7,6 +7,7 @@ calibration texts of like length is marked as rejected.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +19,10 @@ from ..session import cut
 from ._text import mix, on_batches, parts
 from .folds import fold
 
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+# letters are the Unicode categories L*; re's \w also takes numerals that are no decimal digits
+NUMERALS = "".join(c for c in map(chr, range(0x80, 0x20000)) if unicodedata.category(c) in ("No", "Nl"))
+NOT_LETTERS = re.compile(rf"[\W\d_{NUMERALS}]+")
+PART = 1 << 20  # characters that are scored at a time
 STEP = np.uint64(0x9E3779B97F4A7C55)
 UNKNOWN = "und"
 
@@ -61,9 +65,20 @@ class Model:
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log-likelihood of each text by language, and its number of letters and inner spaces."""
         codes, begins, sizes = characters(texts, self.order)
+        logs = np.zeros((len(texts), len(self.langs)))
+        for low in range(0, len(codes), PART):  # a long text is scored in parts that know the characters before them
+            high, before = min(low + PART, len(codes)), max(0, low - self.order + 1)
+            first, last = np.clip(begins, low, high), np.clip(begins + sizes, low, high)
+            here = np.flatnonzero(last > first)
+            if len(here):
+                sums = self._sums(codes[before:high], np.concatenate([np.arange(first[i], last[i]) for i in here]) - before)
+                logs[here] += sums[last[here] - before] - sums[first[here] - before]
+        return logs, sizes
+
+    def _sums(self, codes: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """Sums of the log-likelihoods of the characters at the places ``left``, up to each place."""
         hashes = grams(codes, self.order)
         total = np.zeros((len(codes), len(self.langs)), np.float32)
-        left = np.concatenate([np.arange(b, b + n) for b, n in zip(begins, sizes)]) if sizes.sum() else np.empty(0, np.int64)
         for n in range(self.order - 1, -1, -1):
             if not len(left):
                 break
@@ -74,8 +89,7 @@ class Model:
                 at, hit = _find(self.contexts[n], hashes[n - 1][left - 1])
                 total[left[hit]] += self.weights[n][at[hit]]
         total[left] += self.floor
-        ends = np.concatenate([np.zeros((1, len(self.langs))), np.cumsum(total, axis=0, dtype=np.float64)])
-        return ends[begins + sizes] - ends[begins], sizes
+        return np.concatenate([np.zeros((1, len(self.langs))), np.cumsum(total, axis=0, dtype=np.float64)])
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -259,7 +273,8 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     """One row per input row: ``doc_id``, ``lang_pred``, ``score``, ``cross_entropy`` (nats a character), ``rejected`` and the columns in ``keep``.
 
     A NULL text, or one without a letter, is ``und`` with score 0 and rejected; so is every text if there is no model. ``score`` is the
-    share of the best language in the likelihoods of up to 100 characters. Whole texts are scored; repeated rows and NULL ids stay.
+    share of the best language in the likelihoods of up to 100 characters. Whole texts are scored, long ones in parts; repeated rows and
+    NULL ids stay. An empty table gives no row. Columns in ``keep`` may have any name but those of the result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by the sample it was fitted on
 
@@ -280,10 +295,10 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
                     limit = known.cutoffs.get(langs[i])
                     bad[i] = bool(limit) and bits[i] > limit[min(int(sizes[i]).bit_length(), SIZES - 1)]
             yield pa.RecordBatch.from_arrays([
-                *[batch.column(f"_{c}") for c in ("id", *keep)], pa.array(langs, pa.string()), pa.array(scores), pa.array(bits, from_pandas=True),
+                *[batch.column(f"_keep{i}") for i in range(len(keep) + 1)], pa.array(langs, pa.string()), pa.array(scores), pa.array(bits, from_pandas=True),
                 pa.array(bad)], [id_col, *keep, "lang_pred", "score", "cross_entropy", "rejected"])
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    rows = docs.select(F.col(id_col).alias("_id"), *[F.col(c).alias(f"_{c}") for c in keep if f"_{c}" not in ("_id", "_text")], F.col(text_col).alias("_text"))
+    rows = docs.select(*[F.col(c).alias(f"_keep{i}") for i, c in enumerate((id_col, *keep))], F.col(text_col).alias("_text"))
     columns = ", ".join(f"`{c}` {kinds[c]}" for c in (id_col, *keep))
     return on_batches(rows, run, f"{columns}, lang_pred string, score double, cross_entropy double, rejected boolean")
 

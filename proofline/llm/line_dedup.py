@@ -46,7 +46,7 @@ def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     lines = _rows(docs, id_col, text_col).select("_id", "_sha", F.posexplode(F.split("_text", "\n")).alias("_pos", "_line"))
     lines = lines.withColumn("_k", line_key(F.col("_line"))).filter(F.length("_k") >= min_chars)
-    hashed = lines.select(F.xxhash64("_k").alias("_h1"), F.xxhash64("_k", F.lit(1)).alias("_h2"), "_id", F.unhex("_sha").alias("_sha"), "_pos")
+    hashed = lines.select(F.xxhash64("_k").alias("_h1"), F.xxhash64(F.lit(1), "_k").alias("_h2"), "_id", F.unhex("_sha").alias("_sha"), "_pos")
     order = ("_h1", "_h2", "_id", "_sha", "_pos")
     lines = cut(hashed.repartitionByRange(*order).sortWithinPartitions(*order), "lines")
 
