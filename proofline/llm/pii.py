@@ -20,11 +20,16 @@ SOUNDS = {"latin": ("bdfgklmnprstvz", "aeiou", "n", "a"), "cyrillic": ("бвгд
           "greek": ("βγδζκλμνπρστ", "αεηιου", "ς", "α")}
 
 TITLE = "(?:" + "|".join(FEMALE + MALE + NEUTRAL) + r")\.?"
-NAME = r"\p{Lu}[\p{Ll}]+(?:[-'’]\p{Lu}\p{Ll}+)?"
+NAME = r"(?:\p{Lu}\p{Ll}+(?:\p{Lu}\p{Ll}+)?(?:[-'’]\p{Lu}\p{Ll}+)?|\p{Lu}{2,}+(?:[-'’]\p{Lu}{2,}+)?)"
+BEARER = "(?i:bearer) {1,3}"
+PREFIX = rf"^(?:{SECRETS}\s*[=:]\s*[\"']?|{BEARER})"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 WORD_FORMS = "|".join([
-    r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,8}",
-    SECRETS + r"\s{0,3}[=:]\s{0,3}[\"']?(?=[^\s\"',;\p{L}\p{N}]*+[\p{L}\p{N}])[^\s\"',;]{6,}+",
+    r"[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}+@[\p{L}\p{N}-]{1,63}+(?:\.[\p{L}\p{N}-]{1,63}+)++",
+    SECRETS + r"\s{0,3}[=:]\s{0,3}(?:\"(?=[^\"\n]*[\p{L}\p{N}])[^\"\n]{6,}+\"|'(?=[^'\n]*[\p{L}\p{N}])[^'\n]{6,}+'"
+    r"|[\"']?(?=[^\s\"',;\p{L}\p{N}]*+[\p{L}\p{N}])[^\s\"',;]{6,}+)",
+    BEARER + r"(?=[A-Za-z._~+/-]*+[0-9])[A-Za-z0-9._~+/-]{16,}+=*+",
+    r"gh[opsu]_[A-Za-z0-9]{20,}+",
     r"(?:AKIA|ASIA)[A-Z0-9]{12,20}(?![\p{L}\p{N}])",
     r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     rf"(?:{OCTET}\.){{3}}{OCTET}(?!\.?[0-9])(?![\p{{L}}])",
@@ -35,7 +40,7 @@ WORD_FORMS = "|".join([
 ENTITY = (rf"(?<![\p{{L}}\p{{N}}_@.+-])(?:{WORD_FORMS})"
           r"|(?<![\p{L}\p{N}_+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![\p{L}\p{N}])"
           r"|(?<![\p{L}\p{N}_+])\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![\p{L}\p{N}])")
-GATE = rf"[0-9@]|AKIA|ASIA|{SECRETS}\s{{0,3}}[=:]|(?<![\p{{L}}\p{{N}}]){TITLE} \p{{Lu}}"
+GATE = rf"[0-9@]|AKIA|ASIA|gh[opsu]_|{SECRETS}\s{{0,3}}[=:]|(?<![\p{{L}}\p{{N}}]){TITLE} \p{{Lu}}"
 UNIT = "array<struct<kind:string,canon:string>>"
 
 
@@ -54,7 +59,7 @@ def _luhn(digits: Column) -> Column:
 
 def kind_of(m: Column, digits: Column) -> Column:
     """The type of a mention with the given digits; NULL for a long number that is no card number."""
-    return (F.when(m.rlike(f"^{SECRETS}\\s*[=:]"), "secret").when(m.contains("@"), "email").when(m.rlike("^(AKIA|ASIA)[A-Z0-9]"), "key")
+    return (F.when(m.rlike(PREFIX), "secret").when(m.contains("@"), "email").when(m.rlike("^((AKIA|ASIA)[A-Z0-9]|gh[opsu]_)"), "key")
             .when(m.rlike(rf"^{TITLE} \p{{Lu}}"), "name").when(m.rlike("^[A-Z]{2}[0-9]"), "iban").when(m.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), "ip")
             .when(m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn").when(m.rlike("^[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}$") | m.rlike(r"^[+(]"), "phone")
             .when(F.length(digits).between(13, 19) & (F.pmod(_luhn(digits), F.lit(10)) == 0), "card"))
@@ -84,7 +89,7 @@ def mentions(text: Column) -> Column:
         parts = F.transform(x["names"], lambda n, i: F.struct(
             F.when((i == 0) & (F.size(x["names"]) > 1), F.concat(F.lit("given_"), x["sex"])).otherwise(F.lit("family")).alias("kind"), F.lower(n).alias("canon")))
         canon = (F.when(kind.isin("card", "ssn"), x["d"]).when(kind == "phone", F.right(x["d"], F.lit(10))).when(kind == "email", F.lower(m))
-                 .when(kind == "secret", F.regexp_replace(m, f"^{SECRETS}\\s*[=:]\\s*[\"']?", "")).when(kind == "iban", F.replace(m, F.lit(" "), F.lit("")))
+                 .when(kind == "secret", F.regexp_replace(m, PREFIX, "")).when(kind == "iban", F.replace(m, F.lit(" "), F.lit("")))
                  .otherwise(m))
         return F.when(kind == "name", parts).when(kind.isNotNull(), F.array(F.struct(kind.alias("kind"), canon.alias("canon")))).otherwise(F.array().cast(UNIT))
     return F.transform(found, lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), units(x).alias("units")))
@@ -132,7 +137,7 @@ def surrogate(kind: Column, canon: Column, s: Column) -> Column:
     check = F.pmod(10 - F.pmod(_luhn(F.concat(card, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")
     phone = F.when(F.length(canon) == 10, F.concat(_pick("23456789", _byte(s, F.lit(40))), _like(F.substr(canon, F.lit(2), F.length(canon)), s))).otherwise(_like(canon, s))
     hexed = F.array_join(F.transform(F.split(canon, ""), lambda c, i: F.when(c == "", c).otherwise(F.substr(s, F.pmod(i, F.lit(128)) + 1, F.lit(1)))), "")
-    secret = F.when(canon.rlike("^[0-9a-f]+$"), hexed).otherwise(_like(canon, s))
+    secret = F.when(canon.rlike("^(?=.*[a-f])(?=.*[0-9])[0-9a-f]+$"), hexed).otherwise(_like(canon, s))
     return (F.when(kind == "email", email).when(kind == "ip", F.concat_ws(".", *octet)).when(kind == "card", F.concat(card, check)).when(kind == "phone", phone)
             .when(kind == "ssn", _like(canon, s)).when(kind == "secret", secret).when(kind == "key", F.concat(F.left(canon, F.lit(4)), _like(F.substr(canon, F.lit(5), F.length(canon)), s)))
             .when(kind == "iban", F.concat(F.left(canon, F.lit(2)), _like(F.substr(canon, F.lit(3), F.length(canon)), s))).otherwise(_made_up(s, canon, kind)))
@@ -159,9 +164,10 @@ def replacements(found: Column, attempts: Column | None, key: str) -> Column:
     def shown(x):
         m, kind, one = x["m"], x["kind"], F.try_element_at(x["made"], F.lit(1))
         names = F.array_join(F.transform(x["made"], lambda n: F.concat(F.upper(F.left(n, F.lit(1))), F.substr(n, F.lit(2), F.length(n)))), " ")
-        return (F.when(kind.isNull(), m).when(kind == "name", F.concat(F.regexp_extract(m, rf"^{TITLE} ", 0), names))
+        loud = F.regexp_replace(m, rf"^{TITLE} ", "").rlike(r"^[^\p{Ll}]+$")  # written in capitals
+        return (F.when(kind.isNull(), m).when(kind == "name", F.concat(F.regexp_extract(m, rf"^{TITLE} ", 0), F.when(loud, F.upper(names)).otherwise(names)))
                 .when(kind.isin("card", "ssn", "phone"), _poured(m, one, "0-9")).when(kind == "iban", _poured(m, one, "A-Z0-9"))
-                .when(kind == "secret", F.concat(F.regexp_extract(m, f"^{SECRETS}\\s*[=:]\\s*[\"']?", 0), one)).otherwise(one))
+                .when(kind == "secret", F.concat(F.regexp_extract(m, PREFIX, 0), one)).otherwise(one))
     return F.transform(F.transform(found, lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), drawn(x).alias("made"))), shown)
 
 

@@ -159,6 +159,48 @@ def test_credentials_go_whole(spark):
     assert got[3].text.startswith("pwd=") and got[3].text.endswith(";next") and "xxx" not in got[3].text[4:40]
 
 
+@pytest.mark.parametrize("text, gone, left", [
+    ("Mail müller@beispiel.de now", "müller", "Mail  now"), ("anna@bücher.de", "bücher", ""), ("a@b.c.d.e.f.g.h.i.j.k.example.com.", ".k.example.com", "."),
+    ('token="abc def ghi" x', "def", 'token="  " x'), ("Authorization: Bearer abcdefgh12345678ijkl done", "abcdefgh", "Authorization: Bearer  done"),
+    ("ghp_abcdefghij0123456789KLMN!", "abcdefghij", "!"), ("Mr. SMITH left", "SMITH", "Mr.  left"), ("Mr McDonald left", "McDonald", "Mr  left")])
+def test_entities_that_are_easily_missed(spark, text, gone, left):
+    got = pii_surrogates(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").first()
+    assert got.n_entities == 1 and gone not in got.text
+    for part in left.split("  "):
+        assert part in got.text
+
+
+def test_formats_of_numbers_and_capitals(spark):
+    docs = spark.createDataFrame([(1, "password=12345678"), (2, "Mrs. SMITH"), (3, "bearer certificates-of-deposit are 12"), (4, "pwd=deadbeef99")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii_surrogates(docs, "k").collect()}
+    assert got[1][9:].isdigit() and got[1] != "password=12345678" and got[2][5:].isupper() and got[3].startswith("bearer certificates-of-deposit")
+    assert set(got[4][4:]) <= set("0123456789abcdef")
+
+
+@pytest.mark.parametrize("text", ["² ½ ①", "Ⅷ ⅻ", "१२३", "_ - 12"])
+def test_numerals_are_no_language(spark, text):
+    docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate([("the cat sat on the mat", "en"), ("der hund lief in den wald", "de")] * 30)], "doc_id long, text string, lang string")
+    out = langid.identify(spark.createDataFrame([("A7", text), ("B1", "the mat")], "id string, text string"), langid.fit(docs), id_col="id", keep=("text",)).collect()
+    assert [(r.id, r.text, r.lang_pred, r.score if r.id == "A7" else 0) for r in sorted(out)] == [("A7", text, "und", 0.0), ("B1", "the mat", "en", 0)]
+
+
+def test_long_texts_are_scored_in_parts(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate([("the cat sat on the mat", "en"), ("der hund lief in den wald", "de")] * 30)], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    texts = ["", "the cat " * 500, "x", "der wald lief " * 333, "!!"]
+    whole = model.score(texts)
+    for size in (7, 64, 1000):
+        monkeypatch.setattr(langid, "PART", size)
+        logs, sizes = model.score(texts)
+        assert (sizes == whole[1]).all() and np.allclose(logs, whole[0], rtol=1e-5, atol=1e-3)
+
+
+def test_a_very_long_text(spark):
+    docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate([("the cat sat on the mat", "en"), ("der hund lief in den wald", "de")] * 30)], "doc_id long, text string, lang string")
+    logs, sizes = langid.fit(docs).score(["the cat sat on the mat " * 870_000])
+    assert sizes[0] > 20_000_000 and logs[0].argmax() == 1
+
+
 def test_pii_surrogates_stay_distinct(spark):
     # 2000 of the 10^7 numbers with a fixed area: first draws collide with each other or with real ones now and then
     docs = spark.createDataFrame([(i, f"Dr. {'Q' + chr(97 + i % 26)} call 200-{i // 100:03d}-{i:04d} or 10.0.{i // 250}.{i % 250 + 1}") for i in range(2000)], "doc_id long, text string")
