@@ -7,9 +7,8 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import cut
 from .contracts import constraint_support
-from .diff import TableDiff, diff_counts, diff_tables
+from .diff import TableDiff, diff_counts, diff_tables, is_wide, row_digest
 from .joins import anti_join
 
 SEVERITIES = ("error", "warn")
@@ -31,7 +30,7 @@ class DataTest:
     severity: str = "error"
     enabled: bool = True
     name: str = ""
-    wide: bool = False  # the key is long text: compare hashes first and move only the rows whose hash repeats
+    wide: bool = False  # kept for callers; keys of types that may be long are told by their type
 
     def label(self) -> str:
         return self.name or "_".join([self.kind, *self.columns])
@@ -142,14 +141,13 @@ def _duplicates(df: DataFrame, test: DataTest) -> DataFrame:
     repeated = F.col("n_rows") > 1
     if test.kind == "primary_key":
         repeated = repeated | any_null
-    if test.wide:
-        hashed = grouped.withColumn("_h", F.xxhash64(*test.columns))
-        suspects = cut(hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_h"))
-        keep = hashed.join(suspects, "_h", "left_semi")
-        if test.kind == "primary_key":
-            keep = keep.unionByName(hashed.filter(any_null).join(suspects, "_h", "left_anti"))
-        grouped = keep.drop("_h")
-    return grouped.groupBy(*test.columns).agg(F.count(F.lit(1)).alias("n_rows")).filter(repeated)
+    keys = [F.col(c) for c in test.columns]
+    if not any(is_wide(df, k) for k in keys):
+        return grouped.groupBy(*test.columns).agg(F.count(F.lit(1)).alias("n_rows")).filter(repeated)
+    # rows meet on a digest, so that a long text travels only where the failing rows themselves are asked for
+    found = grouped.withColumn("_digest", row_digest(df, keys)).groupBy("_digest").agg(
+        F.count(F.lit(1)).alias("n_rows"), *[F.first(c).alias(c) for c in test.columns])
+    return found.filter(repeated).select(*test.columns, "n_rows")
 
 
 def _failures(df: DataFrame, test: DataTest, tables: Mapping[str, DataFrame]) -> DataFrame:

@@ -74,8 +74,8 @@ def _key_columns(old: DataFrame, new: DataFrame, columns: Sequence[str], typing:
             left.append(plain), right.append(plain)
         else:
             left.append(canonical_old[i]), right.append(canonical_new[i])
-    if any(df.select(k.alias("k")).schema["k"].dataType.simpleString() not in NARROW for df, side in ((old, left), (new, right)) for k in side):
-        return [_digest(old, left)], [_digest(new, right)]
+    if any(is_wide(df, k) for df, side in ((old, left), (new, right)) for k in side):
+        return [row_digest(old, left)], [row_digest(new, right)]
     return left, right
 
 
@@ -83,7 +83,13 @@ def _key_columns(old: DataFrame, new: DataFrame, columns: Sequence[str], typing:
 NARROW = ("boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz")
 
 
-def _digest(df: DataFrame, keys: Sequence[Column]) -> Column:
+def is_wide(df: DataFrame, key: Column) -> bool:
+    """Whether values of the key's type may be long."""
+    kind = df.select(key.alias("k")).schema["k"].dataType
+    return not isinstance(kind, T.DecimalType) and kind.simpleString() not in NARROW
+
+
+def row_digest(df: DataFrame, keys: Sequence[Column]) -> Column:
     """SHA-256 over the key parts, each with its length before it, so that distinct rows have distinct digests."""
     def text(key: Column) -> Column:
         kind = df.select(key.alias("k")).schema["k"].dataType
@@ -93,6 +99,10 @@ def _digest(df: DataFrame, keys: Sequence[Column]) -> Column:
             return F.unix_micros(key).cast("string")
         if isinstance(kind, T.BinaryType):
             return F.hex(key)
+        if isinstance(kind, (T.FloatType, T.DoubleType)):
+            return (key + F.lit(0.0).cast(kind)).cast("string")  # one zero
+        if isinstance(kind, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+            return F.to_json(key)
         return key.cast("string")
     parts = [F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in map(text, keys)]
     return F.unhex(F.sha2(F.concat(*parts), 256))

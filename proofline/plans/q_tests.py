@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import data_tests as dt
 from ..session import scratch_path
 from .base import TABLES, query, table
@@ -116,3 +118,37 @@ def _(spark, sf):
     tests = suite()
     tables = {t: table(spark, sf, t) for t in (*tests, "part", "customer")}
     return dt.run_suite(tables, tests).drop("kind")
+
+
+@query("q14_composite_keys", """
+    with lines as (select l_orderkey, case when l_linenumber = 7 then null else l_linenumber end as l_linenumber, l_partkey, l_suppkey from lineitem),
+    parts as (select distinct l_partkey as pk, l_suppkey as sk from lineitem where l_quantity > 25)
+    select 'constraint_foreign_key_l_partkey_l_suppkey' as test, (select count(*) from lines where (l_partkey, l_suppkey) not in (select pk, sk from parts)) as failures
+    union all select 'constraint_not_null_l_orderkey', 0 union all select 'constraint_not_null_l_linenumber', (select count(*) from lines where l_linenumber is null)
+    union all select 'constraint_unique_l_orderkey_l_linenumber', (select count(*) from (select 1 from lines where l_linenumber is not null group by l_orderkey, l_linenumber having count(*) > 1))""")
+def _(spark, sf):
+    lines = table(spark, sf, "lineitem").select("l_orderkey", F.when(F.col("l_linenumber") != 7, F.col("l_linenumber")).alias("l_linenumber"), "l_partkey", "l_suppkey")
+    parts = table(spark, sf, "lineitem").filter("l_quantity > 25").select(F.col("l_partkey").alias("pk"), F.col("l_suppkey").alias("sk")).distinct()
+    declared = {"lines": [dt.Constraint("foreign_key", ("l_partkey", "l_suppkey"), to="parts", to_columns=("pk", "sk")),
+                          dt.Constraint("not_null", ("l_orderkey", "l_linenumber")), dt.Constraint("unique", ("l_orderkey", "l_linenumber"))]}
+    return dt.verify_constraints({"lines": lines, "parts": parts}, declared, "databricks").select("test", "failures")
+
+
+@query("q15_long_keys", """
+    with t as (select text from documents where text is not null group by text having count(*) > 1)
+    select 'documents' as "table", 'unique_text' as test, (select count(*) from t) as failures
+    union all select 'documents', 'unique_combination_text_lang', (select count(*) from (select 1 from documents group by text, lang having count(*) > 1))
+    union all select 'orders', 'unique_o_orderkey', 0""")
+def _(spark, sf):
+    tables = {t: table(spark, sf, t) for t in ("documents", "orders")}
+    found = dt.run_suite(tables, {"documents": [dt.unique("text"), dt.unique_combination(["text", "lang"])], "orders": [dt.unique("o_orderkey")]})
+    return found.select("table", "test", "failures")
+
+
+@query("f2_suite", """
+    select 'orders' as "table", 'not_null_o_custkey' as test, 'pass' as status, 0::bigint as failures
+    union all select 'orders', 'accepted_range_o_totalprice', 'warn', count(*) from orders where o_totalprice > 400000
+    union all select 'customer', 'primary_key_c_custkey', 'pass', 0""")
+def _(spark, sf):
+    checks = dt.Suite({"orders": [dt.not_null("o_custkey"), dt.accepted_range("o_totalprice", 0, 400000, severity="warn")], "customer": [dt.primary_key(["c_custkey"])]})
+    return checks.run({t: table(spark, sf, t) for t in ("orders", "customer")}).select("table", "test", "status", "failures")

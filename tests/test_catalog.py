@@ -1,4 +1,6 @@
+import csv
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -20,6 +22,30 @@ def test_seed_csv(spark, tmp_path, rows):
     assert read_seed_csv(spark, str(tmp_path / "h.csv"), ";").count() == 0
 
 
+@pytest.mark.parametrize("size", [40, 500, 1 << 20])
+def test_seed_csv_by_byte_ranges(spark, tmp_path, rows, size):
+    """Fields with line ends, quotes and delimiters that fall anywhere on the borders of the ranges, in two files."""
+    rng, want = random.Random(size), []
+    for part in range(2):
+        with open(tmp_path / f"{part}.csv", "w", newline="") as out:
+            write = csv.writer(out, lineterminator="\n" if part else "\r\n")
+            write.writerow(["id", "no te", "x`y"])
+            for i in range(300):
+                row = [f"{part}-{i}", "".join(rng.choices(["a", "b c", ",", '"', "\n", "\n\n", "é", "line"], k=rng.randint(1, 12))), rng.choice(["1", "", "two"])]
+                write.writerow(row[:rng.choice([2, 3, 3, 3])] + rng.choice([[], [], ["more"]]) if i % 7 == 0 else row)
+        with open(tmp_path / f"{part}.csv", newline="") as back:
+            want += [tuple((r + [None] * 3)[:3]) for r in list(csv.reader(back))[1:]]
+    want = sorted((a, b, c or None) for a, b, c in want)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    try:
+        found = read_seed_csv(spark, str(tmp_path))
+        assert found.columns == ["id", "no te", "x`y"]
+        assert sorted(tuple(r) for r in found.collect()) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_fixture_tables(spark):
     t = fixture_table(spark, [{"a": 1, "b": "1"}, {"b": None, "c": [1, {"x": 2}]}, {"a": 1.50, "c": True}])
     got = [tuple(r) for r in t.orderBy("ordinal").select(*[F.concat_ws(":", f"{c}.key.t", f"{c}.key.v") for c in ("a", "b", "c")]).collect()]
