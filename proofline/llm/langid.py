@@ -20,8 +20,10 @@ from ._text import mix, on_batches, parts
 from .folds import fold
 
 # letters are the Unicode categories L*; re's \w also takes numerals that are no decimal digits
-NUMERALS = "".join(c for c in map(chr, range(0x80, 0x20000)) if unicodedata.category(c) in ("No", "Nl"))
-NOT_LETTERS = re.compile(rf"[\W\d_{NUMERALS}]+")
+NOT_LETTERS = re.compile(r"[\W\d_]+")
+NUMERALS = [c for c in map(chr, range(0x80, 0x20000)) if unicodedata.category(c) in ("No", "Nl")]
+NUMERAL = re.compile("[" + "".join(c for c in NUMERALS if c < "\U00010000") + "]")  # one plane makes a fast class
+HIGH, HIGH_NUMERAL = re.compile("[\U00010000-\U0010ffff]"), re.compile("[" + "".join(c for c in NUMERALS if c >= "\U00010000") + "]")
 PART = 1 << 20  # characters that are scored at a time
 STEP = np.uint64(0x9E3779B97F4A7C55)
 UNKNOWN = "und"
@@ -30,7 +32,9 @@ UNKNOWN = "und"
 def characters(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Code points of the lower-cased texts with one space for each run of other characters, laid end to end; where each
     text's own characters begin, and how many letters and inner spaces it has. ``order - 1`` spaces stand before each text."""
-    clean = [NOT_LETTERS.sub(" ", t.lower()).strip(" ") for t in texts]
+    plain = [t if t.isascii() or not NUMERAL.search(t) else NUMERAL.sub(" ", t) for t in texts]
+    plain = [t if t.isascii() or not HIGH.search(t) else HIGH_NUMERAL.sub(" ", t) for t in plain]
+    clean = [NOT_LETTERS.sub(" ", t.lower()).strip(" ") for t in plain]
     pad = " " * (order - 1)
     codes = np.frombuffer((pad + pad.join([c + " " for c in clean])).encode("utf-32-le", "replace"), "<u4")
     sizes = np.array([len(c) + 1 for c in clean], np.int64)  # with the space after the last word
