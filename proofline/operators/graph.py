@@ -236,23 +236,24 @@ def contract_chains(edges: DataFrame) -> DataFrame | None:
     """One edge in place of every run of nodes that have one edge in and one out; None where such a run closes on itself.
 
     Each node of a run points at its successor and then, round by round, at what that points at, so a run of n nodes takes about
-    log2(n) rounds.
+    log2(n) rounds. Its joins are merged: the files of a run are so small that each round would broadcast them through the driver.
     """
     alone = lambda end: edges.groupBy(F.col(end).alias("node")).agg(F.count(F.lit(1)).alias("_n")).filter("_n = 1").select("node")
-    inner = cut(alone("src").join(alone("dst"), "node"), "inner")
+    inner = cut(alone("src").join(alone("dst").hint("merge"), "node"), "inner")
     size = inner.count()
     if not size:
         return edges
-    flagged = inner.select(F.col("node").alias("to"), F.lit(True).alias("on"))
+    inner = inner.hint("merge")
+    flagged = inner.select(F.col("node").alias("to"), F.lit(True).alias("on")).hint("merge")
     first = edges.join(inner, F.col("src") == F.col("node"), "left_semi").select(F.col("src").alias("node"), F.col("dst").alias("to"))
     points = cut(first.join(flagged, "to", "left").select("node", "to", F.coalesce("on", F.lit(False)).alias("on")), "points")
     for _ in range(size.bit_length() + 1):
         if points.filter("on").isEmpty():
             heads = edges.join(inner, F.col("src") == F.col("node"), "left_anti")
             ends = points.select("node", "to")
-            return heads.join(ends, F.col("dst") == F.col("node"), "left").select("src", F.coalesce("to", "dst").alias("dst")).distinct()
+            return heads.join(ends.hint("merge"), F.col("dst") == F.col("node"), "left").select("src", F.coalesce("to", "dst").alias("dst")).distinct()
         ahead = points.select(F.col("node").alias("to"), F.col("to").alias("_to"), F.col("on").alias("_on"))
-        moved = points.filter("on").join(ahead, "to").select("node", F.col("_to").alias("to"), F.col("_on").alias("on"))
+        moved = points.filter("on").join(ahead.hint("merge"), "to").select("node", F.col("_to").alias("to"), F.col("_on").alias("on"))
         points = cut(points.filter("not on").unionByName(moved), "points")
     return None
 
@@ -263,7 +264,7 @@ def is_acyclic(edges: DataFrame) -> DataFrame:
     left = cut(edges.select("src", "dst").distinct(), "edges")
     size = left.count()
     while size and left.filter("src = dst").isEmpty():
-        ends = lambda own, other: left.select(F.col(own).alias(other)).distinct()
+        ends = lambda own, other: left.select(F.col(own).alias(other)).distinct().hint("merge")
         peeled = cut(left.join(ends("dst", "src"), "src", "left_semi").join(ends("src", "dst"), "dst", "left_semi").select("src", "dst"), "edges")
         now = peeled.count()
         if now == size:

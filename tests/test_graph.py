@@ -130,3 +130,11 @@ def test_long_chains_take_few_rounds(spark, monkeypatch):
         assert len(made) < 30
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
     assert not g.is_acyclic(spark.createDataFrame([(1, 1)], "src long, dst long")).first()[0]
+
+
+def test_contracting_chains_broadcasts_nothing(spark, monkeypatch, capsys):
+    made = []
+    monkeypatch.setattr(g, "cut", lambda df, label="": df.explain() or made.append(label) or cut(df, label))
+    chain = spark.range(300).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert g.is_acyclic(chain).first()[0] is True
+    assert made.count("points") > 3 and "Broadcast" not in capsys.readouterr().out
