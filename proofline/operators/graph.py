@@ -37,6 +37,14 @@ def _directed(edges: DataFrame, direction: str) -> DataFrame:
 
 
 HUB = 100_000  # edges of one node that are kept together
+BUCKET = 250_000  # rows that make a bucket worth a task of its own
+SLOTS = 1 << 16
+
+
+def _buckets(df: DataFrame, rows: int) -> int:
+    """Buckets for so many rows: no more than there are shuffle partitions, and few for a small graph, whose rounds would else open
+    a file per bucket, layer and round."""
+    return min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), max(8, -(-rows // BUCKET)))
 
 
 class Steps:
@@ -48,16 +56,23 @@ class Steps:
 
     def __init__(self, edges: DataFrame, direction: str = "down", hub: int | None = None):
         hub = hub or HUB
-        plain = cut(_directed(edges, direction).distinct(), "edges")
-        hubs = cut(plain.groupBy("src").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hub).select(
+        plain = cut(_directed(edges, direction), "edges")
+        # hubs are counted among the rows of slots that hold enough for one, so that the other nodes are not grouped by name
+        slot = F.pmod(F.xxhash64("src"), F.lit(SLOTS)).cast("int")
+        slots = cut(plain.groupBy(slot.alias("_slot")).agg(F.count(F.lit(1)).alias("_n")), "slots")
+        full = slots.filter(F.col("_n") > hub).select("_slot")
+        few = plain.withColumn("_slot", slot).join(F.broadcast(full), "_slot", "left_semi")
+        hubs = cut(few.groupBy("src").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hub).select(
             F.col("src").alias("_hub"), F.ceil(F.col("_n") / hub).cast("int").alias("_parts")), "hubs")
         self.hubs = None if hubs.isEmpty() else hubs
+        self.buckets = _buckets(plain, slots.agg(F.sum("_n")).first()[0] or 0)
         own, ahead = F.lit(0), F.lit(1)
         if self.hubs:
             plain = plain.join(hubs, F.col("src") == F.col("_hub"), "left").withColumn("_own", F.coalesce("_parts", F.lit(1))).drop("_hub", "_parts")
             plain = plain.join(hubs, F.col("dst") == F.col("_hub"), "left")
             own, ahead = F.pmod(F.xxhash64("dst"), F.col("_own")).cast("int"), F.coalesce("_parts", F.lit(1))
-        self.table = bucketed(plain.select("src", "dst", own.alias("_part"), ahead.alias("_ahead")), "src", "_part")
+        dealt = plain.select("src", "dst", own.alias("_part"), ahead.alias("_ahead")).repartition(self.buckets, "src", "_part")
+        self.table = bucketed(dealt.distinct(), "src", "_part", n=self.buckets, sort=False)
 
     def start(self, nodes: DataFrame) -> DataFrame:
         """Nodes with the number of parts their edges lie in, ``_ahead``."""
@@ -65,10 +80,13 @@ class Steps:
             return nodes.withColumn("_ahead", F.lit(1))
         return nodes.join(self.hubs, F.col("node") == F.col("_hub"), "left").withColumn("_ahead", F.coalesce("_parts", F.lit(1))).drop("_hub", "_parts")
 
-    def follow(self, nodes: DataFrame, *carry: str) -> DataFrame:
-        """The nodes one edge away from ``nodes`` (with ``_ahead``), as ``node`` and ``_ahead``, with the columns to carry."""
+    def follow(self, nodes: DataFrame, *carry: str, light: bool = False) -> DataFrame:
+        """The nodes one edge away from ``nodes`` (with ``_ahead``), as ``node`` and ``_ahead``, with the columns to carry.
+
+        Nodes that are light, few to a bucket, are hashed, and the edges stream by unsorted.
+        """
         asked = nodes.withColumnRenamed("node", "_from").withColumn("_ask", F.explode(F.sequence(F.lit(0), F.col("_ahead") - 1))).drop("_ahead")
-        met = asked.join(self.table, (F.col("_from") == F.col("src")) & (F.col("_ask") == F.col("_part")))
+        met = (asked.hint("shuffle_hash") if light else asked).join(self.table, (F.col("_from") == F.col("src")) & (F.col("_ask") == F.col("_part")))
         return met.select(F.col("dst").alias("node"), "_ahead", *carry)
 
 
@@ -77,24 +95,31 @@ def closure(edges: DataFrame, seeds: DataFrame, direction: str = "down", max_dep
     """Nodes reachable from the seeds (``node`` plus ``carry``), seeds at depth 0; cycles end by themselves.
 
     Each round joins only the nodes found in the round before. Edges and the nodes seen so far lie in buckets, so a round
-    exchanges its own finds alone. ``carry`` columns travel with the node, so that many sources are followed in one pass.
+    exchanges its own finds alone, and meets all layers of the nodes seen in one join. ``carry`` columns travel with the node, so
+    that many sources are followed in one pass; pairs that outgrow their buckets are dealt into more.
     """
     steps, key = Steps(edges, direction), ["node", *carry]
-    frontier = bucketed(steps.start(seeds.select(*key).dropna(subset=["node"]).distinct()).withColumn("depth", F.lit(0)), *key)
-    seen, out, depth = [frontier], frontier, 0
-    while (max_depth is None or depth < max_depth) and not frontier.isEmpty():
+    kept = lambda df, n: bucketed(df.repartition(n, *key), *key, n=n, sort=False)
+    n = steps.buckets
+    frontier = kept(steps.start(seeds.select(*key).dropna(subset=["node"]).distinct()).withColumn("depth", F.lit(0)), n)
+    layers, depth, size = [frontier], 0, frontier.count()
+    total = size
+    while (max_depth is None or depth < max_depth) and size:
         depth += 1
-        found = steps.follow(frontier.drop("depth"), *carry).groupBy(*key).agg(F.max("_ahead").alias("_ahead"))
-        for part in seen:
-            known = part.select(*[F.col(k).alias(f"_seen{i}") for i, k in enumerate(key)])
-            found = found.join(known, all_of([same(F.col(k), F.col(f"_seen{i}")) if i else F.col(k) == F.col("_seen0") for i, k in enumerate(key)]), "left_anti")
-        frontier = bucketed(found.withColumn("depth", F.lit(depth)), *key)
-        seen.append(frontier)
-        out = out.unionByName(frontier)
-        if len(seen) > COMPACT_EVERY:
-            seen = [bucketed(out, *key)]
-            out = seen[0]
-    return out.drop("_ahead")
+        found = steps.follow(frontier.drop("depth"), *carry, light=_light(size, steps.buckets, carry)).repartition(n, *key).groupBy(*key).agg(
+            F.max("_ahead").alias("_ahead"))
+        known = _union(layers).select(*[F.col(k).alias(f"_seen{i}") for i, k in enumerate(key)], F.lit(True).alias("_old")).hint("merge")
+        meets = all_of([same(F.col(k), F.col(f"_seen{i}")) if i else F.col(k) == F.col("_seen0") for i, k in enumerate(key)])
+        found = found.join(known, meets, "left").filter("_old IS NULL").select(*key, "_ahead")  # an anti join would be pushed below the edges' join
+        frontier = bucketed(found.withColumn("depth", F.lit(depth)), *key, n=n, sort=False)
+        layers.append(frontier)
+        size = frontier.count()
+        total += size
+        wanted = max(n, _buckets(edges, total))
+        if len(layers) > COMPACT_EVERY or wanted > 2 * n:
+            n = wanted
+            layers = [kept(_union(layers), n)]
+    return _union(layers).drop("_ahead")
 
 
 def seed_extremes(edges: DataFrame, seeds: DataFrame, direction: str = "down") -> DataFrame:
@@ -104,30 +129,39 @@ def seed_extremes(edges: DataFrame, seeds: DataFrame, direction: str = "down") -
     are never listed.
     """
     steps = Steps(edges, direction)
+    n = steps.buckets
     start = seeds.select("node").dropna().distinct().select("node", F.col("node").alias("lo"), F.col("node").alias("hi"))
-    changed = bucketed(steps.start(start), "node")
-    layers = [changed]
-    while not changed.isEmpty():
-        offered = steps.follow(changed, "lo", "hi").groupBy("node").agg(
-            F.max("_ahead").alias("_ahead"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).withColumn("_news", F.lit(True))
-        for layer in layers:  # later layers hold better labels, so what is no news to one of them is none
-            known = layer.select(F.col("node").alias("_known"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
-            joined = offered.join(known, F.col("node") == F.col("_known"), "left")
-            lo, hi = F.least("lo", "_lo"), F.greatest("hi", "_hi")
-            told = F.coalesce((lo == F.col("_lo")) & (hi == F.col("_hi")), F.lit(False))
-            offered = joined.select("node", "_ahead", lo.alias("lo"), hi.alias("hi"), (F.col("_news") & ~told).alias("_news"))
-        changed = bucketed(offered.filter("_news").drop("_news"), "node")
+    changed = bucketed(steps.start(start).repartition(n, "node"), "node", n=n, sort=False)
+    layers, size = [changed], changed.count()
+    while size:
+        offered = steps.follow(changed, "lo", "hi", light=_light(size, n)).repartition(n, "node").groupBy("node").agg(
+            F.max("_ahead").alias("_ahead"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        known = _merged(layers).select(F.col("node").alias("_known"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi")).hint("merge")
+        joined = offered.join(known, F.col("node") == F.col("_known"), "left")
+        lo, hi = F.least("lo", "_lo"), F.greatest("hi", "_hi")
+        told = F.coalesce((lo == F.col("_lo")) & (hi == F.col("_hi")), F.lit(False))
+        changed = bucketed(joined.filter(~told).select("node", "_ahead", lo.alias("lo"), hi.alias("hi")), "node", n=n, sort=False)
+        size = changed.count()
         layers.append(changed)
         if len(layers) > COMPACT_EVERY:
-            layers = [bucketed(_merged(layers), "node")]
+            layers = [bucketed(_merged(layers), "node", n=n, sort=False)]
     return _merged(layers).drop("_ahead")
 
 
-def _merged(layers: list[DataFrame]) -> DataFrame:
+def _light(rows: int, buckets: int, carry: Sequence[str] = ()) -> bool:
+    """Whether the rows of one bucket can be hashed; with columns carried, one node may hold all of them."""
+    return rows <= 4_000_000 if carry else rows <= 4_000_000 * buckets
+
+
+def _union(layers: list[DataFrame]) -> DataFrame:
     every = layers[0]
     for layer in layers[1:]:
         every = every.unionByName(layer)
-    return every.groupBy("node").agg(F.max("_ahead").alias("_ahead"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return every
+
+
+def _merged(layers: list[DataFrame]) -> DataFrame:
+    return _union(layers).groupBy("node").agg(F.max("_ahead").alias("_ahead"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
 def multi_source_reach(edges: DataFrame, seeds: DataFrame, direction: str = "down") -> DataFrame:

@@ -59,15 +59,16 @@ def cut(df: DataFrame, label: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, *keys: str) -> DataFrame:
-    """Write to the shared folder in buckets of the keys, as many as there are shuffle partitions, and read back.
+def bucketed(df: DataFrame, *keys: str, n: int | None = None, sort: bool = True) -> DataFrame:
+    """Write to the shared folder in buckets of the keys, as many as there are shuffle partitions if ``n`` is not given, and read back.
 
     A join or aggregate on just these keys then needs no exchange of this side. The table is known to the session's catalog only
     while it is written.
     """
     spark = df.sparkSession
-    name, n = f"buckets_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(n, *keys).sortBy(*keys).option("path", scratch_path(spark, "buckets")).saveAsTable(name)
+    name, n = f"buckets_{uuid.uuid4().hex}", n or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.write.bucketBy(n, *keys)
+    (writer.sortBy(*keys) if sort else writer).option("path", scratch_path(spark, "buckets")).saveAsTable(name)
     out = spark.table(name)
     out.schema  # resolved, so that the name is no longer needed
     spark.sql(f"DROP TABLE {name}")

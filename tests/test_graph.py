@@ -138,3 +138,14 @@ def test_contracting_chains_broadcasts_nothing(spark, monkeypatch, capsys):
     chain = spark.range(300).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     assert g.is_acyclic(chain).first()[0] is True
     assert made.count("points") > 3 and "Broadcast" not in capsys.readouterr().out
+
+
+def test_walks_of_small_graphs_open_few_files(spark, rows):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        edges = spark.range(0, 2000, 1, 10).select(F.col("id").alias("src"), (F.col("id") + 1000).alias("dst"))
+        assert len(g.Steps(edges).table.inputFiles()) <= 8
+        assert rows(g.closure(edges, spark.range(5).withColumnRenamed("id", "node")).groupBy("depth").count()) == [(0, 5), (1, 5), (2, 5)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
