@@ -39,6 +39,7 @@ def _directed(edges: DataFrame, direction: str) -> DataFrame:
 HUB = 100_000  # edges of one node that are kept together
 BUCKET = 250_000  # rows that make a bucket worth a task of its own
 SLOTS = 1 << 16
+LIGHT = 1_000_000  # rows of a partition that may be hashed in memory
 
 
 def _buckets(df: DataFrame, rows: int) -> int:
@@ -252,18 +253,32 @@ class ChangeGraph:
         return inner.select("src", "dst").unionByName(self.halo().select("src", "dst")).distinct()
 
 
+def _among(edges: DataFrame, end: str, nodes: DataFrame) -> DataFrame:
+    """Edges whose ``end`` is one of the nodes (``node``). Nodes that are few to a partition are hashed, and the edges stream by unsorted."""
+    light = nodes.count() <= LIGHT * int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return edges.join(nodes.hint("shuffle_hash" if light else "merge"), F.col(end) == F.col("node"), "left_semi")
+
+
 def acyclic_core(edges: DataFrame) -> DataFrame:
-    """Edges left after repeatedly dropping those that start at a node nothing points to; empty without a cycle."""
-    left = cut(edges.select("src", "dst").distinct())
-    size = left.count()
+    """Edges left after repeatedly dropping those that start at a node nothing points to; empty without a cycle.
+
+    An edge to a node without edges of its own holds nothing up, so the rounds look only at edges between nodes that lead on. All edges
+    are met a last time where some node stays. They are read three times: edges that are dear to compute should be cut first.
+    """
+    edges = edges.select("src", "dst")
+    inner = cut(_among(edges, "dst", cut(edges.select(F.col("src").alias("node")).distinct(), "starts")), "inner")
+    size, pointed = inner.count(), inner.select(F.col("dst").alias("node")).distinct()
     while size:
-        pointed = left.select(F.col("dst").alias("src")).distinct()
-        left = cut(left.join(pointed, "src", "left_semi"))
-        now = left.count()
+        pointed = cut(inner.select(F.col("dst").alias("node")).distinct(), "pointed")
+        inner = cut(_among(inner, "src", pointed), "inner")
+        now = inner.count()
         if now == size:
             break
         size = now
-    return left
+    if not size:
+        return inner  # without a row
+    # dealt anew, as the edges of one node must not lie in one task
+    return _among(edges, "src", pointed).repartition("src", "dst").distinct()
 
 
 def contract_chains(edges: DataFrame) -> DataFrame | None:

@@ -149,3 +149,19 @@ def test_walks_of_small_graphs_open_few_files(spark, rows):
         assert rows(g.closure(edges, spark.range(5).withColumnRenamed("id", "node")).groupBy("depth").count()) == [(0, 5), (1, 5), (2, 5)]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_core_leaves_edges_to_dead_ends_out_of_its_rounds(spark, rows, monkeypatch):
+    written = []
+    def counted(df, label=""):
+        out = cut(df, label)
+        written.append(out.count())
+        return out
+    monkeypatch.setattr(g, "cut", counted)
+    fan = [(i, 1000 + 100 * i + j) for i in range(4) for j in range(100)]
+    chain = [(0, 1), (1, 2), (2, 3), (None, 1), (3, None)]
+    assert rows(g.acyclic_core(edges_of(spark, fan + chain))) == []
+    assert sum(written) < 30
+    assert rows(g.acyclic_core(edges_of(spark, fan + fan + chain + [(3, 2)]))) == sorted(
+        [(2, 3), (3, 2), *[e for e in fan if e[0] in (2, 3)], (3, None)], key=lambda e: (e[0], e[1] is None, e[1]))
+    assert rows(g.acyclic_core(edges_of(spark, [(7, 7), (7, 8), (6, 7)]))) == [(7, 7), (7, 8)]
