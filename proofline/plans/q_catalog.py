@@ -482,7 +482,8 @@ def _(spark, sf):
 
 # ---- catalog documents: one small JSON document per part
 def documents(spark, sf):
-    part = table(spark, sf, "part")
+    # a file of short rows has few splits, and a document takes long to write and parse
+    part = table(spark, sf, "part").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     ident = F.concat(F.lit("model.shop.part_"), "p_partkey")
     column = F.struct(F.lit("price").alias("name"), F.lit("numeric").alias("data_type"), F.array(F.struct(
         F.lit("not_null").alias("type"))).alias("constraints"), F.lit(1).alias("ignored"))

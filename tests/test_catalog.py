@@ -364,3 +364,10 @@ def test_not_in(spark, rows):
         right(*values).createOrReplaceTempView("r_view")
         want = spark.sql("select a from l_view where a not in (select b from r_view)")
         assert rows(joins.not_in(left, "a", right(*values), "b")) == rows(want), values
+
+
+def test_documents_of_one_small_file_are_parsed_in_many_tasks(spark):
+    from proofline.plans.q_catalog import documents
+    made = documents(spark, "/root/testdata/sf0.001")
+    assert made.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert made.count() == spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()
