@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import cached_property
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import bucketed, cut
 from .numbering import all_of, same
 
 COMPACT_EVERY = 8
+STRIDE = 2  # steps of a label between two looks at those already known
 
 
 def clean_edges(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -127,7 +131,8 @@ def seed_extremes(edges: DataFrame, seeds: DataFrame, direction: str = "down") -
     """Smallest and largest seed that reaches each node (a seed reaches itself).
 
     Two numbers per node decide whether some seed other than a given one reaches it, so the (node, seed) pairs
-    are never listed.
+    are never listed. A round takes ``STRIDE`` steps before it meets the labels known so far: rounds are short, and a label that is no
+    news goes at most that far.
     """
     steps = Steps(edges, direction)
     n = steps.buckets
@@ -135,9 +140,12 @@ def seed_extremes(edges: DataFrame, seeds: DataFrame, direction: str = "down") -
     changed = bucketed(steps.start(start).repartition(n, "node"), "node", n=n, sort=False)
     layers, size = [changed], changed.count()
     while size:
-        offered = steps.follow(changed, "lo", "hi", light=_light(size, n)).repartition(n, "node").groupBy("node").agg(
-            F.max("_ahead").alias("_ahead"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        step, ways = changed, []
+        for _ in range(STRIDE):
+            step = _least(steps.follow(step, "lo", "hi", light=_light(size, n)).repartition(n, "node"))
+            ways.append(step)
         known = _merged(layers).select(F.col("node").alias("_known"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi")).hint("merge")
+        offered = _least(_union(ways).repartition(n, "node"))
         joined = offered.join(known, F.col("node") == F.col("_known"), "left")
         lo, hi = F.least("lo", "_lo"), F.greatest("hi", "_hi")
         told = F.coalesce((lo == F.col("_lo")) & (hi == F.col("_hi")), F.lit(False))
@@ -161,8 +169,15 @@ def _union(layers: list[DataFrame]) -> DataFrame:
     return every
 
 
+def _least(labels: DataFrame) -> DataFrame:
+    return labels.groupBy("node").agg(F.max("_ahead").alias("_ahead"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
 def _merged(layers: list[DataFrame]) -> DataFrame:
-    return _union(layers).groupBy("node").agg(F.max("_ahead").alias("_ahead"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    """The labels of all layers, one row per node. The node is renamed below the union, as Spark 4.1 takes a union of bare bucketed scans
+    for one bucketed table, but reads their buckets one after the other, and groups would then stay apart."""
+    rows = _union([layer.select(F.col("node").alias("_node"), "_ahead", "lo", "hi") for layer in layers])
+    return rows.groupBy("_node").agg(F.max("_ahead").alias("_ahead"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).withColumnRenamed("_node", "node")
 
 
 def multi_source_reach(edges: DataFrame, seeds: DataFrame, direction: str = "down") -> DataFrame:
@@ -208,19 +223,29 @@ class ChangeGraph:
     def __init__(self, edges: DataFrame, seeds: DataFrame):
         self.edges = cut(clean_edges(edges))
         self.seeds = cut(seeds.select("node").distinct())
-        self.above = seed_extremes(self.edges, self.seeds, "down")
-        self.below = seed_extremes(self.edges, self.seeds, "up")
+        labels = lambda direction: cut(seed_extremes(self.edges, self.seeds, direction), "labels")
+        with ThreadPoolExecutor(2) as pool:  # rounds are short jobs, so the two passes run side by side
+            above, below = (pool.submit(inheritable_thread_target(self.edges.sparkSession)(labels), d) for d in ("down", "up"))
+        self.above, self.below = above.result(), below.result()
 
     def connectors(self) -> DataFrame:
         """Nodes between two different seeds."""
+        return self._connectors
+
+    @cached_property
+    def _connectors(self) -> DataFrame:
         both = self.above.join(self.below.select("node", F.col("lo").alias("blo"), F.col("hi").alias("bhi")), "node")
         one = (F.col("lo") == F.col("hi")) & (F.col("blo") == F.col("bhi")) & (F.col("lo") == F.col("blo"))
-        return both.filter(~one).join(self.seeds, "node", "left_anti").select("node")
+        return cut(both.filter(~one).join(self.seeds, "node", "left_anti").select("node"), "connectors")
 
     def isolated(self) -> DataFrame:
         """Seeds that no other seed reaches and that reach no other seed."""
+        return self._isolated
+
+    @cached_property
+    def _isolated(self) -> DataFrame:
         alone = lambda labels: labels.filter((F.col("lo") == F.col("node")) & (F.col("hi") == F.col("node"))).select("node")
-        return self.seeds.join(alone(self.above), "node", "left_semi").join(alone(self.below), "node", "left_semi")
+        return cut(self.seeds.join(alone(self.above), "node", "left_semi").join(alone(self.below), "node", "left_semi"), "isolated")
 
     def halo(self) -> DataFrame:
         """Edges between an isolated seed and a neighbour that has no stronger role: (node, src, dst)."""

@@ -165,3 +165,34 @@ def test_core_leaves_edges_to_dead_ends_out_of_its_rounds(spark, rows, monkeypat
     assert rows(g.acyclic_core(edges_of(spark, fan + fan + chain + [(3, 2)]))) == sorted(
         [(2, 3), (3, 2), *[e for e in fan if e[0] in (2, 3)], (3, None)], key=lambda e: (e[0], e[1] is None, e[1]))
     assert rows(g.acyclic_core(edges_of(spark, [(7, 7), (7, 8), (6, 7)]))) == [(7, 7), (7, 8)]
+
+
+def test_long_traces_take_few_rounds(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(cl, "cut", lambda df, label="": made.append(label) or cut(df, label))
+    pairs = [(i, "c", i + 1, "c") for i in range(40)] + [(100, "c", 101, "c"), (101, "c", 102, "c"), (102, "c", 100, "c"), (102, "c", 103, "c"), (103, "c", 104, "c")]
+    edges = spark.createDataFrame(pairs, "upstream int, upstream_column string, downstream int, downstream_column string")
+    starts = spark.createDataFrame([(40, "C"), (17, "c"), (104, "c")], "node int, column string")
+    none = spark.createDataFrame([], "node int")
+    got = {r["start_node"]: (r["termination"], r["end_node"], r["hops"]) for r in cl.trace_to_source(edges, starts, none, none).collect()}
+    way = lambda ids: [f"{i}.c" for i in ids]
+    assert got == {40: ("root", 0, way(range(40, -1, -1))), 17: ("root", 0, way(range(17, -1, -1))), 104: ("root", 100, way([104, 103, 102, 101, 100]))}
+    assert len(made) < 12
+
+
+def test_change_graph_takes_two_steps_a_round_and_reads_its_labels_once(spark, rows, monkeypatch):
+    made = []
+    monkeypatch.setattr(g, "cut", lambda df, label="": made.append(label) or cut(df, label))
+    walked = []
+    original = g.bucketed
+    monkeypatch.setattr(g, "bucketed", lambda df, *keys, **more: walked.append(keys) or original(df, *keys, **more))
+    graph = g.ChangeGraph(edges_of(spark, [(i, i + 1) for i in range(16)]), nodes_of(spark, [0, 16]))
+    assert len(walked) < 30  # two passes of 17 steps were 38
+    assert rows(graph.induced()) == [(i, i + 1) for i in range(16)] and rows(graph.connectors()) == [(i,) for i in range(1, 16)]
+    assert (made.count("labels"), made.count("connectors"), made.count("isolated")) == (2, 1, 1)
+
+
+def test_labels_have_one_row_per_node(spark, rows):
+    pairs = [(1, 2), (1, 5), (2, 11), (5, 7), (5, 9), (5, 10), (5, 17), (10, 12), (11, 14), (11, 16), (13, 16)]
+    assert rows(g.seed_extremes(edges_of(spark, pairs), nodes_of(spark, [5, 11, 16, 17]))) == [
+        (5, 5, 5), (7, 5, 5), (9, 5, 5), (10, 5, 5), (11, 11, 11), (12, 5, 5), (14, 11, 11), (16, 11, 16), (17, 5, 17)]
