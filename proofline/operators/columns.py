@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut
 from .graph import closure
+from .numbering import same
 
 
 def bind_names(refs: DataFrame, owners: DataFrame, edges: DataFrame) -> DataFrame:
@@ -77,37 +78,46 @@ def trace_to_source(col_edges: DataFrame, starts: DataFrame, origins: DataFrame,
 
     origins (node): sources and seeds. thin (node): nodes whose own outputs are unknown, or that have producers but
     no column edge. Ends as ``source``, ``root`` or ``opaque``; two ways back are opaque, a loop is a root.
+
+    What becomes of a column is looked up once, for all columns a walk may meet. A column that leads on then takes over, round by round, the
+    way of the one its own has come to, so that a way of n hops takes about log2(n) rounds.
     """
     back = cut(col_edges.groupBy(F.col("downstream").alias("node"), F.col("downstream_column").alias("column")).agg(
         F.count(F.lit(1)).alias("ways"), F.min(F.struct("upstream", "upstream_column")).alias("up")))
-    hop = lambda n, c: F.concat_ws(".", F.col(n), F.col(c))
-    active = cut(starts.select(F.col("node").alias("start_node"), F.lower("column").alias("start_column")).distinct()
-                 .select("start_node", "start_column", F.col("start_node").alias("node"),
-                         F.col("start_column").alias("column"))
-                 .withColumn("hops", F.array(hop("node", "column"))))
-    ends = cut(origins.select("node").distinct()).withColumn("_origin", F.lit(True))
-    thin = cut(thin.select("node").distinct()).withColumn("_thin", F.lit(True))
-    done = []
-    while True:
-        step = active.join(ends, "node", "left").join(thin, "node", "left").join(back, ["node", "column"], "left")
-        nxt = F.concat_ws(".", "up.upstream", "up.upstream_column")
-        end = (F.when(F.col("_origin"), "source")
-               .when(F.col("ways").isNull(), F.when(F.col("_thin"), "opaque").otherwise("root"))
-               .when(F.col("ways") > 1, "opaque")
-               .when(F.array_contains("hops", nxt), "root"))
-        step = cut(step.withColumn("termination", end))
-        done.append(step.filter("termination IS NOT NULL").select(
-            "start_node", "start_column", F.col("node").alias("end_node"), F.col("column").alias("end_column"),
-            "termination", "hops"))
-        going = step.filter("termination IS NULL")
-        if going.isEmpty():
-            break
-        active = going.select("start_node", "start_column", F.col("up.upstream").alias("node"),
-                              F.col("up.upstream_column").alias("column"), F.array_append("hops", nxt).alias("hops"))
+    wanted = cut(starts.select("node", F.lower("column").alias("column")).distinct())
+    ends = origins.select("node").distinct().withColumn("_origin", F.lit(True))
+    thin = thin.select("node").distinct().withColumn("_thin", F.lit(True))
+    met = wanted.unionByName(back.filter("ways = 1").select(F.col("up.upstream").alias("node"), F.col("up.upstream_column").alias("column"))).distinct()
+    known = met.join(ends, "node", "left").join(thin, "node", "left").join(back, ["node", "column"], "left")
+    end = (F.when(F.col("_origin"), "source")
+           .when(F.col("ways").isNull(), F.when(F.col("_thin"), "opaque").otherwise("root"))
+           .when(F.col("ways") > 1, "opaque"))
+    own = F.struct("node", "column")
+    ahead = F.struct(F.col("up.upstream").alias("node"), F.col("up.upstream_column").alias("column"))
+    told = cut(known.select("node", "column", F.array(own).alias("path"), F.when(end.isNull(), ahead).alias("to"), end.alias("termination")))
+    done, going = [told.filter("termination IS NOT NULL")], told.filter("termination IS NULL")
+    while not going.isEmpty():
+        # what is met may have ended in any round before, or lead on itself
+        other = going
+        for part in done:
+            other = other.unionByName(part)
+        other = other.select(F.col("node").alias("_n"), F.col("column").alias("_c"), F.col("path").alias("_path"), F.col("to").alias("_to"), F.col("termination").alias("_end"))
+        both = going.join(other, same(F.col("to.node"), F.col("_n")) & same(F.col("to.column"), F.col("_c")))
+        path = F.concat("path", "_path")
+        joined = both.select("node", "column", path.alias("path"), F.array_distinct(path).alias("_once"), "_to", "_end")
+        loops = F.size("_once") < F.size("path")  # the ways from a column are one, so what comes twice is the loop itself
+        told = cut(joined.select("node", "column", F.col("_once").alias("path"), F.when(~loops, F.col("_to")).alias("to"),
+                                 F.when(loops, "root").otherwise(F.col("_end")).alias("termination")))
+        done.append(told.filter("termination IS NOT NULL"))
+        going = told.filter("termination IS NULL")
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out
+    ways = out.select(F.col("node").alias("_n"), F.col("column").alias("_c"), "path", "termination")
+    last = F.element_at("path", -1)
+    return wanted.join(ways, same(F.col("node"), F.col("_n")) & same(F.col("column"), F.col("_c"))).select(
+        F.col("node").alias("start_node"), F.col("column").alias("start_column"), last["node"].alias("end_node"), last["column"].alias("end_column"),
+        "termination", F.transform("path", lambda p: F.concat_ws(".", p["node"], p["column"])).alias("hops"))
 
 
 def thin_nodes(outputs: DataFrame, depends: DataFrame, col_edges: DataFrame, unknown: DataFrame) -> DataFrame:
