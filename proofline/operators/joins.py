@@ -114,15 +114,16 @@ def covers(tests: DataFrame, keys: DataFrame) -> DataFrame:
     """Pairs (table, key_id, test) where the test's non-empty columns are a subset of the key's, ignoring case.
 
     tests (table, test, columns); keys (table, key_id, columns). Columns are matched as rows, so that a table with
-    many tests and keys costs its matching columns and not their product.
+    many tests and keys costs its matching columns and not their product. Column sets that repeat within a table are matched once.
     """
-    explode = lambda df, ident: df.select("table", ident, F.explode(F.array_distinct(
-        F.transform("columns", lambda c: F.lower(c)))).alias("column"))
-    size = tests.select("table", "test", F.size(F.array_distinct(F.transform("columns", lambda c: F.lower(c)))).alias(
-        "width")).filter("width > 0")
-    shared = explode(tests, "test").join(explode(keys, "key_id"), ["table", "column"]).groupBy(
-        "table", "test", "key_id").agg(F.count(F.lit(1)).alias("hits"))
-    return shared.join(size, ["table", "test"]).filter("hits = width").select("table", "key_id", "test")
+    fold = lambda df, ident, name: df.select("table", ident, F.sort_array(F.array_distinct(F.transform("columns", lambda c: F.lower(c)))).alias(name))
+    asked, held = fold(tests, "test", "_asked").filter(F.size("_asked") > 0), fold(keys, "key_id", "_held")
+    sets = lambda df, name: df.select("table", name).distinct()
+    wanted = sets(asked, "_asked")
+    hits = wanted.select("table", "_asked", F.explode("_asked").alias("column")).join(
+        sets(held, "_held").select("table", "_held", F.explode("_held").alias("column")), ["table", "column"])
+    inside = hits.groupBy("table", "_asked", "_held").agg(F.count(F.lit(1)).alias("_hits")).filter(F.col("_hits") == F.size("_asked")).drop("_hits")
+    return inside.join(held, ["table", "_held"]).join(asked, ["table", "_asked"]).select("table", "key_id", "test")
 
 
 def resolve_targets(refs: DataFrame, models: DataFrame) -> DataFrame:
