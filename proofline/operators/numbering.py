@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from ..session import cut
 
+LONG_RUN = 10_000  # rows of one group in one range that are counted where they lie
 SLOT_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
 
 
@@ -63,17 +64,29 @@ def _with_carry(local: DataFrame, carry: DataFrame, by: Sequence[str]) -> DataFr
 
 
 def number_rows(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), name: str = "row_no") -> DataFrame:
-    """Add 1, 2, 3... in ``order`` within each ``by`` group; every range counts its own rows and adds what came before."""
+    """Add 1, 2, 3... in ``order`` within each ``by`` group; every range counts its own rows and adds what came before.
+
+    Runs of a group within a range that are long are few, at most one per ``LONG_RUN`` rows: where they begin is sent to their rows. Only
+    the rows of shorter ones move again, to be counted by windows that stay small.
+    """
     ranged = _ranged(df, by, order)
-    runs = ranged.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"))
-    if by:
-        start = F.min("_slot").over(W.partitionBy(*by, "_part"))
-        local = ranged.withColumn("_local", F.col("_slot") - start + 1)
-    else:
+    if not by:
+        runs = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
         local = ranged.withColumn("_local", F.col("_slot").bitwiseAND((1 << SLOT_BITS) - 1) + 1)
+        return _numbered(local, runs, by, df.columns, name)
+    runs = cut(ranged.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_slot").alias("_first")), "runs")
+    long = runs.filter(F.col("_n") >= LONG_RUN).select(*[F.col(c).alias(f"_l{i}") for i, c in enumerate(by)], F.col("_part").alias("_lp"), "_first")
+    match = all_of([same(F.col(c), F.col(f"_l{i}")) for i, c in enumerate(by)]) & (F.col("_part") == F.col("_lp"))
+    told = ranged.join(F.broadcast(long), match, "left").drop("_lp", *[f"_l{i}" for i in range(len(by))])
+    near = W.partitionBy(*by, "_part")
+    local = told.filter("_first IS NOT NULL").unionByName(
+        told.filter("_first IS NULL").withColumn("_first", F.min("_slot").over(near))).withColumn("_local", F.col("_slot") - F.col("_first") + 1)
+    return _numbered(local, runs, by, df.columns, name)
+
+
+def _numbered(local: DataFrame, runs: DataFrame, by: Sequence[str], columns: Sequence[str], name: str) -> DataFrame:
     joined = _with_carry(local, _carry(runs, by, F.sum("_n")), by)
-    number = (F.col("_local") + F.coalesce("_carry", F.lit(0))).cast("long")
-    return joined.select(*df.columns, number.alias(name))
+    return joined.select(*columns, (F.col("_local") + F.coalesce("_carry", F.lit(0))).cast("long").alias(name))
 
 
 def running_max(df: DataFrame, value: str, order: Sequence[str], by: Sequence[str], name: str = "running") -> DataFrame:

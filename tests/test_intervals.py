@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from proofline.operators import intervals as iv
 
@@ -49,3 +50,28 @@ def test_first_interval_and_change_size(spark, rows):
     ents = spark.createDataFrame([("a", "f"), ("b", "none")], "id string, path string")
     assert rows(iv.first_interval(ents, hunks)) == [("a", "f", 1, "old")]
     assert rows(iv.change_size(ents, hunks)) == [("a", 4, 3), ("b", 0, 0)]
+
+
+@pytest.mark.parametrize("long", [1, 4, 10_000])
+def test_long_runs_are_numbered_where_they_lie(spark, rows, monkeypatch, capsys, long):
+    from proofline.operators import numbering
+    monkeypatch.setattr(numbering, "LONG_RUN", long)
+    df = spark.range(60).select((F.col("id") * 7 % 61).alias("pos"), F.when(F.col("id") < 40, "a").when(F.col("id") < 57, "b").alias("k"))
+    out = numbering.number_rows(df, ["pos"], by=["k"])
+    out.explain()
+    # the window's exchange moves rows of short runs only; where all runs are long it moves none
+    assert "_lp" in capsys.readouterr().out
+    got = rows(out)
+    want, seen = [], {}
+    for pos, k in sorted(((i * 7 % 61, "a" if i < 40 else "b" if i < 57 else None) for i in range(60)), key=lambda r: r[0]):
+        seen[k] = seen.get(k, 0) + 1
+        want.append((pos, k, seen[k]))
+    assert len(got) == 60 and set(got) == set(want)
+
+
+def test_containment_folds_sets_that_repeat(spark, rows):
+    from proofline.operators.joins import covers
+    tests = spark.createDataFrame([(1, t, c) for t, c in ((10, ["A"]), (11, ["a", "A"]), (12, ["b", "a"]), (13, []), (14, ["z"]))], "table int, test int, columns array<string>")
+    keys = spark.createDataFrame([(1, k, c) for k, c in ((1, ["a", "b"]), (2, ["B", "A"]), (3, ["a"]), (4, []))] + [(2, 9, ["a"])], "table int, key_id int, columns array<string>")
+    out = covers(tests, keys)
+    assert rows(out) == sorted((1, k, t) for k, t in ((1, 10), (1, 11), (1, 12), (2, 10), (2, 11), (2, 12), (3, 10), (3, 11)))
