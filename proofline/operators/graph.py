@@ -44,6 +44,8 @@ HUB = 100_000  # edges of one node that are kept together
 BUCKET = 250_000  # rows that make a bucket worth a task of its own
 SLOTS = 1 << 16
 LIGHT = 1_000_000  # rows of a partition that may be hashed in memory
+SLIM = 1_000_000  # rows of a round that are broadcast to the edges at most; in a graph of fewer than 100 times as many, a hundredth of its edges,
+FEW = 10_000  # or so many
 
 
 def _buckets(df: DataFrame, rows: int) -> int:
@@ -53,31 +55,41 @@ def _buckets(df: DataFrame, rows: int) -> int:
 
 
 class Steps:
-    """Edges in one direction, written once in buckets of (src, part), so that no round of a walk exchanges them again.
+    """Edges in one direction, written once. Few nodes are sent to them where they lie (``near``); for many they are written a second time,
+    in buckets of src, so that no round of a walk exchanges them again (``follow``).
 
-    A node with more than ``hub`` edges has them dealt into several parts. Every edge knows the parts of the node it leads to, so
+    A node with more than ``hub`` edges has them dealt into several parts. Every edge then knows the parts of the node it leads to, so
     whoever arrives there knows how many buckets to ask.
     """
 
     def __init__(self, edges: DataFrame, direction: str = "down", hub: int | None = None):
-        hub = hub or HUB
-        plain = cut(_directed(edges, direction), "edges")
+        self.hub = hub or HUB
+        self.plain = cut(_directed(edges, direction), "edges")
+        rows = self.plain.count()
+        self.buckets, self.slim = _buckets(self.plain, rows), min(SLIM, max(FEW, rows // 100))
+
+    @cached_property
+    def hubs(self) -> DataFrame | None:
         # hubs are counted among the rows of slots that hold enough for one, so that the other nodes are not grouped by name
         slot = F.pmod(F.xxhash64("src"), F.lit(SLOTS)).cast("int")
-        slots = cut(plain.groupBy(slot.alias("_slot")).agg(F.count(F.lit(1)).alias("_n")), "slots")
-        full = slots.filter(F.col("_n") > hub).select("_slot")
-        few = plain.withColumn("_slot", slot).join(F.broadcast(full), "_slot", "left_semi")
-        hubs = cut(few.groupBy("src").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hub).select(
-            F.col("src").alias("_hub"), F.ceil(F.col("_n") / hub).cast("int").alias("_parts")), "hubs")
-        self.hubs = None if hubs.isEmpty() else hubs
-        self.buckets = _buckets(plain, slots.agg(F.sum("_n")).first()[0] or 0)
-        own, ahead = F.lit(0), F.lit(1)
+        slots = cut(self.plain.groupBy(slot.alias("_slot")).agg(F.count(F.lit(1)).alias("_n")), "slots")
+        full = slots.filter(F.col("_n") > self.hub).select("_slot")
+        few = self.plain.withColumn("_slot", slot).join(F.broadcast(full), "_slot", "left_semi")
+        hubs = cut(few.groupBy("src").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > self.hub).select(
+            F.col("src").alias("_hub"), F.ceil(F.col("_n") / self.hub).cast("int").alias("_parts")), "hubs")
+        return None if hubs.isEmpty() else hubs
+
+    @cached_property
+    def table(self) -> DataFrame:
+        """The edges in buckets of src, and of (src, _part) where there are hubs. A constant part is no key: Spark would take it out of the
+        grouping, exchange the rows once more, by (src, dst), and every task would then write a file into every bucket."""
+        plain, keys = self.plain, ["src"]
         if self.hubs:
-            plain = plain.join(hubs, F.col("src") == F.col("_hub"), "left").withColumn("_own", F.coalesce("_parts", F.lit(1))).drop("_hub", "_parts")
-            plain = plain.join(hubs, F.col("dst") == F.col("_hub"), "left")
-            own, ahead = F.pmod(F.xxhash64("dst"), F.col("_own")).cast("int"), F.coalesce("_parts", F.lit(1))
-        dealt = plain.select("src", "dst", own.alias("_part"), ahead.alias("_ahead")).repartition(self.buckets, "src", "_part")
-        self.table = bucketed(dealt.distinct(), "src", "_part", n=self.buckets, sort=False)
+            keys = ["src", "_part"]
+            plain = plain.join(self.hubs, F.col("src") == F.col("_hub"), "left").withColumn("_own", F.coalesce("_parts", F.lit(1))).drop("_hub", "_parts")
+            plain = plain.join(self.hubs, F.col("dst") == F.col("_hub"), "left").select(
+                "src", "dst", F.pmod(F.xxhash64("dst"), F.col("_own")).cast("int").alias("_part"), F.coalesce("_parts", F.lit(1)).alias("_ahead"))
+        return bucketed(plain.repartition(self.buckets, *keys).distinct(), *keys, n=self.buckets, sort=False)
 
     def start(self, nodes: DataFrame) -> DataFrame:
         """Nodes with the number of parts their edges lie in, ``_ahead``."""
@@ -90,29 +102,43 @@ class Steps:
 
         Nodes that are light, few to a bucket, are hashed, and the edges stream by unsorted.
         """
-        asked = nodes.withColumnRenamed("node", "_from").withColumn("_ask", F.explode(F.sequence(F.lit(0), F.col("_ahead") - 1))).drop("_ahead")
-        met = (asked.hint("shuffle_hash") if light else asked).join(self.table, (F.col("_from") == F.col("src")) & (F.col("_ask") == F.col("_part")))
-        return met.select(F.col("dst").alias("node"), "_ahead", *carry)
+        asked, here, ahead = nodes.withColumnRenamed("node", "_from"), F.col("_from") == F.col("src"), F.lit(1).alias("_ahead")
+        if self.hubs:
+            asked = asked.withColumn("_ask", F.explode(F.sequence(F.lit(0), F.col("_ahead") - 1)))
+            here, ahead = here & (F.col("_ask") == F.col("_part")), F.col("_ahead")
+        asked = asked.drop("_ahead")
+        met = (asked.hint("shuffle_hash") if light else asked).join(self.table, here)
+        return met.select(F.col("dst").alias("node"), ahead, *carry)
+
+    def near(self, nodes: DataFrame, *carry: str) -> DataFrame:
+        """As ``follow``, for at most ``slim`` rows: they are broadcast to the edges, which need no buckets. ``_ahead`` is not known, and 1."""
+        asked = nodes.select(F.col("node").alias("_from"), *carry)
+        return self.plain.join(F.broadcast(asked), F.col("_from") == F.col("src")).select(F.col("dst").alias("node"), F.lit(1).alias("_ahead"), *carry)
 
 
 def closure(edges: DataFrame, seeds: DataFrame, direction: str = "down", max_depth: int | None = None,
             carry: Sequence[str] = ()) -> DataFrame:
     """Nodes reachable from the seeds (``node`` plus ``carry``), seeds at depth 0; cycles end by themselves.
 
-    Each round joins only the nodes found in the round before. Edges and the nodes seen so far lie in buckets, so a round
-    exchanges its own finds alone, and meets all layers of the nodes seen in one join. ``carry`` columns travel with the node, so
-    that many sources are followed in one pass; pairs that outgrow their buckets are dealt into more.
+    Each round joins only the nodes found in the round before. Where they are few (``Steps.slim``) they are broadcast to the edges; the edges are dealt into
+    buckets when a round first has more. The nodes seen so far lie in buckets, so a round exchanges its own finds alone, and meets all
+    layers of the nodes seen in one join. ``carry`` columns travel with the node, so that many sources are followed in one pass; pairs
+    that outgrow their buckets are dealt into more.
     """
     steps, key = Steps(edges, direction), ["node", *carry]
     kept = lambda df, n: bucketed(df.repartition(n, *key), *key, n=n, sort=False)
     n = steps.buckets
-    frontier = kept(steps.start(seeds.select(*key).dropna(subset=["node"]).distinct()).withColumn("depth", F.lit(0)), n)
-    layers, depth, size = [frontier], 0, frontier.count()
+    frontier = kept(seeds.select(*key).dropna(subset=["node"]).distinct().select(*key, F.lit(1).alias("_ahead"), F.lit(0).alias("depth")), n)
+    layers, depth, size, told = [frontier], 0, frontier.count(), False
     total = size
     while (max_depth is None or depth < max_depth) and size:
         depth += 1
-        found = steps.follow(frontier.drop("depth"), *carry, light=_light(size, steps.buckets, carry)).repartition(n, *key).groupBy(*key).agg(
-            F.max("_ahead").alias("_ahead"))
+        if size <= steps.slim:
+            met, told = steps.near(frontier, *carry), False
+        else:
+            asked = frontier.drop("depth") if told else steps.start(frontier.select(*key))
+            met, told = steps.follow(asked, *carry, light=_light(size, steps.buckets, carry)), True
+        found = met.repartition(n, *key).groupBy(*key).agg(F.max("_ahead").alias("_ahead"))
         known = _union(layers).select(*[F.col(k).alias(f"_seen{i}") for i, k in enumerate(key)], F.lit(True).alias("_old")).hint("merge")
         meets = all_of([same(F.col(k), F.col(f"_seen{i}")) if i else F.col(k) == F.col("_seen0") for i, k in enumerate(key)])
         found = found.join(known, meets, "left").filter("_old IS NULL").select(*key, "_ahead")  # an anti join would be pushed below the edges' join

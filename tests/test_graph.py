@@ -196,3 +196,39 @@ def test_labels_have_one_row_per_node(spark, rows):
     pairs = [(1, 2), (1, 5), (2, 11), (5, 7), (5, 9), (5, 10), (5, 17), (10, 12), (11, 14), (11, 16), (13, 16)]
     assert rows(g.seed_extremes(edges_of(spark, pairs), nodes_of(spark, [5, 11, 16, 17]))) == [
         (5, 5, 5), (7, 5, 5), (9, 5, 5), (10, 5, 5), (11, 11, 11), (12, 5, 5), (14, 11, 11), (16, 11, 16), (17, 5, 17)]
+
+
+def test_few_nodes_are_sent_to_the_edges_and_buckets_hold_one_file(spark, rows, monkeypatch):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        edges = spark.range(0, 2000, 1, 10).select(F.concat(F.lit("n"), "id").alias("src"), F.concat(F.lit("n"), F.col("id") + 1000).alias("dst"))
+        steps = g.Steps(edges.unionByName(edges))
+        assert len(steps.table.inputFiles()) == 8 and steps.table.count() == 2000  # every task wrote a file into every bucket
+        written, original = [], g.bucketed
+        monkeypatch.setattr(g, "bucketed", lambda df, *keys, **more: written.append(keys) or original(df, *keys, **more))
+        seeds = spark.range(5).select(F.concat(F.lit("n"), "id").alias("node"))
+        few = rows(g.closure(edges, seeds))
+        assert few == sorted((f"n{i + 1000 * d}", d) for i in range(5) for d in range(3))
+        assert set(written) == {("node",)}  # no edges were dealt
+        monkeypatch.setattr(g, "SLIM", 0)
+        assert rows(g.closure(edges, seeds)) == few and ("src",) in written
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("slim", [0, 4])
+def test_walks_change_between_few_and_many_nodes(spark, rows, monkeypatch, slim):
+    monkeypatch.setattr(g, "HUB", 3)
+    monkeypatch.setattr(g, "SLIM", slim)
+    rng = random.Random(slim)
+    pairs = [(rng.randint(0, 59), rng.randint(0, 59)) for _ in range(70)] + [(0, i) for i in range(20, 40)] + [(i, 59) for i in range(20, 40)] + [(59, 0), (3, None)]
+    edges = edges_of(spark, pairs + pairs[:30])
+    starts = {0: "a", 7: "b", 41: "b"}
+    seeds = spark.createDataFrame([*starts.items(), (None, "c")], "node int, tag string")
+    known = [p for p in pairs if None not in p]
+    for direction, way in (("down", known), ("up", [(b, a) for a, b in known])):
+        want = sorted({(n, t) for s, t in starts.items() for n in reach(way, s)})
+        assert rows(g.closure(edges.dropna(), seeds, direction, carry=["tag"]), "node", "tag") == want
