@@ -70,7 +70,11 @@ def entries(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
 
 
 class Catalog:
-    """Normalised tables over the entries of documents; every one starts with the key columns of its document."""
+    """Normalised tables over the entries of documents; every one starts with the key columns of its document.
+
+    Their joins are merged: Spark takes a variant for 2 KB, so a few names read out of variants look a hundred times smaller than the
+    entries, and tables of any size would be broadcast through the driver.
+    """
 
     def __init__(self, entries: DataFrame, keys: list[str]):
         self.entries, self.keys = entries, list(keys)
@@ -83,7 +87,7 @@ class Catalog:
         return {name: getattr(self, name) for name in TABLES}
 
     def _section(self, *names: str) -> DataFrame:
-        return self.entries.filter(F.col("section").isin(*names))
+        return self.entries.filter(F.col("section").isin(*names)).hint("merge")
 
     def _of_nodes(self, path: str, kind: str, *names: str) -> DataFrame:
         return self._section("nodes").select(*self.keys, "id", F.explode(get("body", path, kind)).alias(*names))
@@ -235,7 +239,7 @@ class Catalog:
         """Constraints of tables and of single columns alike (table, kind, columns)."""
         own = self.constraints.select(*self.keys, F.col("id").alias("table"), "kind", "columns")
         single = self.column_constraints.select(*self.keys, F.col("id").alias("table"), "kind", F.array("column").alias("columns"))
-        return own.unionByName(single)
+        return own.unionByName(single).hint("merge")  # a union hides the hints below it
 
     @cached_property
     def snapshot_nodes(self) -> DataFrame:
@@ -259,7 +263,7 @@ class Catalog:
         """(id, column, kind, expression); the table's own constraints have no column, and their columns count as the expression."""
         said = F.concat_ws(" ", F.array_join("columns", ","), "expression")
         own = self.constraints.select(*self.keys, "id", F.lit(None).cast("string").alias("column"), "kind", said.alias("expression"))
-        return own.unionByName(self.column_constraints.select(*self.keys, "id", "column", "kind", "expression"))
+        return own.unionByName(self.column_constraints.select(*self.keys, "id", "column", "kind", "expression")).hint("merge")
 
     @cached_property
     def scope_tests(self) -> DataFrame:

@@ -371,3 +371,17 @@ def test_documents_of_one_small_file_are_parsed_in_many_tasks(spark):
     made = documents(spark, "/root/testdata/sf0.001")
     assert made.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert made.count() == spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()
+
+
+def test_audits_of_documents_broadcast_nothing(spark, rows, capsys):
+    """What is read out of variants looks small however much it is, so Spark would broadcast it."""
+    body = {"model.p.a": {"resource_type": "model", "config": {"unique_key": "id"}, "constraints": [{"type": "unique", "columns": ["id"]}],
+                          "columns": {"id": {"constraints": [{"type": "primary_key"}]}}},
+            "test.p.on": {"resource_type": "test", "attached_node": "model.p.a", "test_metadata": {"name": "unique", "kwargs": {"column_name": "id"}}}}
+    found = cat.explode_catalog(spark.createDataFrame([(1, json.dumps({"nodes": body}))], "doc int, text string"), ["doc"])
+    out = audits.audit_catalog(found.audit_models, found.audit_tests, found.singular_tests, found.unit_modes, found.declared_constraints, "snowflake")
+    off = audits.disabled_backing(found.audit_models, found.audit_tests)
+    out.explain(), off.explain()
+    assert "Broadcast" not in capsys.readouterr().out and off.isEmpty()
+    assert rows(out, "construct", "verdict") == [
+        ("config.unique_key", "covered"), ("constraint.primary_key[id]", "covered"), ("constraint.unique[id]", "covered")]
