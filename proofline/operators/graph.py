@@ -43,7 +43,7 @@ def _directed(edges: DataFrame, direction: str) -> DataFrame:
 HUB = 100_000  # edges of one node that are kept together
 BUCKET = 250_000  # rows that make a bucket worth a task of its own
 SLOTS = 1 << 16
-LIGHT = 1_000_000  # rows of a partition that may be hashed in memory
+LIGHT = 1_000_000  # rows that may be hashed in memory
 SLIM = 1_000_000  # rows of a round that are broadcast to the edges at most; in a graph of fewer than 100 times as many, a hundredth of its edges,
 FEW = 10_000  # or so many
 
@@ -305,9 +305,11 @@ class ChangeGraph:
 
 
 def _among(edges: DataFrame, end: str, nodes: DataFrame) -> DataFrame:
-    """Edges whose ``end`` is one of the nodes (``node``). Nodes that are few to a partition are hashed, and the edges stream by unsorted."""
-    light = nodes.count() <= LIGHT * int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return edges.join(nodes.hint("shuffle_hash" if light else "merge"), F.col(end) == F.col("node"), "left_semi")
+    """Edges whose ``end`` is one of the nodes (``node``, distinct). Few nodes are hashed, and the edges stream by unsorted. It is the number of all
+    nodes that counts, as adaptive execution may bring any number of partitions into one task, where a hash table can't be spilled. A semi
+    join would be pushed below a union of edges, and hash or sort the nodes once for each of its inputs."""
+    how = "shuffle_hash" if nodes.count() <= LIGHT else "merge"
+    return edges.join(nodes.hint(how), F.col(end) == F.col("node")).select("src", "dst")
 
 
 def acyclic_core(edges: DataFrame) -> DataFrame:
@@ -328,8 +330,9 @@ def acyclic_core(edges: DataFrame) -> DataFrame:
         size = now
     if not size:
         return inner  # without a row
-    # dealt anew, as the edges of one node must not lie in one task
-    return _among(edges, "src", pointed).repartition("src", "dst").distinct()
+    # dealt anew, as the edges of one node must not lie in one task, and by number, so that adaptive execution leaves the partitions apart
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _among(edges, "src", pointed).repartition(n, "src", "dst").distinct()
 
 
 def contract_chains(edges: DataFrame) -> DataFrame | None:

@@ -232,3 +232,17 @@ def test_walks_change_between_few_and_many_nodes(spark, rows, monkeypatch, slim)
     for direction, way in (("down", known), ("up", [(b, a) for a, b in known])):
         want = sorted({(n, t) for s, t in starts.items() for n in reach(way, s)})
         assert rows(g.closure(edges.dropna(), seeds, direction, carry=["tag"]), "node", "tag") == want
+
+
+def test_core_hashes_few_nodes_and_meets_a_union_of_edges_once(spark, rows, monkeypatch, capsys):
+    """Partitions may be brought into one task, so nodes that are few to a partition are not few enough for a hash table."""
+    monkeypatch.setattr(g, "LIGHT", 5)
+    monkeypatch.setattr(g, "cut", lambda df, label="": df.explain() or cut(df, label))
+    step = lambda at, n: spark.range(n).select((F.col("id") + at).alias("src"), (F.col("id") + at + 1).alias("dst"))
+    ring = step(0, 8).unionByName(step(20, 3)).unionByName(spark.range(8, 9).select(F.col("id").alias("src"), F.lit(0).cast("long").alias("dst")))
+    core = g.acyclic_core(ring)
+    core.explain()
+    plans = capsys.readouterr().out.split("== Physical Plan ==")
+    assert len(plans) > 4 and not any("ShuffledHashJoin" in p or p.count("Join ") > 1 for p in plans)
+    assert rows(core) == [(i, (i + 1) % 9) for i in range(9)]
+    assert core.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
